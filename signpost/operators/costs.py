@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signpost.checks import one_of
 from signpost.functions.scoring import ratio, token_cost
-from signpost.functions.text import reference_text, token_estimate
+from signpost.functions.text import token_estimate
 
 # Fixed values: (model, provider, dimensions, price per 1000 tokens in USD).
 MODELS = [
@@ -77,22 +77,17 @@ def usage_rows(
     text_col: str = "text",
     model_col: str = "model",
     track_usage: bool = True,
-    max_chars: int = 500,
 ) -> DataFrame:
-    """(phase, provider, calls, tokens, cost) of each text.
+    """(phase, provider, calls, tokens, cost) of each embedded text.
 
-    Training embeds the prepared reference text, classification the whole text.
-    Usage counts only for the paid provider and only if it is tracked.
+    Pass prepared reference texts for training and whole articles for
+    classification. Usage counts only for the paid provider and only if tracked.
     """
     one_of("phase", phase, ("training", "classification"))
-    body = F.col(text_col)
-    if phase == "training":
-        body = reference_text(body, max_chars)
     provider = provider_of(F.col(model_col))
     counted = (provider == PAID_PROVIDER) & F.lit(track_usage)
-    priced = with_token_cost(df.withColumn("_body", body), "_body", model_col)
     zero = F.lit(0).cast("bigint")
-    return priced.select(
+    return with_token_cost(df, text_col, model_col).select(
         F.lit(phase).alias("phase"),
         provider.alias("provider"),
         F.when(counted, F.lit(1).cast("bigint")).otherwise(zero).alias("calls"),

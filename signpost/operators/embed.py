@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from signpost.checks import one_of
 from signpost.functions.vectors import hashed_vector, unit_dense
 
 DEFAULT_DIMS = 256
@@ -40,6 +41,20 @@ def embed_with(
     return df.withColumn(vec_col, unit_dense(embed(F.col(text_col))))
 
 
+def embed(
+    df: DataFrame,
+    embedder: str | EmbedderFactory = "hashed",
+    text_col: str = "text",
+    dims: int = DEFAULT_DIMS,
+    vec_col: str = "vec",
+) -> DataFrame:
+    """Embed with the built-in embedder ("hashed": sparse) or a factory (dense)."""
+    if callable(embedder):
+        return embed_with(df, embedder, text_col, vec_col)
+    one_of("embedder", embedder, ("hashed",))
+    return embed_hashed(df, text_col, dims, vec_col)
+
+
 def vector_rows(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec") -> DataFrame:
     """Long form of a sparse vector: (id, dim, v)."""
     return df.select(id_col, F.inline(vec_col)).select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -108,7 +109,7 @@ def model_replies(
     """Call a model once per prompt and write the replies.
 
     (batch_id, n_articles, article_ids, status, error, reply, prompt_tokens,
-    completion_tokens, total_tokens). ``factory`` runs once per task and returns
+    completion_tokens, total_tokens, total_latency in seconds). ``factory`` runs once per task and returns
     the call. A retryable error is tried again up to ``max_retries`` times; a
     batch whose call fails for good is kept with status ``failed``. Calls are
     dear, so the replies are written before anything reads them: a plan that is
@@ -132,21 +133,29 @@ def model_replies(
             return True
 
         def one(prompt: str):
-            message = ""
+            message, start = "", time.perf_counter()
             for _ in range(max_retries + 1):
                 try:
                     reply, asked, answered = complete(prompt)
-                    return ok, None, reply, int(asked), int(answered)
+                    took = time.perf_counter() - start
+                    return ok, None, reply, int(asked), int(answered), took
                 except Exception as error:
                     message = str(error)
                     if not retryable(message):
                         break
-            return failed, message, None, 0, 0
+            return failed, message, None, 0, 0, time.perf_counter() - start
 
         for frame in frames:
             made = pd.DataFrame(
                 [one(p) for p in frame["prompt"]],
-                columns=["status", "error", "reply", "prompt_tokens", "completion_tokens"],
+                columns=[
+                    "status",
+                    "error",
+                    "reply",
+                    "prompt_tokens",
+                    "completion_tokens",
+                    "total_latency",
+                ],
             )
             kept = frame[["batch_id", "n_articles", "article_ids"]].reset_index(drop=True)
             made["total_tokens"] = made["prompt_tokens"] + made["completion_tokens"]
@@ -157,7 +166,7 @@ def model_replies(
             call,
             "batch_id bigint, n_articles bigint, article_ids array<bigint>, status string, "
             "error string, reply string, prompt_tokens bigint, completion_tokens bigint, "
-            "total_tokens bigint",
+            "total_tokens bigint, total_latency double",
         )
     )
 
@@ -224,14 +233,38 @@ def join_replies(
     )
 
 
-def classify_batches(
-    replies: DataFrame, classes: Sequence[str]
-) -> DataFrame:
-    """Predictions from written replies, with the status of their batch.
+def classify_batches(replies: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """Predictions from written replies, with the other columns of their batch.
 
-    (batch_id, article_id, prediction, is_fallback, status, error). Failed
-    batches keep fallback predictions and say so.
+    A reply and the ids it answers lie in one row, so each id picks its first
+    entry inside the row: the rule of ``join_replies`` without its shuffle.
+    Failed batches keep fallback predictions and say so in their status.
     """
-    members = replies.select("batch_id", F.explode("article_ids").alias("article_id"))
-    predicted = join_replies(members, parse_replies(replies), classes)
-    return predicted.join(replies.select("batch_id", "status", "error"), "batch_id")
+    picked = F.transform(
+        "article_ids",
+        lambda i: F.struct(
+            i.alias("article_id"),
+            F.get(F.filter("_parsed", lambda e: e["article_id"] == i), F.lit(0))["category"].alias(
+                "category"
+            ),
+        ),
+    )
+    rows = (
+        replies.withColumn("_parsed", _entries(F.col("reply")))
+        .withColumn("_picked", picked)
+        .drop("reply", "article_ids", "_parsed")
+        .withColumn("_one", F.explode("_picked"))
+        .select("*", "_one.article_id", "_one.category")
+        .drop("_one", "_picked")
+    )
+    valid = scoring.is_valid_class(F.col("category"), classes)
+    return (
+        rows.withColumn("is_fallback", ~valid)
+        .withColumn(
+            "prediction",
+            F.when(~F.col("is_fallback"), F.lower("category")).otherwise(
+                F.lit(scoring.valid_classes(classes)[0])
+            ),
+        )
+        .drop("category")
+    )

@@ -11,6 +11,13 @@ SUCCESS = "success"
 FAILED = "failed"
 
 
+def all_batches(successful: DataFrame, failed: DataFrame) -> DataFrame:
+    """Successful and failed batches as one table; what a side lacks is null."""
+    return successful.withColumn("status", F.lit(SUCCESS)).unionByName(
+        failed.withColumn("status", F.lit(FAILED)), allowMissingColumns=True
+    )
+
+
 def batch_metrics(batches: DataFrame) -> DataFrame:
     """One row of run metrics; no row for no batches.
 
@@ -138,9 +145,12 @@ def class_report(confusion: DataFrame) -> DataFrame:
     p = ratio(F.col("_tp"), F.col("_predicted"))
     r = ratio(F.col("_tp"), F.col("support"))
     return counts.select(
-        "class", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"),
+        "class",
+        p.alias("precision"),
+        r.alias("recall"),
+        ratio(2 * p * r, p + r).alias("f1"),
         "support",
-    )
+    ).orderBy("class")
 
 
 def averaged_metrics(report: DataFrame) -> DataFrame:

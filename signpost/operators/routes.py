@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signpost.checks import fraction
@@ -21,17 +21,20 @@ def route_references(
     label_col: str = "lang",
     seed: int = 42,
     max_chars: int = 500,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Sampled reference texts of every class: (route, ref_id, ref_text).
 
-    The sample is drawn from ids and labels alone and written; its true size
+    ``texts`` (id, text) is where the texts are read if ``articles`` is a narrow
+    selection of them, such as one side of a split. The sample is drawn from ids and labels alone and written; its true size
     then decides whether fetching the texts is a broadcast join (one scan of the
     texts, no shuffle of them) or a shuffled one.
     """
     picked = materialize(sample_per_class(articles, samples_per_class, id_col, label_col, seed))
     ids = picked.select(F.col(id_col).alias("_ref_id"), F.col(label_col).alias("route"))
     return (
-        articles.select(id_col, text_col)
+        (articles if texts is None else texts)
+        .select(id_col, text_col)
         .join(ids, F.col(id_col) == F.col("_ref_id"))
         .select(
             "route",
@@ -47,16 +50,22 @@ def centroid_rows(references: DataFrame, vec_col: str = "vec") -> DataFrame:
     For unit vectors the mean distance to a route's references is one minus the
     dot product with their mean, so this is all an average-distance router needs.
     """
-    sizes = references.groupBy("route").agg(F.count(F.lit(1)).alias("_n"))
+    # one entry more per reference counts them in the same pass: dimension -1
+    marker = F.struct(F.lit(-1).alias("dim"), F.lit(1.0).alias("val"))
     sums = (
-        references.select("route", F.inline(vec_col))
+        references.select("route", F.inline(F.concat(F.col(vec_col), F.array(marker))))
         .groupBy("route", "dim")
         .agg(F.sum("val").alias("_sum"))
     )
-    return sums.join(sizes, "route").select(
-        "route",
-        F.col("dim").cast("bigint").alias("dim"),
-        (F.col("_sum") / F.col("_n")).alias("v"),
+    size = F.max(F.when(F.col("dim") < 0, F.col("_sum"))).over(Window.partitionBy("route"))
+    return (
+        sums.withColumn("_n", size)
+        .filter("dim >= 0")
+        .select(
+            "route",
+            F.col("dim").cast("bigint").alias("dim"),
+            (F.col("_sum") / F.col("_n")).alias("v"),
+        )
     )
 
 
@@ -119,24 +128,20 @@ def build_dense_routes(
     """Same table from vectors that are dense already: (route, ref_id, vec) in."""
     fraction("threshold", threshold)
     if agg == "avg":
-        sizes = vectors.groupBy("route").agg(F.count(F.lit(1)).alias("_n"))
-        sums = (
+        # every reference has every dimension, so the mean per dimension is the centroid
+        means = (
             vectors.select("route", F.posexplode(vec_col).alias("dim", "val"))
             .groupBy("route", "dim")
-            .agg(F.sum(F.col("val").cast("double")).alias("_sum"))
+            .agg(F.avg(F.col("val").cast("double")).alias("v"))
         )
         rows = (
-            sums.join(sizes, "route")
-            .groupBy("route")
-            .agg(
-                F.transform(
-                    F.array_sort(
-                        F.collect_list(F.struct("dim", (F.col("_sum") / F.col("_n")).alias("v")))
-                    ),
-                    lambda e: e["v"],
-                ).alias("vec")
+            means.groupBy("route")
+            .agg(F.sort_array(F.collect_list(F.struct("dim", "v"))).alias("_entries"))
+            .select(
+                "route",
+                F.lit(0).cast("bigint").alias("ref_id"),
+                F.transform("_entries", lambda e: e["v"]).alias("vec"),
             )
-            .select("route", F.lit(0).cast("bigint").alias("ref_id"), "vec")
         )
     elif agg == "min":
         rows = vectors.select("route", "ref_id", F.col(vec_col).cast("array<double>").alias("vec"))

@@ -25,7 +25,8 @@ from signpost.checks import positive
 from signpost.functions import scoring
 from signpost.functions import vectors as vx
 
-MAX_CELLS = 4_000_000
+MAX_CELLS = 1_000_000  # 8 MB of doubles, about Spark's own limit for broadcasts
+_PRODUCT_CELLS = 4_000_000  # distances held at once by one task
 
 _DISTANCES = "array<struct<route:string,threshold:double,distance:double>>"
 _CANDIDATES = "array<struct<distance:double,route:string>>"
@@ -82,9 +83,14 @@ def _matrix_distances(routes: DataFrame, vec: Column, sparse: bool) -> Column:
     matrix = np.array([r["vec"] for r in rows], dtype="float64")
     shared = routes.sparkSession.sparkContext.broadcast((matrix, np.array(firsts)))
 
+    step = max(1, _PRODUCT_CELLS // len(rows))
+
     def nearest(queries: np.ndarray) -> pa.Array:
         refs, starts = shared.value
-        best = 1.0 - np.maximum.reduceat(queries @ refs.T, starts, axis=1)
+        best = np.empty((len(queries), len(starts)))
+        for at in range(0, len(queries), step):
+            dots = queries[at : at + step] @ refs.T
+            best[at : at + step] = 1.0 - np.maximum.reduceat(dots, starts, axis=1)
         offsets = np.arange(0, best.size + 1, len(starts), dtype="int32")
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(best.ravel()))
 

@@ -131,7 +131,9 @@ def run_listing(runs: DataFrame) -> DataFrame:
 
 
 def _newest() -> Column:
-    return F.min(F.struct((-F.unix_micros("modified_at")).alias("_age"), "run_id", "modified_at"))
+    # the later the time, the smaller the interval back to the epoch
+    age = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) - F.col("modified_at")
+    return F.min(F.struct(age.alias("_age"), "run_id", "modified_at"))
 
 
 def latest_run(runs: DataFrame, chosen: dict[str, str] | None = None) -> DataFrame:

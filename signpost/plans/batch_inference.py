@@ -34,19 +34,14 @@ def reply_batches(
 
 
 def classify_with_model(replies: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """Predictions with the tokens of their batch."""
-    tokens = replies.select("batch_id", "prompt_tokens", "completion_tokens", "total_tokens")
-    return classify_batches(replies, classes).join(tokens, "batch_id")
+    """Predictions with status and tokens of their batch; a projection of the replies."""
+    return classify_batches(replies, classes)
 
 
 def reply_metrics_input(
     replies: DataFrame, prompt_price: float = 0.0, completion_price: float = 0.0
 ) -> DataFrame:
-    """Batches in the form ``batch_metrics`` reads; prices are per 1000 tokens.
-
-    The time of a call is known to the client only, so latency is zero here
-    unless the caller joins its own.
-    """
+    """Batches in the form ``batch_metrics`` reads; prices are per 1000 tokens."""
     cost = (
         F.col("prompt_tokens") * F.lit(prompt_price)
         + F.col("completion_tokens") * F.lit(completion_price)
@@ -55,7 +50,7 @@ def reply_metrics_input(
         "batch_id",
         "status",
         "error",
-        F.lit(0.0).alias("total_latency"),
+        "total_latency",
         F.when(F.col("status") == SUCCESS, cost).otherwise(F.lit(0.0)).alias("total_cost"),
         "prompt_tokens",
         "completion_tokens",

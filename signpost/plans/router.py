@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signpost.operators.embed import DEFAULT_DIMS, embed_hashed
+from signpost.operators.embed import DEFAULT_DIMS, EmbedderFactory, embed
 from signpost.operators.quality import (
     SUCCESS,
     accuracy,
@@ -17,6 +17,7 @@ from signpost.operators.quality import (
     confusion_matrix,
 )
 from signpost.operators.routes import (
+    build_dense_routes,
     build_routes,
     override_thresholds,
     overrides_frame,
@@ -35,13 +36,16 @@ def calibrate(
     text_col: str = "text",
     label_col: str = "lang",
     dims: int = DEFAULT_DIMS,
+    embedder: str | EmbedderFactory = "hashed",
 ) -> DataFrame:
     """Best threshold per route on labelled articles: (route, threshold, f1).
 
     Use articles that are scored nowhere else.
     """
-    labelled = embed_hashed(articles.filter(F.col(label_col).isNotNull()), text_col, dims)
-    rows = distance_rows(labelled, routes, id_col, "vec", [label_col])
+    labelled = embed(articles.filter(F.col(label_col).isNotNull()), embedder, text_col, dims)
+    rows = distance_rows(
+        labelled, routes, id_col, "vec", [label_col], sparse=not callable(embedder)
+    )
     return best_thresholds(threshold_sweep(rows, label_col))
 
 
@@ -58,6 +62,8 @@ def train_router(
     dims: int = DEFAULT_DIMS,
     max_chars: int = 500,
     seed: int = 42,
+    embedder: str | EmbedderFactory = "hashed",
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Route table from labelled articles: sample, prepare, embed, calibrate, override.
 
@@ -65,11 +71,15 @@ def train_router(
     the initial threshold; overrides come last and win.
     """
     references = route_references(
-        articles, samples_per_class, id_col, text_col, label_col, seed, max_chars
+        articles, samples_per_class, id_col, text_col, label_col, seed, max_chars, texts
     )
-    routes = build_routes(references, threshold, agg, dims)
+    if callable(embedder):
+        vectors = embed(references, embedder, "ref_text").drop("ref_text")
+        routes = build_dense_routes(vectors, threshold, agg)
+    else:
+        routes = build_routes(references, threshold, agg, dims)
     if calibration is not None:
-        best = calibrate(routes, calibration, id_col, text_col, label_col, dims)
+        best = calibrate(routes, calibration, id_col, text_col, label_col, dims, embedder)
         routes = override_thresholds(routes, best.select("route", "threshold"))
     if overrides:
         routes = override_thresholds(routes, overrides_frame(articles.sparkSession, overrides))
@@ -85,6 +95,7 @@ def classify(
     text_col: str = "text",
     dims: int = DEFAULT_DIMS,
     overrides: dict[str, float] | None = None,
+    embedder: str | EmbedderFactory = "hashed",
 ) -> DataFrame:
     """Articles with (prediction, distance, confidence, is_fallback) added.
 
@@ -92,8 +103,10 @@ def classify(
     """
     if overrides:
         routes = override_thresholds(routes, overrides_frame(articles.sparkSession, overrides))
-    embedded = embed_hashed(articles, text_col, dims)
-    return route_articles(embedded, routes, classes, id_col).drop("vec")
+    embedded = embed(articles, embedder, text_col, dims)
+    return route_articles(
+        embedded, routes, classes, id_col, sparse=not callable(embedder)
+    ).drop("vec")
 
 
 def run_metrics(
