@@ -58,7 +58,11 @@ def hashed_terms(text: Column, dims: int) -> Column:
         )
 
     empty = F.expr("cast(array() as array<struct<dim:int,n:int>>)")
-    return let(F.sort_array(slots), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
+    # a missing text has no size, and no histogram
+    return let(
+        F.sort_array(slots),
+        lambda s: F.when(F.size(s) > 0, runs(s)).when(F.size(s) == 0, empty),
+    )
 
 
 def unit_terms(terms: Column) -> Column:

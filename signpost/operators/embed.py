@@ -57,6 +57,10 @@ def embed(
 
 def vector_rows(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec") -> DataFrame:
     """Long form of a sparse vector: (id, dim, v)."""
-    return df.select(id_col, F.inline(vec_col)).select(
-        id_col, F.col("dim").cast("bigint").alias("dim"), F.col("val").alias("v")
+    # the outer form: for a plain one Spark infers a filter on the array and
+    # pushes a second copy of the whole embedding below it
+    return (
+        df.select(id_col, F.inline_outer(vec_col))
+        .filter(F.col("dim").isNotNull())
+        .select(id_col, F.col("dim").cast("bigint").alias("dim"), F.col("val").alias("v"))
     )

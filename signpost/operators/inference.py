@@ -190,13 +190,18 @@ def parse_replies(
     Form A wins if it matches anywhere; otherwise form B is read, and text that
     is neither, or broken JSON, yields no row. Categories keep their case.
     """
-    return replies.select(
-        batch_col, F.posexplode(_entries(F.col(reply_col))).alias("pos", "_e")
-    ).select(
-        batch_col,
-        F.col("pos").cast("bigint").alias("pos"),
-        F.col("_e.article_id").alias("article_id"),
-        F.col("_e.category").alias("category"),
+    # the outer form, so that the reply is not parsed once more for a pushed filter
+    return (
+        replies.select(
+            batch_col, F.posexplode_outer(_entries(F.col(reply_col))).alias("pos", "_e")
+        )
+        .filter(F.col("pos").isNotNull())
+        .select(
+            batch_col,
+            F.col("pos").cast("bigint").alias("pos"),
+            F.col("_e.article_id").alias("article_id"),
+            F.col("_e.category").alias("category"),
+        )
     )
 
 
@@ -253,7 +258,7 @@ def classify_batches(replies: DataFrame, classes: Sequence[str]) -> DataFrame:
         replies.withColumn("_parsed", _entries(F.col("reply")))
         .withColumn("_picked", picked)
         .drop("reply", "article_ids", "_parsed")
-        .withColumn("_one", F.explode("_picked"))
+        .withColumn("_one", F.explode_outer("_picked"))
         .select("*", "_one.article_id", "_one.category")
         .drop("_one", "_picked")
     )

@@ -44,31 +44,33 @@ def route_references(
     )
 
 
-def centroid_rows(references: DataFrame, vec_col: str = "vec") -> DataFrame:
-    """Mean of the sparse unit vectors of each route, long form: (route, dim, v).
-
-    For unit vectors the mean distance to a route's references is one minus the
-    dot product with their mean, so this is all an average-distance router needs.
-    """
-    # one entry more per reference counts them in the same pass: dimension -1
+def _means(references: DataFrame, vec_col: str) -> DataFrame:
+    """Mean per (route, dim), with a row at dimension -1 for every route."""
+    # one entry more per reference counts them in the same pass
     marker = F.struct(F.lit(-1).alias("dim"), F.lit(1.0).alias("val"))
     sums = (
-        references.select("route", F.inline(F.concat(F.col(vec_col), F.array(marker))))
+        references.select("route", F.inline_outer(F.concat(F.col(vec_col), F.array(marker))))
+        .filter(F.col("dim").isNotNull())
         .groupBy("route", "dim")
         .agg(F.sum("val").alias("_sum"))
     )
     size = F.max(F.when(F.col("dim") < 0, F.col("_sum"))).over(Window.partitionBy("route"))
-    return (
-        sums.withColumn("_n", size)
-        .filter("dim >= 0")
-        .select(
-            "route",
-            F.col("dim").cast("bigint").alias("dim"),
-            (F.col("_sum") / F.col("_n")).alias("v"),
-        )
+    return sums.withColumn("_n", size).select(
+        "route",
+        F.col("dim").cast("bigint").alias("dim"),
+        (F.col("_sum") / F.col("_n")).alias("v"),
     )
 
 
+def centroid_rows(references: DataFrame, vec_col: str = "vec") -> DataFrame:
+    """Mean of the sparse unit vectors of each route, long form: (route, dim, v).
+
+    For unit vectors the mean distance to a route's references is one minus the
+    dot product with their mean, so this is all an average-distance router needs.
+    """
+    return _means(references, vec_col).filter("dim >= 0")
+
+
 def _dense(entries: Column, dims: int) -> Column:
     """Array of ``dims`` doubles from an array of (dim, v) structs."""
     return let(
@@ -95,10 +97,12 @@ def build_routes(
     fraction("threshold", threshold)
     embedded = embed_hashed(references, text_col, dims)
     if agg == "avg":
+        # the row at -1 keeps a route whose references have no words at all
+        entry = F.when(F.col("dim") >= 0, F.struct("dim", "v"))
         entries = (
-            centroid_rows(embedded)
+            _means(embedded, "vec")
             .groupBy("route")
-            .agg(F.collect_list(F.struct("dim", "v")).alias("_entries"))
+            .agg(F.collect_list(entry).alias("_entries"))
             .withColumn("ref_id", F.lit(0).cast("bigint"))
         )
     elif agg == "min":

@@ -9,6 +9,10 @@ per centroid or per reference. Its size is counted before use:
   block through an equi-join on (block, salt), keeps its best routes per block,
   and the best of the blocks are merged. Exact as well, and no task ever holds
   more than one block or one salt's share of the articles.
+
+Arrays are exploded in the outer form and emptied of nulls afterwards: for the
+plain form Spark infers a filter on the array, and pushing it down repeats the
+embedding and the distances below it.
 """
 
 from __future__ import annotations
@@ -99,6 +103,10 @@ def _matrix_distances(routes: DataFrame, vec: Column, sparse: bool) -> Column:
         values = np.asarray(column.flatten())
         return np.repeat(np.arange(len(column)), sizes), values
 
+    def once(udf):
+        # marked so that no rule copies the product into a pushed-down filter
+        return udf.asNondeterministic()
+
     if sparse:
 
         @F.arrow_udf("array<double>")
@@ -108,7 +116,7 @@ def _matrix_distances(routes: DataFrame, vec: Column, sparse: bool) -> Column:
             queries[owner, slots] = lists(vals)[1]
             return nearest(queries)
 
-        made = distances(
+        made = once(distances)(
             F.transform(vec, lambda e: e["dim"]), F.transform(vec, lambda e: e["val"])
         )
     else:
@@ -121,7 +129,7 @@ def _matrix_distances(routes: DataFrame, vec: Column, sparse: bool) -> Column:
             queries[owner, np.arange(len(values)) % width] = values
             return nearest(queries)
 
-        made = distances(vec)
+        made = once(distances)(vec)
     thresholds = {r["route"]: r["threshold"] for r in rows}
     head = F.array(
         *[F.struct(F.lit(n).alias("route"), F.lit(thresholds[n]).alias("threshold")) for n in names]
@@ -226,7 +234,8 @@ def candidate_routes(
         ).drop("distances")
     pairs = (
         _block_distances(df, routes, id_col, vec, sparse, cells, max_cells)
-        .select(id_col, F.inline(_nearest(F.col("distances"), k, within_threshold)))
+        .select(id_col, F.inline_outer(_nearest(F.col("distances"), k, within_threshold)))
+        .filter(F.col("route").isNotNull())
         # a route whose references lie in several blocks comes back once per block
         .groupBy(id_col, "route")
         .agg(F.min("distance").alias("distance"))
@@ -254,12 +263,14 @@ def distance_rows(
     if cells <= max_cells:
         return (
             _inline_distances(df, routes, vec, sparse, vectors)
-            .select(id_col, *keep, F.inline("distances"))
+            .select(id_col, *keep, F.inline_outer("distances"))
+            .filter(F.col("route").isNotNull())
             .drop("threshold")
         )
     rows = (
         _block_distances(df, routes, id_col, vec, sparse, cells, max_cells)
-        .select(id_col, F.inline("distances"))
+        .select(id_col, F.inline_outer("distances"))
+        .filter(F.col("route").isNotNull())
         .groupBy(id_col, "route")
         .agg(F.min("distance").alias("distance"))
     )
@@ -276,11 +287,15 @@ def with_best_route(df: DataFrame) -> DataFrame:
 
 def top_routes(df: DataFrame, id_col: str = "vec_id") -> DataFrame:
     """Turn ``candidates`` into rows (id, rank, route, distance)."""
-    return df.select(id_col, F.posexplode("candidates").alias("_pos", "_c")).select(
-        id_col,
-        (F.col("_pos") + 1).cast("bigint").alias("rank"),
-        F.col("_c.route").alias("route"),
-        F.col("_c.distance").alias("distance"),
+    return (
+        df.select(id_col, F.posexplode_outer("candidates").alias("_pos", "_c"))
+        .filter(F.col("_pos").isNotNull())
+        .select(
+            id_col,
+            (F.col("_pos") + 1).cast("bigint").alias("rank"),
+            F.col("_c.route").alias("route"),
+            F.col("_c.distance").alias("distance"),
+        )
     )
 
 
