@@ -278,10 +278,15 @@ def distance_rows(
 
 
 def with_best_route(df: DataFrame) -> DataFrame:
-    """Turn ``candidates`` into (route, distance); both null where nothing matched."""
-    best = F.get("candidates", F.lit(0))
-    return df.withColumn("route", best["route"]).withColumn("distance", best["distance"]).drop(
-        "candidates"
+    """Turn ``candidates`` into (route, distance); both null where nothing matched.
+
+    Of each article only the first candidate is read, so there is one row per
+    article. Unfolding it, instead of picking fields of it, keeps filters on the
+    route above the distances: pushed below, they would compute them again.
+    """
+    others = [c for c in df.columns if c != "candidates"]
+    return df.select(*others, F.inline_outer(F.slice("candidates", 1, 1))).select(
+        *others, "route", "distance"
     )
 
 

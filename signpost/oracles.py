@@ -6,7 +6,6 @@ definition the Spark plans are checked against, on a small scale.
 
 from __future__ import annotations
 
-from signpost.functions.text import WHITESPACE as WS
 from signpost.operators.costs import DEFAULT_PRICE, MODELS
 from signpost.operators.inference import PROMPT_HEAD, PROMPT_TAIL, REPLY_LIST, REPLY_OBJECT
 from signpost.operators.runs import METRIC_CATEGORIES, OTHER_CATEGORY
@@ -26,6 +25,11 @@ from signpost.queries import (
 )
 
 DIMS = 256
+# white space as a class of DuckDB's expression engine
+WS = (
+    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 FIRST = CLASSES[0]
 CLASS_LIST = ", ".join(f"'{c}'" for c in CLASSES)
 SQL: dict[str, str] = {}
