@@ -248,6 +248,12 @@ SQL["best_thresholds"] = f"""
 WITH {_SWEEP} SELECT route, threshold, round(f, 9) AS f1 FROM fscored
 QUALIFY row_number() OVER (PARTITION BY route ORDER BY round(f, 12) DESC, threshold) = 1"""
 
+SQL["trained_thresholds"] = f"""
+WITH {_SWEEP}, best AS (SELECT route, threshold FROM fscored
+  QUALIFY row_number() OVER (PARTITION BY route ORDER BY round(f, 12) DESC, threshold) = 1)
+SELECT route, coalesce(o.threshold, b.threshold) AS threshold
+FROM best b LEFT JOIN (VALUES {_OVERRIDES}) o(route, threshold) USING (route)"""
+
 # -- batches of model calls ------------------------------------------------------
 
 _BEFORE, _AFTER = PROMPT_TAIL.split("%d")
@@ -308,12 +314,13 @@ SELECT batch_id, article_id, CASE WHEN valid THEN c ELSE '{FIRST}' END AS predic
   NOT valid AS is_fallback FROM joined"""
 
 _NAMES = "[" + ", ".join(f"'{c}'" for c in [*CLASSES, "xx"]) + "]"
-SQL["llm_classify"] = f"""
-WITH {_PROMPTS},
+_ANSWERED = f"""{_PROMPTS},
 answers AS (SELECT p.batch_id, p.prompt, p.first_id % 70 = 30 AS failed,
   string_agg('{{"article_id": ' || b.doc_id || ', "category": "'
     || {_NAMES}[CAST(b.doc_id % 5 + 1 AS INTEGER)] || '"}}', chr(10) ORDER BY b.idx) reply
-  FROM prompts p JOIN batches b USING (batch_id) GROUP BY ALL)
+  FROM prompts p JOIN batches b USING (batch_id) GROUP BY ALL)"""
+SQL["llm_classify"] = f"""
+WITH {_ANSWERED}
 SELECT b.batch_id, b.doc_id AS article_id,
   CASE WHEN failed OR b.doc_id % 5 = 4 THEN '{FIRST}'
     ELSE {_NAMES}[CAST(b.doc_id % 5 + 1 AS INTEGER)] END AS prediction,
@@ -430,6 +437,47 @@ SQL["averaged_metrics"] = f"""
 WITH {_routed()}, {_report()}, means AS (SELECT {_MEANS} FROM report)
 SELECT round(COLUMNS(*), 9) FROM means"""
 
+_LONG_METRICS = f"""
+doubles AS (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM one)
+SELECT CASE {_CATEGORY} ELSE '{OTHER_CATEGORY}' END AS category, metric,
+  round(value, 9) AS value
+FROM (UNPIVOT doubles ON COLUMNS(*) INTO NAME metric VALUE value)"""
+
+SQL["router_run_metrics"] = f"""
+WITH {_routed()}, {_report()}, means AS (SELECT {_MEANS} FROM report),
+used AS (SELECT count(*) n, sum({_tokens("text")}) t, count(*) FILTER (WHERE lang = prediction) ok,
+  sum({_tokens("text")} / 1000.0 * 0.00002::DOUBLE) cost FROM routed),
+one AS (SELECT n AS total_articles, n AS successful_articles, 0 AS failed_articles,
+  1 AS total_batches, 1 AS successful_batches, 0 AS failed_batches, 1 AS success_rate,
+  0 AS total_latency, 0 AS avg_batch_latency, 0 AS avg_latency_per_article, cost AS total_cost,
+  cost / n AS cost_per_article, 0 AS total_prompt_tokens, 0 AS total_completion_tokens,
+  t AS total_tokens, 0 AS avg_prompt_tokens_per_article, 0 AS avg_completion_tokens_per_article,
+  t / n AS avg_tokens_per_article, ok / n AS accuracy, ok AS correct_predictions,
+  n AS total_predictions, means.* FROM used, means),
+{_LONG_METRICS}"""
+
+SQL["llm_run_metrics"] = f"""
+WITH {_ANSWERED},
+paid AS (SELECT batch_id, failed, n_articles n, CASE WHEN failed THEN 0 ELSE {_tokens("prompt")} END pt,
+  CASE WHEN failed THEN 0 ELSE {_tokens("reply")} END ct
+  FROM answers JOIN (SELECT batch_id, n_articles FROM prompts) USING (batch_id)),
+classified AS (SELECT lang, CASE WHEN doc_id % 5 = 4 THEN '{FIRST}'
+    ELSE {_NAMES}[CAST(doc_id % 5 + 1 AS INTEGER)] END prediction
+  FROM batches JOIN answers USING (batch_id) JOIN documents USING (doc_id) WHERE NOT failed),
+{_report("classified")}, means AS (SELECT {_MEANS} FROM report),
+hits AS (SELECT count(*) total, count(*) FILTER (WHERE lang = prediction) ok FROM classified),
+sums AS (SELECT sum(n) ta, sum(n) FILTER (WHERE NOT failed) sa, count(*) tb,
+  count(*) FILTER (WHERE NOT failed) sb, sum(pt) pt, sum(ct) ct,
+  sum((pt * 0.001::DOUBLE + ct * 0.005::DOUBLE) / 1000) cost FROM paid),
+one AS (SELECT ta AS total_articles, sa AS successful_articles, ta - sa AS failed_articles,
+  tb AS total_batches, sb AS successful_batches, tb - sb AS failed_batches,
+  sb / tb AS success_rate, cost AS total_cost, cost / sa AS cost_per_article,
+  pt AS total_prompt_tokens, ct AS total_completion_tokens, pt + ct AS total_tokens,
+  pt / sa AS avg_prompt_tokens_per_article, ct / sa AS avg_completion_tokens_per_article,
+  (pt + ct) / sa AS avg_tokens_per_article, ok / total AS accuracy, ok AS correct_predictions,
+  total AS total_predictions, means.* FROM sums, hits, means),
+{_LONG_METRICS}"""
+
 # -- runs ------------------------------------------------------------------------
 
 _MESSAGES = "[" + ", ".join(_text(m) for m in MESSAGES) + "]"

@@ -252,8 +252,7 @@ def prediction_fallback(spark: SparkSession, sf: str) -> DataFrame:
 def _calibration_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Distances of the validation side to routes sampled from the train side."""
     docs = _documents(spark, sf)
-    unique = materialize(ar.dedupe_text(_table(spark, sf, "documents")).select("doc_id", "lang"))
-    split = materialize(ar.stratified_split(unique))
+    split = _split(spark, sf)
 
     def side(name: str) -> DataFrame:
         return split.filter(F.col("split") == name).drop("split")
@@ -276,6 +275,31 @@ def best_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(th.best_thresholds(sweep), 9, "f1")
 
 
+def _split(spark: SparkSession, sf: str) -> DataFrame:
+    """Deduplicated documents with their side of the split: (doc_id, lang, split), written."""
+    unique = materialize(ar.dedupe_text(_table(spark, sf, "documents")).select("doc_id", "lang"))
+    return materialize(ar.stratified_split(unique))
+
+
+def trained_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    """Training as a whole: split, sample, embed, calibrate, override."""
+    split = _split(spark, sf)
+    train, validation = (
+        split.filter(F.col("split") == side).drop("split") for side in ("train", "validation")
+    )
+    routes = pr.train_router(
+        train,
+        SAMPLES,
+        THRESHOLD,
+        calibration=_documents(spark, sf).join(
+            validation.select("doc_id"), "doc_id", "left_semi"
+        ),
+        overrides=OVERRIDES,
+        texts=_table(spark, sf, "documents"),
+    )
+    return routes.select("route", "threshold")
+
+
 # -- batches of model calls ------------------------------------------------------
 
 
@@ -405,6 +429,23 @@ def llm_classify(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def llm_run_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """All metrics of a model run but its latency, which is measured."""
+    docs = _table(spark, sf, "documents")
+    replies = bi.reply_batches(docs, CLASSES, _stand_in_model(CLASSES), BATCH, max_retries=1)
+    labels = docs.select(F.col("doc_id").alias("article_id"), F.col("lang").alias("true_label"))
+    predicted = bi.classify_with_model(replies, CLASSES).withColumn(
+        "confidence", F.lit(None).cast("double")
+    )
+    classified = materialize(
+        predicted.join(labels, "article_id").select(
+            "true_label", "prediction", "confidence", "status"
+        )
+    )
+    metrics = pr.run_metrics(bi.reply_metrics_input(replies, 0.001, 0.005), classified)
+    return _rounded(metrics.filter(F.col("category") != "latency_metrics"), 9, "value")
+
+
 # -- cost ------------------------------------------------------------------------
 
 
@@ -535,6 +576,16 @@ def averaged_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(means, 9, *means.columns)
 
 
+def router_run_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """All metrics of a router run: routing, cost, quality, by category."""
+    routed = _routed(spark, sf, "avg").withColumn("model", F.lit("text-embedding-3-small"))
+    classified = materialize(
+        co.with_token_cost(routed).select("lang", "prediction", "confidence", "tokens", "cost")
+    )
+    batch = pr.router_batch(classified, 0.0, classified)
+    return _rounded(pr.run_metrics(batch, classified, "lang"), 9, "value")
+
+
 # -- runs ------------------------------------------------------------------------
 
 
@@ -668,10 +719,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         prediction_fallback,
         threshold_sweep,
         best_thresholds,
+        trained_thresholds,
         prompt_batches,
         llm_reply_parse,
         llm_reply_join,
         llm_classify,
+        llm_run_metrics,
         token_estimate,
         embedding_cost,
         cost_ledger,
@@ -681,6 +734,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         confusion_matrix,
         class_report,
         averaged_metrics,
+        router_run_metrics,
         classification_report_rows,
         metric_categories,
         run_listing,

@@ -33,14 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master may fall back to a folder of this machine: executors
     of a cluster could not read it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="signpost-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="signpost-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
