@@ -1,280 +1,15 @@
-"""Routing: the nearest routes of every article under the routes' thresholds.
-
-A route table has (route, ref_id, threshold, vec) with dense vectors, one row
-per centroid or per reference. Its size is counted before use:
-
-* up to ``max_cells`` numbers it is carried to the tasks whole, and routing is a
-  projection of the article scan: no shuffle, no join;
-* beyond that it is cut into blocks of that size. Every article meets every
-  block through an equi-join on (block, salt), keeps its best routes per block,
-  and the best of the blocks are merged. Exact as well, and no task ever holds
-  more than one block or one salt's share of the articles.
-
-Arrays are exploded in the outer form and emptied of nulls afterwards: for the
-plain form Spark infers a filter on the array, and pushing it down repeats the
-embedding and the distances below it.
-"""
+"""Routing: best and nearest routes of articles, those without one, the fallback."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signpost.checks import positive
 from signpost.functions import scoring
 from signpost.functions import vectors as vx
-
-MAX_CELLS = 1_000_000  # 8 MB of doubles, about Spark's own limit for broadcasts
-_PRODUCT_CELLS = 4_000_000  # distances held at once by one task
-
-_DISTANCES = "array<struct<route:string,threshold:double,distance:double>>"
-_CANDIDATES = "array<struct<distance:double,route:string>>"
-
-
-def _cells(routes: DataFrame) -> tuple[int, int]:
-    """Number of vectors and of numbers in the route table (it was written: cheap)."""
-    row = routes.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("cells")
-    ).first()
-    return row["n"], row["cells"]
-
-
-def _packed(routes: DataFrame, *keys: str) -> DataFrame:
-    """Routes as one array per key, each route with all its vectors, in route order."""
-    per_route = routes.groupBy(*keys, "route").agg(
-        F.max("threshold").alias("threshold"), F.collect_list("vec").alias("vecs")
-    )
-    entry = F.struct("route", "threshold", "vecs")
-    return per_route.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_routes"))
-
-
-def _dot(sparse: bool):
-    return vx.sparse_dot if sparse else vx.dense_dot
-
-
-def _distances(vec: Column, packed: Column, sparse: bool) -> Column:
-    """Distance to every packed route, the smallest over the route's vectors."""
-    dot = _dot(sparse)
-    return vx.let(
-        vec,
-        lambda v: F.transform(
-            packed,
-            lambda r: F.struct(
-                r["route"].alias("route"),
-                r["threshold"].alias("threshold"),
-                F.array_min(
-                    F.transform(r["vecs"], lambda ref: vx.rounded_distance(dot(v, ref)))
-                ).alias("distance"),
-            ),
-        ),
-    )
-
-
-def _matrix_distances(routes: DataFrame, vec: Column, sparse: bool) -> Column:
-    """The same distances by one matrix product per Arrow batch, for many references.
-
-    The references were counted to be at most ``max_cells`` numbers, so the
-    matrix may go to every executor.
-    """
-    rows = routes.select("route", "threshold", "vec").orderBy("route", "ref_id").collect()
-    names = sorted({r["route"] for r in rows})
-    firsts = [next(i for i, r in enumerate(rows) if r["route"] == n) for n in names]
-    matrix = np.array([r["vec"] for r in rows], dtype="float64")
-    shared = routes.sparkSession.sparkContext.broadcast((matrix, np.array(firsts)))
-
-    step = max(1, _PRODUCT_CELLS // len(rows))
-
-    def nearest(queries: np.ndarray) -> pa.Array:
-        refs, starts = shared.value
-        best = np.empty((len(queries), len(starts)))
-        for at in range(0, len(queries), step):
-            dots = queries[at : at + step] @ refs.T
-            best[at : at + step] = 1.0 - np.maximum.reduceat(dots, starts, axis=1)
-        offsets = np.arange(0, best.size + 1, len(starts), dtype="int32")
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(best.ravel()))
-
-    def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.asarray(column.value_lengths().fill_null(0), dtype="int64")
-        values = np.asarray(column.flatten())
-        return np.repeat(np.arange(len(column)), sizes), values
-
-    def once(udf):
-        # marked so that no rule copies the product into a pushed-down filter
-        return udf.asNondeterministic()
-
-    if sparse:
-
-        @F.arrow_udf("array<double>")
-        def distances(dims: pa.Array, vals: pa.Array) -> pa.Array:
-            owner, slots = lists(dims)
-            queries = np.zeros((len(dims), shared.value[0].shape[1]))
-            queries[owner, slots] = lists(vals)[1]
-            return nearest(queries)
-
-        made = once(distances)(
-            F.transform(vec, lambda e: e["dim"]), F.transform(vec, lambda e: e["val"])
-        )
-    else:
-
-        @F.arrow_udf("array<double>")
-        def distances(dense: pa.Array) -> pa.Array:
-            owner, values = lists(dense)
-            width = shared.value[0].shape[1]
-            queries = np.zeros((len(dense), width))
-            queries[owner, np.arange(len(values)) % width] = values
-            return nearest(queries)
-
-        made = once(distances)(vec)
-    thresholds = {r["route"]: r["threshold"] for r in rows}
-    head = F.array(
-        *[F.struct(F.lit(n).alias("route"), F.lit(thresholds[n]).alias("threshold")) for n in names]
-    )
-    return F.zip_with(
-        head,
-        made,
-        lambda h, d: F.struct(
-            h["route"].alias("route"),
-            h["threshold"].alias("threshold"),
-            F.round(d, vx.DISTANCE_DIGITS).alias("distance"),
-        ),
-    )
-
-
-def _inline_distances(
-    df: DataFrame, routes: DataFrame, vec: str, sparse: bool, vectors: int
-) -> DataFrame:
-    """Add ``distances``, one entry per route in route order."""
-    if vectors == 0:
-        return df.withColumn("distances", F.expr(f"cast(array() as {_DISTANCES})"))
-    per_route = routes.select("route").distinct().count()
-    if vectors > per_route:
-        made = _matrix_distances(routes, F.col(vec), sparse)
-        return df.withColumn("distances", F.when(F.col(vec).isNotNull(), made))
-    # no vector (a missing text): no distances either
-    return (
-        df.withColumn("_routes", _packed(routes).scalar())
-        .withColumn(
-            "distances",
-            F.when(F.col(vec).isNotNull(), _distances(F.col(vec), F.col("_routes"), sparse)),
-        )
-        .drop("_routes")
-    )
-
-
-def _nearest(distances: Column, k: int, within: bool) -> Column:
-    """The k smallest (distance, route) of an array of distances."""
-    kept = F.filter(distances, lambda d: d["distance"] <= d["threshold"]) if within else distances
-    pairs = F.transform(kept, lambda d: F.struct(d["distance"], d["route"]))
-    if k == 1:
-        return F.filter(F.array(F.array_min(pairs)), lambda c: c.isNotNull())
-    return F.slice(F.sort_array(pairs), 1, k)
-
-
-def _blocks(routes: DataFrame, cells: int, max_cells: int) -> tuple[DataFrame, int]:
-    n_blocks = max(1, math.ceil(cells / max_cells))
-    blocked = routes.withColumn("_block", F.pmod(F.xxhash64("route", "ref_id"), F.lit(n_blocks)))
-    return _packed(blocked, "_block"), n_blocks
-
-
-def _upto(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-
-
-def _block_distances(
-    df: DataFrame,
-    routes: DataFrame,
-    id_col: str,
-    vec: str,
-    sparse: bool,
-    cells: int,
-    max_cells: int,
-) -> DataFrame:
-    """(id, distances to the routes of one block), one row per article and block."""
-    packed, n_blocks = _blocks(routes, cells, max_cells)
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, math.ceil(spread / n_blocks))
-    left = (
-        df.filter(F.col(vec).isNotNull())
-        .select(id_col, vec)
-        .withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
-        .withColumn("_block", F.explode(_upto(n_blocks)))
-    )
-    right = packed.withColumn("_salt", F.explode(_upto(salts)))
-    return left.join(right, ["_block", "_salt"]).select(
-        id_col, _distances(F.col(vec), F.col("_routes"), sparse).alias("distances")
-    )
-
-
-def candidate_routes(
-    df: DataFrame,
-    routes: DataFrame,
-    id_col: str = "doc_id",
-    vec: str = "vec",
-    k: int = 1,
-    within_threshold: bool = True,
-    sparse: bool = True,
-    max_cells: int = MAX_CELLS,
-) -> DataFrame:
-    """Add ``candidates``: the k nearest (distance, route) of each article, nearest first.
-
-    With ``within_threshold`` a route counts only if its distance is at most its
-    own threshold. Equal distances go to the smaller route name.
-    """
-    positive("k", k)
-    positive("max_cells", max_cells)
-    vectors, cells = _cells(routes)
-    if cells <= max_cells:
-        return _inline_distances(df, routes, vec, sparse, vectors).withColumn(
-            "candidates", _nearest(F.col("distances"), k, within_threshold)
-        ).drop("distances")
-    pairs = (
-        _block_distances(df, routes, id_col, vec, sparse, cells, max_cells)
-        .select(id_col, F.inline_outer(_nearest(F.col("distances"), k, within_threshold)))
-        .filter(F.col("route").isNotNull())
-        # a route whose references lie in several blocks comes back once per block
-        .groupBy(id_col, "route")
-        .agg(F.min("distance").alias("distance"))
-    )
-    merged = pairs.groupBy(id_col).agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("distance", "route"))), 1, k).alias(
-            "candidates"
-        )
-    )
-    none = F.expr(f"cast(array() as {_CANDIDATES})")
-    return df.join(merged, id_col, "left").withColumn("candidates", F.coalesce("candidates", none))
-
-
-def distance_rows(
-    df: DataFrame,
-    routes: DataFrame,
-    id_col: str = "doc_id",
-    vec: str = "vec",
-    keep: Sequence[str] = (),
-    sparse: bool = True,
-    max_cells: int = MAX_CELLS,
-) -> DataFrame:
-    """Distance of every article to every route: (id, *keep, route, distance)."""
-    vectors, cells = _cells(routes)
-    if cells <= max_cells:
-        return (
-            _inline_distances(df, routes, vec, sparse, vectors)
-            .select(id_col, *keep, F.inline_outer("distances"))
-            .filter(F.col("route").isNotNull())
-            .drop("threshold")
-        )
-    rows = (
-        _block_distances(df, routes, id_col, vec, sparse, cells, max_cells)
-        .select(id_col, F.inline_outer("distances"))
-        .filter(F.col("route").isNotNull())
-        .groupBy(id_col, "route")
-        .agg(F.min("distance").alias("distance"))
-    )
-    return rows.join(df.select(id_col, *keep), id_col) if keep else rows
+from signpost.operators.distances import MAX_CELLS, candidate_routes
 
 
 def with_best_route(df: DataFrame) -> DataFrame:

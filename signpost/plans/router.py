@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signpost.operators.distances import distance_rows
 from signpost.operators.embed import DEFAULT_DIMS, EmbedderFactory, embed
 from signpost.operators.quality import (
     SUCCESS,
@@ -23,7 +24,7 @@ from signpost.operators.routes import (
     overrides_frame,
     route_references,
 )
-from signpost.operators.routing import distance_rows, route_articles
+from signpost.operators.routing import route_articles
 from signpost.operators.runs import metric_rows
 from signpost.operators.thresholds import best_thresholds, threshold_sweep
 from signpost.session import materialize

@@ -16,6 +16,7 @@ from signpost.functions import text as tx
 from signpost.functions import vectors as vx
 from signpost.operators import articles as ar
 from signpost.operators import costs as co
+from signpost.operators import distances as di
 from signpost.operators import embed as em
 from signpost.operators import inference as inf
 from signpost.operators import quality as qu
@@ -179,7 +180,7 @@ def route_min(spark: SparkSession, sf: str) -> DataFrame:
 def unrouted_articles(spark: SparkSession, sf: str) -> DataFrame:
     docs = em.embed_hashed(_documents(spark, sf))
     routes = pr.train_router(_table(spark, sf, "documents"), SAMPLES, THRESHOLD)
-    return rt.unrouted(rt.with_best_route(rt.candidate_routes(docs, routes)))
+    return rt.unrouted(rt.with_best_route(di.candidate_routes(docs, routes)))
 
 
 def _dense_articles(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,7 +208,7 @@ def route_dense(spark: SparkSession, sf: str) -> DataFrame:
     def routed(agg: str) -> DataFrame:
         routes = _dense_routes(spark, sf, agg, DENSE_THRESHOLDS[agg])
         best = rt.with_best_route(
-            rt.candidate_routes(_dense_articles(spark, sf), routes, "vec_id", sparse=False)
+            di.candidate_routes(_dense_articles(spark, sf), routes, "vec_id", sparse=False)
         )
         return best.select(
             "vec_id",
@@ -224,7 +225,7 @@ def route_dense(spark: SparkSession, sf: str) -> DataFrame:
 
 def topk_routes(spark: SparkSession, sf: str) -> DataFrame:
     routes = _dense_routes(spark, sf, "avg", DENSE_THRESHOLDS["avg"])
-    ranked = rt.candidate_routes(
+    ranked = di.candidate_routes(
         _dense_articles(spark, sf), routes, "vec_id", k=3, within_threshold=False, sparse=False
     )
     return rt.top_routes(ranked)
@@ -261,7 +262,7 @@ def _calibration_rows(spark: SparkSession, sf: str) -> DataFrame:
         side("train"), SAMPLES, THRESHOLD, texts=_table(spark, sf, "documents")
     )
     validation = docs.join(side("validation").select("doc_id"), "doc_id", "left_semi")
-    return rt.distance_rows(em.embed_hashed(validation), routes, keep=["lang"])
+    return di.distance_rows(em.embed_hashed(validation), routes, keep=["lang"])
 
 
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:

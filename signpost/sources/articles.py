@@ -52,7 +52,8 @@ def ensure_split(
     if not table_exists(spark, path):
         unique = dedupe_text(articles, "article_id", "text")
         split = stratified_split(unique, "article_id", "label", validation_share, seed)
-        split.write.mode("ignore").partitionBy("split").parquet(path)
+        # overwrites what a failed job may have left, never a readable split
+        split.write.mode("overwrite").partitionBy("split").parquet(path)
     return spark.read.parquet(path)
 
 

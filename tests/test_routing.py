@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signpost.functions.scoring import NO_CLASS
+from signpost.operators import distances as di
 from signpost.operators import routes as ro
 from signpost.operators import routing as rt
 from signpost.operators.embed import embed_hashed
@@ -71,7 +72,7 @@ def frames(spark, data, agg, threshold=0.6):
 
 
 @pytest.mark.parametrize("agg", ["avg", "min"])
-@pytest.mark.parametrize("max_cells", [rt.MAX_CELLS, 40])
+@pytest.mark.parametrize("max_cells", [di.MAX_CELLS, 40])
 @pytest.mark.parametrize("threshold", [0.6, 1.0])
 def test_routing_matches_brute_force(spark, data, agg, max_cells, threshold):
     routes, articles = frames(spark, data, agg, threshold)
@@ -94,12 +95,29 @@ def test_routing_matches_brute_force(spark, data, agg, max_cells, threshold):
             assert (row["prediction"], row["confidence"]) == ("a", 0.1)
 
 
-@pytest.mark.parametrize("max_cells", [rt.MAX_CELLS, 40])
+@pytest.mark.parametrize("way", ["matrix", "blocks", "row"])
+def test_every_way_gives_the_same_distances(spark, data, monkeypatch, way):
+    routes, articles = frames(spark, data, "avg")
+    want = sorted(map(tuple, di.distance_rows(articles, routes).collect()))
+    monkeypatch.setattr(di, "PRODUCT_CELLS", 70)  # two articles per slice
+    monkeypatch.setattr(di, "GROUP_ROWS", 30)
+    monkeypatch.setattr(di, "ROW_CELLS", 0 if way == "matrix" else di.ROW_CELLS)
+    cells = 40 if way == "blocks" else di.MAX_CELLS
+    got = sorted(map(tuple, di.distance_rows(articles, routes, max_cells=cells).collect()))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) <= 1.1e-9 for g, w in zip(got, want))
+    kept = di.distance_rows(
+        articles.withColumn("more", F.lit(1)), routes, keep=["more"], max_cells=cells
+    )
+    assert kept.filter("more = 1").count() == len(want)
+
+
+@pytest.mark.parametrize("max_cells", [di.MAX_CELLS, 40])
 def test_top_routes_and_distance_rows(spark, data, max_cells):
     routes, articles = frames(spark, data, "min")
     want = distances(*data, "min")
     ranked = rt.top_routes(
-        rt.candidate_routes(
+        di.candidate_routes(
             articles, routes, k=2, within_threshold=False, max_cells=max_cells
         ),
         "doc_id",
@@ -110,7 +128,7 @@ def test_top_routes_and_distance_rows(spark, data, max_cells):
     for i, per in want.items():
         near = sorted((d, r) for r, d in per.items())[:2]
         assert [got[i][k][1] for k in sorted(got[i])] == [r for _, r in near]
-    rows = rt.distance_rows(articles, routes, max_cells=max_cells).collect()
+    rows = di.distance_rows(articles, routes, max_cells=max_cells).collect()
     assert len(rows) == sum(len(p) for p in want.values())
     for r in rows:
         assert r["distance"] == pytest.approx(want[r["doc_id"]][r["route"]], abs=2e-9)
@@ -140,7 +158,7 @@ def test_route_without_words_keeps_distance_one(spark):
     for agg in ("avg", "min"):
         routes = ro.build_routes(refs, 1.0, agg, DIMS)
         rows = {(r["doc_id"], r["route"]): r["distance"] for r in
-                rt.distance_rows(docs, routes).collect()}
+                di.distance_rows(docs, routes).collect()}
         assert rows == {(1, "blank"): 1.0, (1, "full"): 0.0, (2, "blank"): 1.0, (2, "full"): 1.0}
 
 
@@ -171,11 +189,11 @@ def test_dense_routing(spark, agg):
     docs = spark.createDataFrame(
         [(i, unit(v).tolist()) for i, v in queries], "doc_id bigint, vec array<double>"
     )
-    for cells in (rt.MAX_CELLS, 30):
+    for cells in (di.MAX_CELLS, 30):
         got = {
             r["doc_id"]: (r["route"], r["distance"])
             for r in rt.with_best_route(
-                rt.candidate_routes(docs, routes, sparse=False, max_cells=cells)
+                di.candidate_routes(docs, routes, sparse=False, max_cells=cells)
             ).collect()
         }
         for i, v in queries:
@@ -288,7 +306,7 @@ def test_plan_is_one_scan_without_shuffle(spark, sf):
     assert "CartesianProduct" not in full and "NestedLoop" not in full
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in full
     blocked = plan_of(
-        rt.candidate_routes(embed_hashed(docs), routes, max_cells=300).select("doc_id")
+        di.candidate_routes(embed_hashed(docs), routes, max_cells=300).select("doc_id")
     )
     assert "CartesianProduct" not in blocked and "NestedLoop" not in blocked
 
