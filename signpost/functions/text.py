@@ -43,7 +43,7 @@ def word_count(text: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """1.3 tokens per word, rounded down per text (integer arithmetic: no float edge)."""
-    return F.floor(word_count(text) * F.lit(13) / F.lit(10)).cast("bigint")
+    return F.call_function("div", word_count(text) * F.lit(13), F.lit(10))
 
 
 def truncated(text: Column, max_chars: int) -> Column:

@@ -37,9 +37,8 @@ def dedupe_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Texts are grouped by SHA-256, so what is shuffled to find the keepers is a
     digest and an id per distinct text and task, however many copies a text has.
     """
-    keepers = df.groupBy(F.sha2(F.col(text_col), 256).alias("_digest")).agg(
-        F.min(id_col).alias(id_col)
-    )
+    digest = F.unhex(F.sha2(F.col(text_col), 256)).alias("_digest")
+    keepers = df.groupBy(digest).agg(F.min(id_col).alias(id_col))
     return df.join(keepers.select(id_col), id_col, "left_semi")
 
 
@@ -85,7 +84,7 @@ def fixed_batches(
     positive("batch_size", batch_size)
     return (
         global_index(df.select(id_col), id_col, "idx", partitions)
-        .withColumn("batch_id", F.floor(F.col("idx") / F.lit(batch_size)).cast("bigint"))
+        .withColumn("batch_id", F.call_function("div", "idx", F.lit(batch_size)))
         .withColumn(
             "request_id", short_id(F.concat(F.lit("batch:"), F.col("batch_id").cast("string")))
         )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from signpost.functions.text import strip as stripped
 from signpost.operators.articles import dedupe_text, stratified_split
+from signpost.session import materialize
 
 # The columns of an article file.
 ARTICLE_SCHEMA = "ArticleId bigint, Text string, Category string"
@@ -50,8 +51,10 @@ def ensure_split(
     """
     spark = articles.sparkSession
     if not table_exists(spark, path):
-        unique = dedupe_text(articles, "article_id", "text")
-        split = stratified_split(unique, "article_id", "label", validation_share, seed)
+        # ids and labels are split on their own; the texts are moved once, to their side
+        unique = materialize(dedupe_text(articles, "article_id").select("article_id", "label"))
+        sides = stratified_split(unique, "article_id", "label", validation_share, seed)
+        split = articles.join(sides.select("article_id", "split"), "article_id")
         # overwrites what a failed job may have left, never a readable split
         split.write.mode("overwrite").partitionBy("split").parquet(path)
     return spark.read.parquet(path)
