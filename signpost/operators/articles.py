@@ -9,10 +9,11 @@ from signpost.checks import fraction, positive
 from signpost.functions import text as tx
 from signpost.functions.scoring import short_id
 from signpost.operators.ranking import (
-    first_share_flag,
     global_index,
     seeded_order,
+    share_cuts,
     top_n_per_group,
+    with_share_flag,
 )
 
 
@@ -51,8 +52,32 @@ def stratified_split(
     split_col: str = "split",
 ) -> DataFrame:
     """``ceil(share * n)`` rows of each class go to validation, the others to train."""
+    cuts = split_cuts(df, id_col, label_col, validation_share, seed)
+    return mark_split(df, cuts, id_col, label_col, seed, split_col)
+
+
+def split_cuts(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    label_col: str = "lang",
+    validation_share: float = 0.25,
+    seed: int = 42,
+) -> DataFrame:
+    """One row per class that says which ids are validation; found on narrow rows."""
     fraction("validation_share", validation_share)
-    flagged = first_share_flag(df, label_col, id_col, validation_share, seed, "_in_validation")
+    return share_cuts(df, label_col, id_col, validation_share, seed)
+
+
+def mark_split(
+    df: DataFrame,
+    cuts: DataFrame,
+    id_col: str = "doc_id",
+    label_col: str = "lang",
+    seed: int = 42,
+    split_col: str = "split",
+) -> DataFrame:
+    """Add the side of each row; wide rows are marked where they lie."""
+    flagged = with_share_flag(df, cuts, label_col, id_col, seed, "_in_validation")
     return flagged.withColumn(
         split_col, F.when(F.col("_in_validation"), "validation").otherwise("train")
     ).drop("_in_validation")

@@ -43,22 +43,16 @@ def top_n_per_group(
     return survivors.withColumn(rank_col, F.row_number().over(outer)).filter(F.col(rank_col) <= n)
 
 
-def first_share_flag(
-    df: DataFrame,
-    group: str,
-    id_col: str,
-    share: float,
-    seed: int,
-    flag_col: str = "in_share",
-    prefix_len: int = 4,
+def share_cuts(
+    df: DataFrame, group: str, id_col: str, share: float, seed: int, prefix_len: int = 4
 ) -> DataFrame:
-    """Mark exactly ``ceil(share * rows)`` rows of each group, drawn by seeded order.
+    """Where each group's first ``ceil(share * rows)`` rows in seeded order end.
 
     A window over the group would hold a hot group in one task. Here the rows
     are counted by (group, prefix of the hash), a running sum over those counts
     (at most ``16 ** prefix_len`` per group) finds the prefix in which the quota
-    is met, and only the rows of that one prefix are ranked. The result is one
-    cut-off per group, so marking the rows is a join with a tiny table.
+    is met, and only the rows of that one prefix are ranked. The result, written,
+    is one row per group: see ``with_share_flag``.
     """
     fraction("share", share)
     positive("prefix_len", prefix_len)
@@ -82,7 +76,7 @@ def first_share_flag(
         F.col("h._g").eqNullSafe(F.col("e._g")) & (F.col("h._p") == F.col("e._p")),
     )
     nth = Window.partitionBy("h._g").orderBy("_h", "_id")
-    cuts = materialize(
+    return materialize(
         in_edge.withColumn("_r", F.row_number().over(nth))
         .filter(F.col("_r") == F.col("_need"))
         .select(
@@ -91,6 +85,12 @@ def first_share_flag(
             F.col("_id").alias("_cut_id"),
         )
     )
+
+
+def with_share_flag(
+    df: DataFrame, cuts: DataFrame, group: str, id_col: str, seed: int, flag_col: str
+) -> DataFrame:
+    """Mark the rows before their group's cut: a join with a tiny table, rows stay in place."""
     marked = df.withColumn("_h", seeded_order(id_col, seed)).join(
         cuts, F.col(group).eqNullSafe(F.col("_cut_g")), "left"
     )

@@ -250,18 +250,23 @@ def prediction_fallback(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _calibration_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Distances of the validation side to routes sampled from the train side."""
-    docs = _documents(spark, sf)
-    split = _split(spark, sf)
+def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The train side (doc_id, lang) and the validation side with its texts.
 
-    def side(name: str) -> DataFrame:
-        return split.filter(F.col("split") == name).drop("split")
+    Documents are marked in place, so only the texts of the validation side are
+    moved to leave out duplicates.
+    """
+    unique = materialize(ar.dedupe_text(_table(spark, sf, "documents")).select("doc_id", "lang"))
+    cuts = ar.split_cuts(unique)
+    train = ar.mark_split(unique, cuts).filter(F.col("split") == "train").drop("split")
+    marked = ar.mark_split(_documents(spark, sf), cuts).filter(F.col("split") == "validation")
+    return train, marked.join(unique.select("doc_id"), "doc_id", "left_semi")
 
-    routes = pr.train_router(
-        side("train"), SAMPLES, THRESHOLD, texts=_table(spark, sf, "documents")
-    )
-    validation = docs.join(side("validation").select("doc_id"), "doc_id", "left_semi")
+
+def _calibration_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances of the validation side to routes sampled from the train side."""
+    train, validation = _sides(spark, sf)
+    routes = pr.train_router(train, SAMPLES, THRESHOLD, texts=_table(spark, sf, "documents"))
     return di.distance_rows(em.embed_hashed(validation), routes, keep=["lang"])
 
 
@@ -276,25 +281,14 @@ def best_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(th.best_thresholds(sweep), 9, "f1")
 
 
-def _split(spark: SparkSession, sf: str) -> DataFrame:
-    """Deduplicated documents with their side of the split: (doc_id, lang, split), written."""
-    unique = materialize(ar.dedupe_text(_table(spark, sf, "documents")).select("doc_id", "lang"))
-    return materialize(ar.stratified_split(unique))
-
-
 def trained_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     """Training as a whole: split, sample, embed, calibrate, override."""
-    split = _split(spark, sf)
-    train, validation = (
-        split.filter(F.col("split") == side).drop("split") for side in ("train", "validation")
-    )
+    train, validation = _sides(spark, sf)
     routes = pr.train_router(
         train,
         SAMPLES,
         THRESHOLD,
-        calibration=_documents(spark, sf).join(
-            validation.select("doc_id"), "doc_id", "left_semi"
-        ),
+        calibration=validation,
         overrides=OVERRIDES,
         texts=_table(spark, sf, "documents"),
     )

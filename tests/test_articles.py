@@ -50,8 +50,13 @@ def test_sample_per_class_matches_brute_force(table, rows):
 def test_split_matches_brute_force(table, rows, share, prefix_len):
     got = {
         r["doc_id"]: r["f"]
-        for r in rk.first_share_flag(
-            table, "lang", "doc_id", share, 42, "f", prefix_len
+        for r in rk.with_share_flag(
+            table,
+            rk.share_cuts(table, "lang", "doc_id", share, 42, prefix_len),
+            "lang",
+            "doc_id",
+            42,
+            "f",
         ).collect()
     }
     groups = defaultdict(list)
