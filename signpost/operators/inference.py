@@ -55,6 +55,7 @@ def prompt_batches(
     classes: Sequence[str],
     id_col: str = "doc_id",
     text_col: str = "text",
+    partitions: int | None = None,
 ) -> DataFrame:
     """One prompt per batch: (batch_id, n_articles, article_ids, prompt).
 
@@ -65,9 +66,12 @@ def prompt_batches(
     joined = batches.select(id_col, "idx", "batch_id").join(
         articles.select(id_col, text_col), id_col
     )
-    member = F.struct(
-        "idx", F.col(id_col).alias("article_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
+    if partitions is not None:
+        # the grouping below finds its key partitioned already and adds no shuffle
+        positive("partitions", partitions)
+        joined = joined.repartition(partitions, "batch_id")
+    body = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    member = F.struct("idx", F.col(id_col).alias("article_id"), body)
     grouped = joined.groupBy("batch_id").agg(F.sort_array(F.collect_list(member)).alias("_members"))
     section = F.array_join(
         F.transform(
@@ -109,8 +113,8 @@ def model_replies(
     """Call a model once per prompt and write the replies.
 
     (batch_id, n_articles, article_ids, status, error, reply, prompt_tokens,
-    completion_tokens, total_tokens, total_latency in seconds). ``factory`` runs once per task and returns
-    the call. A retryable error is tried again up to ``max_retries`` times; a
+    completion_tokens, total_tokens, total_latency in seconds). ``factory`` runs
+    once per task and returns the call. A retryable error is tried again up to ``max_retries`` times; a
     batch whose call fails for good is kept with status ``failed``. Calls are
     dear, so the replies are written before anything reads them: a plan that is
     evaluated twice never calls twice. ``max_concurrent`` bounds the tasks that

@@ -26,9 +26,10 @@ def route_references(
     """Sampled reference texts of every class: (route, ref_id, ref_text).
 
     ``texts`` (id, text) is where the texts are read if ``articles`` is a narrow
-    selection of them, such as one side of a split. The sample is drawn from ids and labels alone and written; its true size
-    then decides whether fetching the texts is a broadcast join (one scan of the
-    texts, no shuffle of them) or a shuffled one.
+    selection of them, such as one side of a split. The sample is drawn from ids
+    and labels alone and written; its true size then decides whether fetching the
+    texts is a broadcast join (one scan of the texts, no shuffle of them) or a
+    shuffled one.
     """
     picked = materialize(sample_per_class(articles, samples_per_class, id_col, label_col, seed))
     ids = picked.select(F.col(id_col).alias("_ref_id"), F.col(label_col).alias("route"))

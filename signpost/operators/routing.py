@@ -66,8 +66,10 @@ def apply_fallback(
     made = confidence if confidence is not None else F.lit(None).cast("double")
     return (
         df.withColumn("_valid", valid)
-        .withColumn("confidence", F.when(F.col("_valid"), made).otherwise(
-            F.lit(fallback_confidence).cast("double")))
+        .withColumn(
+            "confidence",
+            F.when(F.col("_valid"), made).otherwise(F.lit(fallback_confidence).cast("double")),
+        )
         .withColumn(
             "prediction",
             F.when(F.col("_valid"), F.lower(F.col(prediction))).otherwise(F.lit(first)),
@@ -86,7 +88,10 @@ def route_articles(
     sparse: bool = True,
     max_cells: int = MAX_CELLS,
 ) -> DataFrame:
-    """Nearest route of each article with fallback: adds (prediction, distance, confidence, is_fallback)."""
+    """Nearest route of each article, or the fallback.
+
+    Adds (prediction, distance, confidence, is_fallback).
+    """
     matched = with_best_route(
         candidate_routes(df, routes, id_col, vec, 1, True, sparse, max_cells)
     )

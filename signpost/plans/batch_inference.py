@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signpost.checks import positive
 from signpost.operators.articles import fixed_batches
 from signpost.operators.inference import (
     Complete,
@@ -26,10 +28,20 @@ def reply_batches(
     text_col: str = "text",
     max_retries: int = 3,
     max_concurrent: int | None = None,
+    calls_per_task: int = 500,
 ) -> DataFrame:
-    """Batches of articles with the model's reply, written once."""
+    """Batches of articles with the model's reply, written once.
+
+    A task makes about ``calls_per_task`` calls: what is lost with an executor
+    are the calls of its running tasks, so tasks are kept short. Tasks run as
+    many at a time as the cluster has cores, or ``max_concurrent`` longer ones.
+    """
+    positive("calls_per_task", calls_per_task)
     batches = fixed_batches(articles, batch_size, id_col)
-    prompts = prompt_batches(articles, batches, classes, id_col, text_col)
+    calls = math.ceil(batches.count() / batch_size)
+    cores = articles.sparkSession.sparkContext.defaultParallelism
+    partitions = max(1, math.ceil(calls / calls_per_task), min(calls, cores))
+    prompts = prompt_batches(articles, batches, classes, id_col, text_col, partitions)
     return model_replies(prompts, factory, max_retries, max_concurrent)
 
 

@@ -117,7 +117,9 @@ def run_metrics(
 
     ``classified`` is read twice; pass a written table.
     """
-    ok = classified.filter(F.col("status") == SUCCESS) if "status" in classified.columns else classified
+    ok = classified
+    if "status" in classified.columns:
+        ok = classified.filter(F.col("status") == SUCCESS)
     scores = accuracy(ok, label_col).drop("total_articles", "avg_confidence")
     means = averaged_metrics(class_report(confusion_matrix(ok, label_col)))
     parts = [metric_rows(batch_metrics(batches)), metric_rows(scores), metric_rows(means)]
@@ -127,14 +129,18 @@ def run_metrics(
     return out
 
 
-def router_batch(classified: DataFrame, latency_s: float, usage: DataFrame | None = None) -> DataFrame:
+def router_batch(
+    classified: DataFrame, latency_s: float, usage: DataFrame | None = None
+) -> DataFrame:
     """The one batch a router run reports: size, latency, cost and tokens.
 
     ``usage`` has (tokens, cost) per article; without it both are zero.
     """
     size = classified.agg(F.count(F.lit(1)).alias("batch_size"))
     spent = (
-        classified.sparkSession.createDataFrame([(0, 0.0)], "total_tokens bigint, total_cost double")
+        classified.sparkSession.createDataFrame(
+            [(0, 0.0)], "total_tokens bigint, total_cost double"
+        )
         if usage is None
         else usage.agg(
             F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),

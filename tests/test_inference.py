@@ -5,6 +5,7 @@ from signpost.operators import inference as inf
 from signpost.operators.articles import fixed_batches
 from signpost.operators.quality import batch_metrics
 from signpost.plans import batch_inference as bi
+from tests.conftest import plan_of
 
 CLASSES = ["alpha", "beta"]
 REPLIES = {
@@ -90,6 +91,15 @@ def test_prompts_hold_every_article_in_order(spark):
     assert got[1]["article_ids"] == [40]
 
 
+def test_prompts_are_shuffled_once_for_their_tasks(spark):
+    articles = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    batches = fixed_batches(articles, 4)
+    prompts = inf.prompt_batches(articles, batches, CLASSES, partitions=3)
+    assert plan_of(prompts).count("hashpartitioning(batch_id") == 1
+    assert prompts.rdd.getNumPartitions() == 3
+    assert prompts.count() == 10
+
+
 def test_classify_with_a_model_that_fails_at_times(spark, tmp_path):
     calls = str(tmp_path)
 
