@@ -162,11 +162,10 @@ def _block_rows(
 ) -> DataFrame:
     """(id, route, distance) of the k nearest routes of every block, or of all."""
     references, products, rounded = _kernels(sparse)
-    known = df.filter(F.col(vec).isNotNull())
     salts = max(1, math.ceil(df.select(id_col).count() / GROUP_ROWS))
     columns = [c.alias(f"_v{i}") for i, c in enumerate(_vector_columns(F.col(vec), sparse))]
     left = (
-        known.select(F.col(id_col), *columns)
+        df.select(F.col(id_col), *columns)
         .withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
         .withColumn("_block", F.explode(_upto(n_blocks)))
     )
@@ -179,6 +178,8 @@ def _block_rows(
     width = len(columns)
 
     def meet(articles: pa.Table, block: pa.Table) -> pa.Table:
+        # here and not by a filter, which would be pushed below the embedding and repeat it
+        articles = articles.filter(articles.column("_v0").is_valid())
         ids = articles.column(id_col).combine_chunks()
         owners, picked, found = [], [], []
         names = []

@@ -14,15 +14,20 @@ from signpost.session import materialize
 ARTICLE_SCHEMA = "ArticleId bigint, Text string, Category string"
 
 
-def read_articles(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
+def read_articles(
+    spark: SparkSession, path: str, strip: bool = True, multi_line: bool = True
+) -> DataFrame:
     """Articles from CSV files with a header: (article_id, text, label).
 
-    Texts may hold quotes and line breaks. The schema is given, never inferred.
+    Texts may hold quotes and line breaks; the schema is given, never inferred.
+    A file with line breaks inside fields cannot be split, so each file is one
+    task: keep such files moderate, or pass ``multi_line=False`` for files whose
+    texts hold no line breaks.
     """
     raw = (
         spark.read.schema(ARTICLE_SCHEMA)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)

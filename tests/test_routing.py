@@ -306,9 +306,12 @@ def test_plan_is_one_scan_without_shuffle(spark, sf):
     assert "CartesianProduct" not in full and "NestedLoop" not in full
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in full
     blocked = plan_of(
-        di.candidate_routes(embed_hashed(docs), routes, max_cells=300).select("doc_id")
+        di.candidate_routes(embed_hashed(docs), routes, max_cells=300).select(
+            "doc_id", "candidates"
+        )
     )
     assert "CartesianProduct" not in blocked and "NestedLoop" not in blocked
+    assert blocked.count("md5(cast(lambda") == 1
 
 
 def test_centroid_of_references_is_their_mean(spark, data):
