@@ -60,6 +60,7 @@ def _means(references: DataFrame, vec_col: str) -> DataFrame:
         "route",
         F.col("dim").cast("bigint").alias("dim"),
         (F.col("_sum") / F.col("_n")).alias("v"),
+        F.col("_n").cast("bigint").alias("references_count"),
     )
 
 
@@ -69,7 +70,7 @@ def centroid_rows(references: DataFrame, vec_col: str = "vec") -> DataFrame:
     For unit vectors the mean distance to a route's references is one minus the
     dot product with their mean, so this is all an average-distance router needs.
     """
-    return _means(references, vec_col).filter("dim >= 0")
+    return _means(references, vec_col).filter("dim >= 0").drop("references_count")
 
 
 def _dense(entries: Column, dims: int) -> Column:
@@ -90,10 +91,12 @@ def build_routes(
     dims: int = DEFAULT_DIMS,
     text_col: str = "ref_text",
 ) -> DataFrame:
-    """Vectors the router compares with, written once: (route, ref_id, threshold, vec).
+    """Vectors the router compares with, written once.
 
-    ``agg="avg"`` keeps one centroid per route (ref_id 0); ``agg="min"`` keeps
-    every reference. Vectors are dense arrays of ``dims`` doubles.
+    (route, ref_id, threshold, vec, references_count): ``agg="avg"`` keeps one
+    centroid per route (ref_id 0), ``agg="min"`` keeps every reference. Vectors
+    are dense arrays of ``dims`` doubles; the count says how many references a
+    vector stands for.
     """
     fraction("threshold", threshold)
     embedded = embed_hashed(references, text_col, dims)
@@ -103,7 +106,10 @@ def build_routes(
         entries = (
             _means(embedded, "vec")
             .groupBy("route")
-            .agg(F.collect_list(entry).alias("_entries"))
+            .agg(
+                F.collect_list(entry).alias("_entries"),
+                F.max("references_count").alias("references_count"),
+            )
             .withColumn("ref_id", F.lit(0).cast("bigint"))
         )
     elif agg == "min":
@@ -114,6 +120,7 @@ def build_routes(
                 "vec",
                 lambda e: F.struct(e["dim"].cast("bigint").alias("dim"), e["val"].alias("v")),
             ).alias("_entries"),
+            F.lit(1).cast("bigint").alias("references_count"),
         )
     else:
         raise ValueError(f"agg must be 'avg' or 'min', got {agg!r}")
@@ -123,6 +130,7 @@ def build_routes(
             "ref_id",
             F.lit(float(threshold)).alias("threshold"),
             _dense(F.col("_entries"), dims).alias("vec"),
+            "references_count",
         )
     )
 
@@ -137,23 +145,41 @@ def build_dense_routes(
         means = (
             vectors.select("route", F.posexplode(vec_col).alias("dim", "val"))
             .groupBy("route", "dim")
-            .agg(F.avg(F.col("val").cast("double")).alias("v"))
+            .agg(
+                F.avg(F.col("val").cast("double")).alias("v"),
+                F.count(F.lit(1)).alias("references_count"),
+            )
         )
         rows = (
             means.groupBy("route")
-            .agg(F.sort_array(F.collect_list(F.struct("dim", "v"))).alias("_entries"))
+            .agg(
+                F.sort_array(F.collect_list(F.struct("dim", "v"))).alias("_entries"),
+                F.max("references_count").alias("references_count"),
+            )
             .select(
                 "route",
                 F.lit(0).cast("bigint").alias("ref_id"),
                 F.transform("_entries", lambda e: e["v"]).alias("vec"),
+                "references_count",
             )
         )
     elif agg == "min":
-        rows = vectors.select("route", "ref_id", F.col(vec_col).cast("array<double>").alias("vec"))
+        rows = vectors.select(
+            "route",
+            "ref_id",
+            F.col(vec_col).cast("array<double>").alias("vec"),
+            F.lit(1).cast("bigint").alias("references_count"),
+        )
     else:
         raise ValueError(f"agg must be 'avg' or 'min', got {agg!r}")
     return materialize(
-        rows.select("route", "ref_id", F.lit(float(threshold)).alias("threshold"), "vec")
+        rows.select(
+            "route",
+            "ref_id",
+            F.lit(float(threshold)).alias("threshold"),
+            "vec",
+            "references_count",
+        )
     )
 
 
@@ -175,12 +201,28 @@ def route_summary(
         "total",
         "references_count",
         F.lit(float(threshold)).alias("threshold"),
-        F.create_map(
-            F.lit("category"),
-            F.col("route"),
-            F.lit("samples_count"),
-            F.col("references_count").cast("string"),
-        ).alias("metadata"),
+        _metadata(),
+    )
+
+
+def _metadata() -> Column:
+    return F.create_map(
+        F.lit("category"),
+        F.col("route"),
+        F.lit("samples_count"),
+        F.col("references_count").cast("string"),
+    ).alias("metadata")
+
+
+def router_info(routes: DataFrame) -> DataFrame:
+    """What a route table says of its routes: references, threshold now, metadata."""
+    return (
+        routes.groupBy("route")
+        .agg(
+            F.sum("references_count").alias("references_count"),
+            F.max("threshold").alias("threshold"),
+        )
+        .select("route", "references_count", "threshold", _metadata())
     )
 
 

@@ -268,7 +268,12 @@ def test_training_with_calibration_overrides_and_summary(spark, data):
     routes = pr.train_router(
         articles, 4, 0.6, calibration=articles, overrides={"c": 0.33}, dims=DIMS
     )
-    thresholds = {r["route"]: r["threshold"] for r in routes.collect()}
+    info = {r["route"]: r for r in ro.router_info(routes).collect()}
+    thresholds = {k: r["threshold"] for k, r in info.items()}
+    assert {r["references_count"] for r in info.values()} == {4}
+    assert info["b"]["metadata"] == {"category": "b", "samples_count": "4"}
+    nearest = pr.train_router(articles, 5, 0.6, "min", dims=DIMS)
+    assert [r["references_count"] for r in ro.router_info(nearest).collect()] == [5, 5, 5]
     assert thresholds["c"] == 0.33
     assert set(thresholds) == set(CLASSES)
     classified = pr.classify(articles, routes, CLASSES, dims=DIMS, overrides={"b": 0.0})
