@@ -10,6 +10,7 @@ from signpost.functions.text import reference_text
 from signpost.functions.vectors import let
 from signpost.operators.articles import sample_per_class
 from signpost.operators.embed import DEFAULT_DIMS, embed_hashed
+from signpost.operators.lookup import rows_by_id
 from signpost.session import materialize
 
 
@@ -27,21 +28,16 @@ def route_references(
 
     ``texts`` (id, text) is where the texts are read if ``articles`` is a narrow
     selection of them, such as one side of a split. The sample is drawn from ids
-    and labels alone and written; its true size then decides whether fetching the
-    texts is a broadcast join (one scan of the texts, no shuffle of them) or a
-    shuffled one.
+    and labels alone and written; the texts are then read only from the files
+    that hold a sampled row.
     """
     picked = materialize(sample_per_class(articles, samples_per_class, id_col, label_col, seed))
-    ids = picked.select(F.col(id_col).alias("_ref_id"), F.col(label_col).alias("route"))
-    return (
-        (articles if texts is None else texts)
-        .select(id_col, text_col)
-        .join(ids, F.col(id_col) == F.col("_ref_id"))
-        .select(
-            "route",
-            F.col("_ref_id").alias("ref_id"),
-            reference_text(F.col(text_col), max_chars).alias("ref_text"),
-        )
+    source = (articles if texts is None else texts).select(id_col, text_col)
+    ids = picked.select(id_col, F.col(label_col).alias("route"))
+    return rows_by_id(source, ids, id_col).select(
+        "route",
+        F.col(id_col).alias("ref_id"),
+        reference_text(F.col(text_col), max_chars).alias("ref_text"),
     )
 
 

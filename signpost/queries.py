@@ -26,6 +26,7 @@ from signpost.operators import routes as ro
 from signpost.operators import routing as rt
 from signpost.operators import runs as ru
 from signpost.operators import thresholds as th
+from signpost.operators.lookup import rows_by_id
 from signpost.plans import batch_inference as bi
 from signpost.plans import router as pr
 from signpost.session import materialize, spread
@@ -196,7 +197,7 @@ def _dense_routes(spark: SparkSession, sf: str, agg: str, threshold: float) -> D
             vectors.select("vec_id", "label"), ["label"], [F.col("vec_id")], DENSE_SAMPLES
         )
     )
-    references = picked.select("vec_id").join(vectors, "vec_id").select(
+    references = rows_by_id(vectors, picked.select("vec_id"), "vec_id").select(
         F.col("label").cast("string").alias("route"),
         F.col("vec_id").alias("ref_id"),
         vx.unit_dense(F.col("embedding")).alias("vec"),
