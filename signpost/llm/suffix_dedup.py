@@ -44,7 +44,8 @@ WIDTH = 100
 GRAM = 32
 SPAN = WIDTH - GRAM  # bytes before an anchor that strings over it can begin
 PARTS = 256
-SLICE = 1 << 21
+SLICE = 1 << 20
+ROWS = 1000  # texts of a batch held as Python objects at once
 CROWD = 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _OTHER_BASE = 0xD6E8FEB86659FD93 | 1
@@ -121,7 +122,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, grams[at]
 
 
-def laid_out(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def laid_out(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of texts: bytes, ends of the parts, their text's number, their start in it.
 
     A text longer than a slice goes in parts that overlap by ``WIDTH - 1`` bytes.
@@ -134,7 +135,8 @@ def laid_out(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         ends = np.cumsum([len(p[2]) for p in parts])
         return data, ends, np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
 
-    for i, text in enumerate(texts):
+    for i, value in enumerate(texts):
+        text = value.as_py()
         if len(text) < WIDTH:
             continue
         for lo in range(0, len(text), SLICE):
@@ -150,7 +152,7 @@ def laid_out(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         yield slice_of(parts)
 
 
-def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, place in the text, gram hash) of all anchors."""
     found = []
     for data, ends, number, start in laid_out(texts):
@@ -206,13 +208,19 @@ _RUN = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("id", pa.int64())
 _FOUND = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("body", pa.binary())])
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def gram_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch of texts and part of the hash range: the sorted grams met once (kind 0,
     with a mark for those met twice); per text: its grams met twice (kind 1)."""
-    for batch in batches:
+    for batch in sliced(batches, 4 * ROWS):
         ids, ties, texts = (batch.column(i) for i in range(3))
         ids, ties = ids.to_numpy(), ties.to_numpy()
-        which, place, grams = anchors_of(texts.to_pylist())
+        which, place, grams = anchors_of(texts)
         if not len(grams):
             continue
         order = np.argsort(grams, kind="stable")
@@ -336,7 +344,7 @@ def suffix_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their repeated grams to runs per part (kind 0) and ranges that the
     batch itself shows to be repeats (kind 1)."""
     unzip = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in sliced(batches, 2 * ROWS):
         entries = []
         for row in batch.to_pylist():
             text = unzip.decompress(row["z"])
@@ -634,7 +642,7 @@ def without_repeats(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             out = []
             for i, z, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 text = unzip.decompress(z)
