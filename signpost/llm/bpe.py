@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signpost.llm.shipping import ship_code
+from signpost.llm.worker import held
 
 # Code point classes; the last three stand for an apostrophe before one of SUFFIXES
 # (one letter, two letters) and for the end of a text.
@@ -41,8 +42,8 @@ SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 IN_LETTER, IN_NUMBER, IN_OTHER, AT_BLANK, AT_SPACE, ONE_LEFT, TWO_LEFT, FRESH = range(8)
 
 LANE = 256
-SLICE_CHARS = 1 << 21
-CACHE_PIECES = 500_000
+SLICE_CHARS = 1 << 20
+CACHE_PIECES = 250_000
 NEVER = 1 << 40
 
 
@@ -357,16 +358,9 @@ def segments(text: str) -> Iterator[str]:
     yield text[start:]
 
 
-_TOKENIZERS: dict[str, Tokenizer] = {}
-
-
 def tokenizer(rank_file: bytes) -> Tokenizer:
     """One tokenizer per vocabulary and worker, so that its cache outlives a task."""
-    key = hashlib.sha256(rank_file).hexdigest()
-    if key not in _TOKENIZERS:
-        _TOKENIZERS.clear()
-        _TOKENIZERS[key] = Tokenizer(rank_file)
-    return _TOKENIZERS[key]
+    return held("bpe" + hashlib.sha256(rank_file).hexdigest(), lambda: Tokenizer(rank_file))
 
 
 def read_ranks(path: str) -> bytes:

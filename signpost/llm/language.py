@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from signpost.llm.shipping import ship_code
+from signpost.llm.worker import held
 from signpost.operators.ranking import top_n_per_group
 
 BLOCK = 256
@@ -82,7 +83,7 @@ class Parser:
     """The automata of all languages over one alphabet."""
 
     def __init__(self, samples: Mapping[str, str]) -> None:
-        self.letters = _letters()
+        self.letters = letter_table()
         self.languages = sorted(samples)
         read = {k: self._fold(samples[k])[0] for k in self.languages}
         used = np.unique(np.concatenate([*read.values(), np.array([0], np.uint32)]))
@@ -172,23 +173,10 @@ class Parser:
         return names, np.where(lengths > 0, score, 0.0)
 
 
-_LETTERS: list[np.ndarray] = []
-_PARSERS: dict[str, Parser] = {}
-
-
-def _letters() -> np.ndarray:
-    if not _LETTERS:
-        _LETTERS.append(letter_table())
-    return _LETTERS[0]
-
-
 def parser(samples: Mapping[str, str]) -> Parser:
     """One parser per set of samples and worker."""
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(samples)
-    return _PARSERS[key]
+    return held("language" + key, lambda: Parser(samples))
 
 
 def fit(

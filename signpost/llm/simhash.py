@@ -28,6 +28,7 @@ from pyspark.sql.functions import pandas_udf
 from signpost.llm.components import components
 from signpost.llm.exprs import let
 from signpost.llm.shipping import ship_code
+from signpost.llm.worker import held
 from signpost.session import materialize
 
 BANDS = 20
@@ -97,19 +98,18 @@ def code_indices() -> np.ndarray:
     errors = np.array(errors, np.int64)
     fix = np.zeros(1 << 11, np.int64)
     fix[remainder(errors)] = errors
-    words = np.arange(1 << 23, dtype=np.int64)
-    return ((words ^ fix[remainder(words)]) >> 11).astype(np.uint16)
-
-
-_INDICES: list[np.ndarray] = []
+    out = np.empty(1 << 23, np.uint16)
+    for lo in range(0, 1 << 23, 1 << 18):
+        words = np.arange(lo, lo + (1 << 18), dtype=np.int64)
+        out[lo : lo + len(words)] = (words ^ fix[remainder(words)]) >> 11
+    return out
 
 
 def neighbour_indices(segments: np.ndarray) -> np.ndarray:
     """Code indices ``[word, 24]`` of each word of 23 bits and its neighbours, repeats included."""
-    if not _INDICES:
-        _INDICES.append(code_indices())
+    indices = held("golay", code_indices)
     masks = np.array([0] + [1 << i for i in range(23)], np.int64)
-    return _INDICES[0][segments[:, None] ^ masks[None, :]]
+    return indices[segments[:, None] ^ masks[None, :]]
 
 
 def keys_of(prints: np.ndarray) -> list[np.ndarray]:

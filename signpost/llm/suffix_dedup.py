@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ from signpost.session import materialize
 WIDTH = 100
 GRAM = 32
 SPAN = WIDTH - GRAM  # bytes before an anchor that strings over it can begin
-PARTS = 256
+PARTS_PER_TASK = 8  # parts of the hash range for every shuffle partition
 SLICE = 1 << 20
 ROWS = 1000  # texts of a batch held as Python objects at once
 CROWD = 20_000
@@ -214,7 +215,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(lo, rows)
 
 
-def gram_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def gram_runs(batches: Iterator[pa.RecordBatch], bits: int = 8) -> Iterator[pa.RecordBatch]:
     """Per batch of texts and part of the hash range: the sorted grams met once (kind 0,
     with a mark for those met twice); per text: its grams met twice (kind 1)."""
     for batch in sliced(batches, 4 * ROWS):
@@ -232,13 +233,13 @@ def gram_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if twice.any():
             w = which[twice]
             for i, tie, place_of, gram_of in grouped(ids[w], ties[w], place[twice], grams[twice]):
-                rows.append((i % PARTS, 1, i, tie, pack(place_of, gram_of)))
+                rows.append((i % (1 << bits), 1, i, tie, pack(place_of, gram_of)))
         # a mark stands for all places of a gram met twice
         sent = new
         place = np.where(twice, -1, place)
-        part = (grams >> np.uint64(56)).astype(np.int64)
-        for p in range(PARTS):
-            lo, hi = np.searchsorted(part, [p, p + 1])
+        part = (grams >> np.uint64(64 - bits)).astype(np.int64)
+        edges = np.searchsorted(part, np.arange((1 << bits) + 1)).tolist()
+        for p, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
             own = np.arange(lo, hi)[sent[lo:hi]]
             if len(own):
                 w = which[own]
@@ -340,7 +341,7 @@ def whole(ref: tuple) -> tuple[int, int, int, int]:
     return i, tie, place - left, place + right
 
 
-def suffix_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def suffix_runs(batches: Iterator[pa.RecordBatch], bits: int = 8) -> Iterator[pa.RecordBatch]:
     """Texts with their repeated grams to runs per part (kind 0) and ranges that the
     batch itself shows to be repeats (kind 1)."""
     unzip = zstandard.ZstdDecompressor()
@@ -362,9 +363,9 @@ def suffix_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for entry in entries:
             if run and entry[0] == run[-1][0]:
                 if entry[3:] != run[-1][3:]:
-                    rows.append((entry[3] % PARTS, 1, *whole(entry[1:]), None))
+                    rows.append((entry[3] % (1 << bits), 1, *whole(entry[1:]), None))
                 continue
-            if (p := entry[0][0]) != part:
+            if (p := int.from_bytes(entry[0][:2], "big") >> (16 - bits)) != part:
                 if run:
                     rows.append((part, 0, 0, 0, 0, 0, front_coded(run)))
                 part, run = p, []
@@ -591,8 +592,12 @@ def repeated_ranges(df: DataFrame, id_col: str, text_col: str, crowd: int = CROW
         for texts in batches:
             yield pd.Series([packer.compress(t) for t in texts])
 
+    # parts follow the shuffle, so that a task's share stays in its memory at any size
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(16, max(8, (PARTS_PER_TASK * tasks - 1).bit_length()))
     texts = rows.select("_id", "id", "tie", zipped("t").alias("z"))
-    grams = rows.select("id", "tie", "t").mapInArrow(gram_runs, "part int, kind int, id bigint, tie bigint, body binary")
+    grams = rows.select("id", "tie", "t").mapInArrow(partial(gram_runs, bits=bits), "part int, kind int, id bigint, tie bigint, body binary")
     found = materialize(
         grams.repartition("part")
         .mapInArrow(repeated_grams, "id bigint, tie bigint, body binary")
@@ -602,14 +607,11 @@ def repeated_ranges(df: DataFrame, id_col: str, text_col: str, crowd: int = CROW
     suffixes = (
         texts.select("id", "tie", "z")
         .join(found, ["id", "tie"])
-        .mapInArrow(suffix_runs, "part int, kind int, id bigint, tie bigint, s bigint, e bigint, body binary")
+        .mapInArrow(partial(suffix_runs, bits=bits), "part int, kind int, id bigint, tie bigint, s bigint, e bigint, body binary")
     )
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return repeats(batches, crowd)
-
     out = materialize(
-        suffixes.repartition("part").mapInArrow(merged, "id bigint, tie bigint, s bigint, e bigint, g bigint, w bigint")
+        suffixes.repartition("part").mapInArrow(partial(repeats, crowd=crowd), "id bigint, tie bigint, s bigint, e bigint, g bigint, w bigint")
     )
     strings = out.filter("g IS NOT NULL")
     at = F.struct("id", "tie", "s")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from signpost.llm.shipping import ship_code
+from signpost.llm.worker import held
 from signpost.operators.ranking import top_n_per_group
 from signpost.session import materialize
 
@@ -41,7 +42,7 @@ LIFT = 10.0
 LEVEL = 6
 MATCH = 4
 STEM = 5
-CACHE_WINDOWS = 1_000_000
+CACHE_WINDOWS = 250_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # a tail no text is likely to hold, so that it costs every window the same
 TAIL = ("".join(chr(33 + i * 37 % 90) for i in range(40)).lower() + " ").encode()
@@ -234,16 +235,10 @@ def _of(labelled: Sequence[tuple[str, int]]) -> tuple[bytes, bytes]:
     return dictionaries([t for t, y in labelled if y], [t for t, y in labelled if not y])
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
     """One scorer per model and worker."""
     key = hashlib.sha256(model.ordinary + b"\0" + model.toxic).hexdigest()
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model.ordinary, model.toxic)
-    return _SCORERS[key]
+    return held("toxicity" + key, lambda: Scorer(model.ordinary, model.toxic))
 
 
 def with_score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
