@@ -43,7 +43,7 @@ IN_LETTER, IN_NUMBER, IN_OTHER, AT_BLANK, AT_SPACE, ONE_LEFT, TWO_LEFT, FRESH =
 
 LANE = 256
 SLICE_CHARS = 1 << 20
-CACHE_PIECES = 250_000
+CACHE_PIECES = 120_000
 NEVER = 1 << 40
 
 
@@ -369,12 +369,20 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
-def encode(df: DataFrame, rank_file: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    df: DataFrame,
+    rank_file: bytes,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_decoded: bool = False,
+) -> DataFrame:
     """Per row: id, ids (binary: little-endian unsigned 32-bit numbers), n_tokens.
 
     Null texts count as empty and have no tokens. Every row is encoded by itself, so
     repeated rows and ids stay as they are; other columns are not looked at. No
     shuffle: one pass over the scan. The vocabulary (under 1 MB) is broadcast.
+    ``with_decoded`` adds ``decoded``, the bytes the ids decode to, as ``decode``
+    would, in the same worker: a second one per task would hold the vocabulary again.
     """
     ship_code(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(rank_file)
@@ -383,20 +391,21 @@ def encode(df: DataFrame, rank_file: bytes, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 ids = own.encode([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                    ],
-                    names=[id_col, "ids", "n_tokens"],
-                )
+                columns = {
+                    id_col: part.column(0),
+                    "ids": pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                }
+                if with_decoded:
+                    columns["decoded"] = pa.array([own.decode(x) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens bigint")
+    more = ", decoded binary" if with_decoded else ""
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens bigint{more}")
 
 
 def decode(df: DataFrame, rank_file: bytes, ids_col: str = "ids") -> DataFrame:
@@ -407,8 +416,8 @@ def decode(df: DataFrame, rank_file: bytes, ids_col: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 packed = part.column(part.schema.get_field_index(ids_col)).to_pylist()
                 out = [None if x is None else own.decode(np.frombuffer(x, "<u4")) for x in packed]
                 yield pa.RecordBatch.from_arrays(

@@ -25,9 +25,8 @@ def _remainder(column: str, n: int):
 
 
 def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    ranks = bpe.read_ranks(RANKS)
-    encoded = bpe.encode(_documents(spark, sf), ranks)
-    return bpe.decode(encoded, ranks).select(
+    coded = bpe.encode(_documents(spark, sf), bpe.read_ranks(RANKS), with_decoded=True)
+    return coded.select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
