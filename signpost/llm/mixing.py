@@ -16,7 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signpost.llm.exprs import words
@@ -283,16 +283,18 @@ def mixed_documents(
     copies = materialize(
         starts.groupBy("_id", "_tie").agg(F.sum("_times").alias("_total"), F.count("*").alias("_rows"))
     )
-    packed = df.select(
-        F.struct("*").alias("_doc"),
-        F.col(id_col).alias("_did"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_dtie"),
-    )
-    nth = F.row_number().over(Window.partitionBy("_did", "_dtie").orderBy(F.lit(1)))
+    # one key without nulls for the window and the join: texts cross one exchange
+    def key(id_of: str, tie: Column) -> Column:
+        return F.xxhash64(F.lit("row"), F.col(id_of).cast("string"), tie)
+
+    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    packed = df.select(F.struct("*").alias("_doc"), tie.alias("_dtie"), key(id_col, tie).alias("_dkey"))
+    nth = F.row_number().over(Window.partitionBy("_dkey", "_dtie").orderBy(F.lit(1)))
     base = F.call_function("div", F.col("_total"), F.col("_rows"))
-    joined = packed.withColumn("_nth", nth).join(
-        copies, F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_dtie") == F.col("_tie"))
+    counted = copies.select(
+        key("_id", F.col("_tie")).alias("_dkey"), F.col("_tie").alias("_dtie"), "_total", "_rows"
     )
+    joined = packed.withColumn("_nth", nth).join(counted, ["_dkey", "_dtie"])
     n = base + F.when(F.col("_nth") <= F.col("_total") - base * F.col("_rows"), 1).otherwise(0)
     return joined.withColumn("_n", n).filter("_n > 0").select(
         "_doc", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))
