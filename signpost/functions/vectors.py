@@ -125,8 +125,17 @@ def dense_dot(a: Column, b: Column) -> Column:
 
 
 def rounded_distance(dot: Column) -> Column:
-    """Cosine distance of unit vectors, rounded so that ties and threshold edges are stable."""
-    return F.round(F.lit(1.0) - dot, DISTANCE_DIGITS)
+    """Cosine distance of unit vectors, rounded so that ties and threshold edges are stable.
+
+    The same rule as the matrix code: half of the last digit goes up. A distance
+    that is no number stays as it is.
+    """
+    scale = 10.0**DISTANCE_DIGITS
+
+    def rounded(d: Column) -> Column:
+        return F.when(F.abs(d) < 1e6, F.floor(d * scale + 0.5) / F.lit(scale)).otherwise(d)
+
+    return let(F.lit(1.0) - dot, rounded)
 
 
 def confidence(distance: Column) -> Column:

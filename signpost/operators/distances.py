@@ -3,7 +3,8 @@
 A route table has (route, ref_id, threshold, vec) with dense unit vectors, one
 row per centroid or per reference. The distance of an article to a route is the
 smallest over the route's vectors. The table was written and is counted before
-use; its size picks one of three ways to the same numbers:
+use; its size picks one of three ways to the same answers, for repeated ids, for
+articles without a vector and for distances that are no number, too:
 
 * one vector per route and few routes: array functions inside the article's row;
 * up to ``max_cells`` numbers: the table is broadcast, and each Arrow batch of
@@ -34,12 +35,12 @@ ROW_CELLS = 100_000  # array functions beat the matrix only on few routes
 GROUP_ROWS = 20_000  # articles that meet a block in one task
 PRODUCT_CELLS = 4_000_000  # numbers per matrix held at once
 
-_DISTANCES = "array<struct<route:string,threshold:double,distance:double>>"
+_CANDIDATES = "array<struct<distance:double,route:string>>"
 
 
-def _kernels(sparse: bool):
+def _kernels(sparse: bool, product_cells: int):
     """Array code for the workers, as closures: shipped by value, nothing to import there."""
-    held, scale = PRODUCT_CELLS, 10.0**vx.DISTANCE_DIGITS
+    held, scale = product_cells, 10.0**vx.DISTANCE_DIGITS
 
     def references(table: pa.Table):
         """(names, thresholds, first row of each route, matrix), rows by route name."""
@@ -71,7 +72,22 @@ def _kernels(sparse: bool):
     def rounded(distances):
         return np.floor(distances * scale + 0.5) / scale
 
-    return references, products, rounded
+    def nearest(distances, limits, k, within):
+        """(article, route, distance) of the k nearest, or of all; equal ones by name."""
+        good = np.isfinite(distances)
+        if within:
+            good &= distances <= limits
+        score = np.where(good, distances, np.inf)
+        if k == 1:
+            order = score.argmin(axis=1)[:, None]
+        else:
+            # stable: equal distances stay in the order of the names
+            order = score.argsort(axis=1, kind="stable")[:, : (k or score.shape[1])]
+        near = np.take_along_axis(score, order, axis=1)
+        row, col = np.nonzero(np.isfinite(near))
+        return row, order[row, col], near[row, col]
+
+    return references, products, rounded, nearest
 
 
 def _vector_columns(vec: Column, sparse: bool) -> list[Column]:
@@ -98,54 +114,65 @@ def _row_distances(df: DataFrame, routes: DataFrame, vec: str, sparse: bool) ->
     return df.withColumn("_routes", packed.scalar()).withColumn("_made", made).drop("_routes")
 
 
-def _matrix_distances(df: DataFrame, routes: DataFrame, vec: str, sparse: bool) -> DataFrame:
-    references, products, _ = _kernels(sparse)
+def _matrix_candidates(
+    df: DataFrame,
+    routes: DataFrame,
+    vec: str,
+    sparse: bool,
+    k: int | None,
+    within: bool,
+    product_cells: int,
+) -> DataFrame:
+    """Add ``candidates``: the k nearest are picked beside the product, in the worker."""
+    references, products, rounded, nearest = _kernels(sparse, product_cells)
     # counted to be at most max_cells numbers
-    names, limits, starts, matrix = references(routes.select("route", "threshold", "vec").toArrow())
-    shared = df.sparkSession.sparkContext.broadcast((starts, matrix))
+    table = references(routes.select("route", "threshold", "vec").toArrow())
+    shared = df.sparkSession.sparkContext.broadcast(table)
 
-    def nearest(columns: list[pa.Array]) -> pa.Array:
-        starts, matrix = shared.value
-        best = np.empty((len(columns[0]), len(starts)))
+    def found(columns: list[pa.Array]) -> pa.Array:
+        names, limits, starts, matrix = shared.value
+        counts = np.zeros(len(columns[0]), dtype="int64")
+        picked, distances = [np.zeros(0, dtype="int64")], [np.zeros(0)]
         for at, part in products(columns, starts, matrix):
-            best[at : at + len(part)] = part
-        offsets = np.arange(0, best.size + 1, len(starts), dtype="int32")
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(best.ravel()))
+            row, which, distance = nearest(rounded(part), limits, k, within)
+            counts[at : at + len(part)] = np.bincount(row, minlength=len(part))
+            picked.append(which)
+            distances.append(distance)
+        entries = pa.StructArray.from_arrays(
+            [
+                pa.array(np.concatenate(distances)),
+                pa.array(names, pa.string()).take(pa.array(np.concatenate(picked))),
+            ],
+            ["distance", "route"],
+        )
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype("int32")
+        return pa.ListArray.from_arrays(pa.array(offsets), entries)
 
     if sparse:
 
-        @F.arrow_udf("array<double>")
-        def distances(dims: pa.Array, vals: pa.Array) -> pa.Array:
-            return nearest([dims, vals])
+        @F.arrow_udf(_CANDIDATES)
+        def candidates(dims: pa.Array, vals: pa.Array) -> pa.Array:
+            return found([dims, vals])
 
     else:
 
-        @F.arrow_udf("array<double>")
-        def distances(dense: pa.Array) -> pa.Array:
-            return nearest([dense])
+        @F.arrow_udf(_CANDIDATES)
+        def candidates(dense: pa.Array) -> pa.Array:
+            return found([dense])
 
     # marked so that no rule copies the product into a pushed-down filter
-    made = distances.asNondeterministic()(*_vector_columns(F.col(vec), sparse))
-    head = F.array(
-        *[
-            F.struct(F.lit(n).alias("route"), F.lit(float(t)).alias("threshold"))
-            for n, t in zip(names, limits)
-        ]
-    )
-    return df.withColumn(
-        "_made",
-        F.zip_with(
-            head,
-            made,
-            lambda h, d: F.struct(
-                h["route"].alias("route"),
-                h["threshold"].alias("threshold"),
-                F.round(d, vx.DISTANCE_DIGITS).alias("distance"),
-            ),
-        ),
+    made = candidates.asNondeterministic()(*_vector_columns(F.col(vec), sparse))
+    return (
+        df.withColumn("_made", made)
+        .withColumn("candidates", F.when(F.col(vec).isNotNull(), F.col("_made")).otherwise(_none()))
+        .drop("_made")
     )
 
 
+def _none() -> Column:
+    return F.expr(f"cast(array() as {_CANDIDATES})")
+
+
 def _upto(n: int) -> Column:
     return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
 
@@ -159,10 +186,12 @@ def _block_rows(
     n_blocks: int,
     k: int | None,
     within: bool,
+    group_rows: int,
+    product_cells: int,
 ) -> DataFrame:
-    """(id, route, distance) of the k nearest routes of every block, or of all."""
-    references, products, rounded = _kernels(sparse)
-    salts = max(1, math.ceil(df.select(id_col).count() / GROUP_ROWS))
+    """(row key, route, distance) of the k nearest routes of every block, or of all."""
+    references, products, rounded, nearest = _kernels(sparse, product_cells)
+    salts = max(1, math.ceil(df.select(id_col).count() / group_rows))
     columns = [c.alias(f"_v{i}") for i, c in enumerate(_vector_columns(F.col(vec), sparse))]
     left = (
         df.select(F.col(id_col), *columns)
@@ -187,18 +216,10 @@ def _block_rows(
             names, limits, starts, matrix = references(block)
             vectors = [articles.column(f"_v{i}").combine_chunks() for i in range(width)]
             for at, part in products(vectors, starts, matrix):
-                part = rounded(part)
-                score = np.where(part <= limits, part, np.inf) if within else part
-                if k == 1:
-                    order = score.argmin(axis=1)[:, None]
-                else:
-                    # stable: equal distances stay in the order of the names
-                    order = score.argsort(axis=1, kind="stable")[:, : (k or len(names))]
-                near = np.take_along_axis(score, order, axis=1)
-                row, col = np.nonzero(np.isfinite(near))
+                row, which, distance = nearest(rounded(part), limits, k, within)
                 owners.append(row + at)
-                picked.append(order[row, col])
-                found.append(near[row, col])
+                picked.append(which)
+                found.append(distance)
         one = [np.concatenate(x) if x else np.zeros(0) for x in (owners, picked, found)]
         return pa.table(
             {
@@ -227,29 +248,34 @@ def _size(routes: DataFrame) -> tuple[int, int, int]:
     return row["vectors"], row["routes"], row["cells"]
 
 
-def _inline(
-    df: DataFrame, routes: DataFrame, vec: str, sparse: bool, size: tuple[int, int, int]
-) -> DataFrame:
-    """Add ``distances``, one entry per route by name; null where there is no vector."""
+def _by_row(size: tuple[int, int, int], row_cells: int) -> bool:
     vectors, names, cells = size
-    if vectors == 0:
-        return df.withColumn("distances", F.expr(f"cast(array() as {_DISTANCES})"))
-    by_row = vectors == names and cells <= ROW_CELLS
-    made = (_row_distances if by_row else _matrix_distances)(df, routes, vec, sparse)
-    return made.withColumn("distances", F.when(F.col(vec).isNotNull(), F.col("_made"))).drop(
-        "_made"
-    )
+    return 0 < vectors == names and cells <= row_cells
+
+
+def _is_number(d: Column) -> Column:
+    # a NaN is larger than every number
+    return d["distance"] < F.lit(float("inf"))
 
 
 def _nearest(distances: Column, k: int, within: bool) -> Column:
     """The k smallest (distance, route) of an array of distances."""
-    kept = F.filter(distances, lambda d: d["distance"] <= d["threshold"]) if within else distances
-    pairs = F.transform(kept, lambda d: F.struct(d["distance"], d["route"]))
+
+    def good(d: Column) -> Column:
+        return _is_number(d) & (d["distance"] <= d["threshold"]) if within else _is_number(d)
+
+    pairs = F.transform(F.filter(distances, good), lambda d: F.struct(d["distance"], d["route"]))
     if k == 1:
         return F.filter(F.array(F.array_min(pairs)), lambda c: c.isNotNull())
     return F.slice(F.sort_array(pairs), 1, k)
 
 
+def _with_row_key(df: DataFrame, id_col: str, vec: str, sparse: bool) -> DataFrame:
+    """Rows of one id and one vector have one answer, and no other rows have it."""
+    key = F.xxhash64(F.col(id_col), *_vector_columns(F.col(vec), sparse))
+    return df.withColumn("_row", F.struct(F.col(id_col).alias("id"), key.alias("h")).cast("string"))
+
+
 def candidate_routes(
     df: DataFrame,
     routes: DataFrame,
@@ -259,6 +285,9 @@ def candidate_routes(
     within_threshold: bool = True,
     sparse: bool = True,
     max_cells: int = MAX_CELLS,
+    row_cells: int = ROW_CELLS,
+    group_rows: int = GROUP_ROWS,
+    product_cells: int = PRODUCT_CELLS,
 ) -> DataFrame:
     """Add ``candidates``: the k nearest (distance, route) of each article, nearest first.
 
@@ -268,16 +297,24 @@ def candidate_routes(
     positive("k", k)
     positive("max_cells", max_cells)
     size = _size(routes)
-    if size[2] <= max_cells:
+    if size[0] == 0:
+        return df.withColumn("candidates", _none())
+    if _by_row(size, row_cells):
+        near = _nearest(F.col("_made"), k, within_threshold)
         return (
-            _inline(df, routes, vec, sparse, size)
-            .withColumn("candidates", _nearest(F.col("distances"), k, within_threshold))
-            .drop("distances")
+            _row_distances(df, routes, vec, sparse)
+            .withColumn("candidates", F.when(F.col(vec).isNotNull(), near).otherwise(_none()))
+            .drop("_made")
         )
+    if size[2] <= max_cells:
+        return _matrix_candidates(df, routes, vec, sparse, k, within_threshold, product_cells)
     n_blocks = math.ceil(size[2] / max_cells)
+    keyed = _with_row_key(df, id_col, vec, sparse)
     merged = (
-        _block_rows(df, routes, id_col, vec, sparse, n_blocks, k, within_threshold)
-        .groupBy(id_col)
+        _block_rows(
+            keyed, routes, "_row", vec, sparse, n_blocks, k, within_threshold, group_rows, product_cells
+        )
+        .groupBy("_row")
         # at most k per block
         .agg(
             F.slice(F.sort_array(F.collect_list(F.struct("distance", "route"))), 1, k).alias(
@@ -285,8 +322,11 @@ def candidate_routes(
             )
         )
     )
-    none = F.expr("cast(array() as array<struct<distance:double,route:string>>)")
-    return df.join(merged, id_col, "left").withColumn("candidates", F.coalesce("candidates", none))
+    return (
+        keyed.join(merged, "_row", "left")
+        .withColumn("candidates", F.coalesce("candidates", _none()))
+        .drop("_row")
+    )
 
 
 def distance_rows(
@@ -297,17 +337,33 @@ def distance_rows(
     keep: Sequence[str] = (),
     sparse: bool = True,
     max_cells: int = MAX_CELLS,
+    row_cells: int = ROW_CELLS,
+    group_rows: int = GROUP_ROWS,
+    product_cells: int = PRODUCT_CELLS,
 ) -> DataFrame:
     """Distance of every article to every route: (id, *keep, route, distance)."""
     positive("max_cells", max_cells)
     size = _size(routes)
-    if size[2] <= max_cells:
-        return (
-            _inline(df, routes, vec, sparse, size)
-            .select(id_col, *keep, F.inline_outer("distances"))
-            .filter(F.col("route").isNotNull())
-            .drop("threshold")
+    if size[0] == 0:
+        none = df.withColumn("_made", _none()).select(id_col, *keep, F.inline_outer("_made"))
+        return none.filter("route IS NOT NULL").select(id_col, *keep, "route", "distance")
+    if size[2] > max_cells:
+        n_blocks = math.ceil(size[2] / max_cells)
+        keyed = _with_row_key(df, id_col, vec, sparse)
+        rows = _block_rows(
+            keyed, routes, "_row", vec, sparse, n_blocks, None, False, group_rows, product_cells
         )
-    n_blocks = math.ceil(size[2] / max_cells)
-    rows = _block_rows(df, routes, id_col, vec, sparse, n_blocks, None, False)
-    return df.select(id_col, *keep).join(rows, id_col) if keep else rows
+        return keyed.select("_row", id_col, *keep).join(rows, "_row").drop("_row")
+    if _by_row(size, row_cells):
+        made = _row_distances(df, routes, vec, sparse).withColumn(
+            "_made", F.when(F.col(vec).isNotNull(), F.filter("_made", _is_number))
+        )
+    else:
+        made = _matrix_candidates(df, routes, vec, sparse, None, False, product_cells).withColumn(
+            "_made", F.col("candidates")
+        )
+    return (
+        made.select(id_col, *keep, F.inline_outer("_made"))
+        .filter(F.col("route").isNotNull())
+        .select(id_col, *keep, "route", "distance")
+    )

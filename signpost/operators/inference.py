@@ -177,12 +177,19 @@ def model_replies(
 
 def _entries(reply: Column) -> Column:
     objects = F.regexp_extract_all(reply, F.lit(REPLY_OBJECT), F.lit(0))
-    form_a = F.from_json(
-        F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]")), f"array<{_ENTRY}>"
+    # each object by itself: a broken one costs its own entry and no other
+    strict = {"allowSingleQuotes": "false"}
+    form_a = F.filter(
+        F.transform(objects, lambda o: F.from_json(o, _ENTRY, strict)),
+        lambda e: e["article_id"].isNotNull(),
+    )
+    # as the only element of an array, so that nothing may follow the object; parsed
+    # as a whole first, since from_json keeps what it read before an error
+    listed = F.concat(F.lit("["), F.regexp_extract(reply, REPLY_LIST, 1), F.lit("]"))
+    entries = F.from_json(listed, f"array<struct<classifications:array<{_ENTRY}>>>", strict)
+    form_b = F.when(
+        F.try_parse_json(listed).isNotNull(), F.get(entries, F.lit(0))["classifications"]
     )
-    form_b = F.from_json(
-        F.regexp_extract(reply, REPLY_LIST, 1), f"classifications array<{_ENTRY}>"
-    )["classifications"]
     return F.when(F.size(objects) > 0, form_a).otherwise(form_b)
 
 

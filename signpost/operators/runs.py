@@ -131,8 +131,8 @@ def run_listing(runs: DataFrame) -> DataFrame:
 
 
 def _newest() -> Column:
-    # the later the time, the smaller the interval back to the epoch
-    age = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) - F.col("modified_at")
+    # instants and not local times, which run backwards for an hour in autumn
+    age = -F.unix_micros(F.col("modified_at").cast("timestamp"))
     return F.min(F.struct(age.alias("_age"), "run_id", "modified_at"))
 
 

@@ -558,7 +558,3 @@ kinds AS (SELECT *, error_class NOT IN
   ('AuthenticationError', 'BadRequestError', 'ParseError') retryable FROM named)"""
 SQL["error_taxonomy"] = f"""
 WITH {_TAXONOMY} SELECT event_id, error, error_class, retryable FROM kinds"""
-SQL["retry_schedule"] = f"""
-WITH {_TAXONOMY} SELECT event_id, attempt,
-  CASE WHEN retryable AND attempt < 3 THEN CAST(power(2, attempt) AS DOUBLE) END AS delay_s
-FROM kinds, range(4) a(attempt) WHERE retryable OR attempt = 0"""

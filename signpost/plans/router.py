@@ -103,7 +103,8 @@ def classify(
     The article is embedded whole and uncleaned; only references are cut.
     """
     if overrides:
-        routes = override_thresholds(routes, overrides_frame(articles.sparkSession, overrides))
+        changed = override_thresholds(routes, overrides_frame(articles.sparkSession, overrides))
+        routes = materialize(changed)
     embedded = embed(articles, embedder, text_col, dims)
     return route_articles(
         embedded, routes, classes, id_col, sparse=not callable(embedder)

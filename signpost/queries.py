@@ -690,10 +690,6 @@ def error_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     return retries.error_taxonomy(_errors(spark, sf))
 
 
-def retry_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    return retries.retry_schedule(_errors(spark, sf)).select("event_id", "attempt", "delay_s")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -737,6 +733,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         latest_run,
         run_comparison,
         error_taxonomy,
-        retry_schedule,
     )
 }

@@ -55,13 +55,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core for a scan that has fewer partitions than there are cores.
+def spread(df: DataFrame, key: str, max_bytes: int = 256 << 20) -> DataFrame:
+    """Use every core for a small scan that has fewer partitions than there are cores.
 
-    Only a small table is ever moved: a scan of many files or row groups already
-    has more partitions than cores and is left as it is.
+    Only a table of at most ``max_bytes`` by Catalyst's estimate is moved; a larger
+    one keeps the partitions of its scan, whatever the cluster.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > max_bytes or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key)
