@@ -48,7 +48,7 @@ def test_terms_that_disclose(spark):
     for i in range(6):
         found = {texts[i][x["s"] : x["e"]]: x["action"] for x in by[i]["terms"]}
         assert "common" not in found
-        assert found == {"zorblax": "generalise", "near": "generalise"}  # narrows it to two addresses
+        assert found == dict.fromkeys(["alpha", "zorblax", "near"], "generalise")  # each narrows it to two
     texts = [f"zorblax wrote from ann@corp.example.com number {i}" for i in range(3)] + texts[6:]
     by = {r["doc_id"]: r for r in pii.find_private(frame(spark, texts), min_together=2).collect()}
     found = {texts[0][x["s"] : x["e"]]: x["action"] for x in by[0]["terms"]}
