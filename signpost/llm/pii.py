@@ -163,6 +163,31 @@ def _company(text: Column, span: Column) -> Column:
     )
 
 
+def _ties(df: DataFrame, text_col: str) -> DataFrame:
+    """``_tie`` (hash) of every different text and ``_rows``, how many rows have it."""
+    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return df.groupBy(tie.alias("_tie")).agg(F.count("*").alias("_rows"))
+
+
+def term_counts(df: DataFrame, ties: DataFrame, text_col: str = "text") -> DataFrame:
+    """``term``, ``n_t``: the number of different texts that have the term.
+
+    All rows are counted, folded before the shuffle, and what copies add to the count
+    is taken off again: only texts that occur twice or more meet their hash's rows.
+    """
+    texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+
+    def spread(rows: DataFrame, *keep: str) -> DataFrame:
+        terms = F.array_distinct(F.split(F.lower("_t"), r"\P{L}+"))
+        return rows.select(*keep, F.explode(terms).alias("term")).filter(F.length("term") >= MIN_LETTERS)
+
+    every = spread(texts).groupBy("term").agg(F.count("*").alias("n"))
+    copied = ties.filter("_rows > 1")
+    hashed = texts.withColumn("_tie", F.xxhash64("_t")).join(copied, "_tie")
+    surplus = spread(hashed, "_tie", "_rows").distinct().groupBy("term").agg((-F.sum(F.col("_rows") - 1)).alias("n"))
+    return every.unionByName(surplus).groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
 def disclosures(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -177,9 +202,8 @@ def disclosures(
     the largest ratio over the text's entities. Counts are numbers of different
     texts over the whole corpus; terms are lower-cased runs of letters.
     """
-    found = find_base(df, id_col, text_col)
-    # the few texts that hold an entity; equal texts once
-    private = found.filter(F.size("_spans") > 0).dropDuplicates(["_tie"])
+    # the few texts that hold an entity; equal texts give equal rows, which count once
+    private = find_base(df, id_col, text_col).filter(F.size("_spans") > 0)
     company = materialize(
         private.select("_tie", F.explode(F.transform("_spans", lambda x: _company(F.col("_text"), x))).alias("c"))
         .select("_tie", F.col("c.entity").alias("entity"), F.explode_outer("c.terms").alias("term"))
@@ -195,17 +219,9 @@ def disclosures(
         .filter(F.col("n_ct") >= min_together)
         .join(entity_n, "entity")
     )
-    # how many texts of the whole corpus have the term
-    all_texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    wanted = pairs.select("term").distinct()
-    spread = all_texts.select(
-        F.xxhash64("_t").alias("_tie"),
-        F.explode(F.array_distinct(F.split(F.lower("_t"), r"\P{L}+"))).alias("term"),
-    ).filter(F.length("term") >= MIN_LETTERS)
-    term_n = (
-        spread.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    )
-    n = F.lit(float(max(2, df.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")).distinct().count())))
+    ties = materialize(_ties(df, text_col))
+    n = F.lit(float(max(2, ties.count())))
+    term_n = term_counts(df, ties, text_col).join(pairs.select("term").distinct(), "term", "left_semi")
     pmi = F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t")))
     ratio = pmi / F.log(n / F.col("n_c"))
     telling = (

@@ -1,6 +1,7 @@
 """Operators built from column expressions, against plain Python."""
 
 import collections
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,18 @@ def test_terms_that_disclose(spark):
     assert clean[0]["_h"] == "clash"
 
 
+def test_terms_count_once_per_text(spark, documents):
+    copies = documents.unionByName(documents.filter("doc_id % 3 = 0")).unionByName(documents.filter("doc_id = 3"))
+    for df in (documents, copies, frame(spark, HOSTILE * 2)):
+        got = {r["term"]: r["n_t"] for r in pii.term_counts(df, pii._ties(df, "text")).collect()}
+        texts = {r["text"] or "" for r in df.collect()}
+        words = [set(re.findall(r"[^\W\d_]+", t.lower())) for t in texts]
+        want = collections.Counter(w for ws in words for w in ws if len(w) >= pii.MIN_LETTERS)
+        assert got == want
+    one = {r["doc_id"]: r["terms"] for r in pii.find_private(documents).collect()}
+    assert all(one[r["doc_id"]] == r["terms"] for r in pii.find_private(copies).collect())
+
+
 def test_masked_null(spark):
     rows = pii.sanitised(frame(spark, [None, "", "mail me@x.yz now"])).orderBy("doc_id").collect()
     assert [r["text"] for r in rows] == [None, "", "mail [EMAIL] now"]
