@@ -40,6 +40,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 GENERATOR = 0b110001110101
 HASH_SEED = 42
 CROWD = 32
+# Classes of one block.
+BLOCK = 256
 
 
 def words_of(text: str) -> list[bytes]:
@@ -223,26 +225,55 @@ def least_of(distinct: np.ndarray) -> np.ndarray:
     return np.unique((distinct[: SKETCH + 8] >> np.uint64(33)).astype(np.int32))[:SKETCH]
 
 
+def set_hash(distinct: np.ndarray) -> np.int64:
+    """Hash of a set of shingle hashes (sorted)."""
+    whole = xxhash.xxh64_intdigest(distinct.tobytes()) if len(distinct) else 0
+    return np.uint64(whole).view(np.int64)
+
+
+def text_tie(text_col: str) -> Column:
+    """Hash of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``_id``, ``_set`` (hash of the set of shingles), ``_fp``, ``_bands``, ``_sketch``."""
+    """``_id``, ``_tie`` (hash of the text), ``_set`` (hash of the set of shingles), ``_fp``, ``_bands``."""
     ship_code(df.sparkSession)
 
-    @pandas_udf("_set bigint, _fp bigint, _bands array<bigint>, _sketch array<int>")
+    @pandas_udf("_set bigint, _fp bigint, _bands array<bigint>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
                 hashes = shingle_hashes(t or "", width)
                 distinct = np.unique(hashes)
-                whole = xxhash.xxh64_intdigest(distinct.tobytes()) if len(distinct) else 0
                 rows.append((
-                    np.uint64(whole).view(np.int64), np.uint64(fingerprint(hashes)).view(np.int64),
-                    band_keys(distinct).view(np.int64), least_of(distinct),
+                    set_hash(distinct), np.uint64(fingerprint(hashes)).view(np.int64),
+                    band_keys(distinct).view(np.int64),
                 ))
-            yield pd.DataFrame(rows, columns=["_set", "_fp", "_bands", "_sketch"])
+            yield pd.DataFrame(rows, columns=["_set", "_fp", "_bands"])
 
-    found = df.select(F.col(id_col).alias("_id"), sign(F.col(text_col)).alias("s"))
-    return found.select("_id", "s._set", "s._fp", "s._bands", "s._sketch")
+    found = df.select(F.col(id_col).alias("_id"), text_tie(text_col).alias("_tie"), sign(F.col(text_col)).alias("s"))
+    return found.select("_id", "_tie", "s._set", "s._fp", "s._bands")
+
+
+def whole_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``_set``, ``_n``, ``_sketch`` of the ``wanted`` (``_set``, ``_id``, ``_tie``)."""
+
+    @pandas_udf("_n int, _sketch array<int>")
+    def open_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            for lo in range(0, len(texts), 256):
+                rows = []
+                for t in texts.iloc[lo : lo + 256]:
+                    distinct = np.unique(shingle_hashes(t or "", width))
+                    rows.append((len(distinct), least_of(distinct)))
+                yield pd.DataFrame(rows, columns=["_n", "_sketch"])
+
+    texts = df.select(F.col(id_col).alias("_did"), text_tie(text_col).alias("_dtie"), F.col(text_col).alias("_text"))
+    found = texts.join(wanted, (F.col("_dtie") == F.col("_tie")) & F.col("_did").eqNullSafe(F.col("_id")))
+    one = found.dropDuplicates(["_set"]).select("_set", open_up("_text").alias("s"))
+    return one.select("_set", "s._n", "s._sketch")
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -257,33 +288,94 @@ def alike(a: Column, b: Column) -> Column:
     )
 
 
-def near_duplicates(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    similarity: float = 0.8,
-    crowd: int = CROWD,
-) -> DataFrame:
-    """Per row: id, component_id (smallest id of its group of near duplicates).
+def likeness_of_blocks(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Likeness by sketch of every pair ``[left, right]``.
 
-    Links are pairs of texts whose shingle sets are alike by ``similarity`` or more.
-    Candidates come from fingerprints within two bits (Golay keys) and, as 64 bits
-    can't see a likeness of 0.8 at two bits, from bands of least hashes. Texts with
-    one set of shingles are one class, so copies are never paired. Under a band key
-    with at most ``crowd`` classes all pairs are compared; in a more crowded one each
-    class is compared with the smallest of the whole and the smallest of one of eight
-    parts, so a link that only chains through others may be found by another band.
-    Null and empty texts are one class. Ids are whole numbers; repeated ids share the
-    smaller answer; an empty table gives an empty result.
+    Up to the smaller of two sketches' last values both sets are known in full, so
+    the estimate counts what lies below; at least SKETCH hashes of the union do.
+    """
+    end = np.iinfo(np.int64).max
+    last = [np.array([s[-1] if len(s) >= SKETCH else end for s in side], np.int64) for side in (left, right)]
+    known = np.minimum(last[0][:, None], last[1][None, :])
+    below_l = np.stack([np.searchsorted(s, known[i], "right") for i, s in enumerate(left)])
+    below_r = np.stack([np.searchsorted(s, known[:, j], "right") for j, s in enumerate(right)], axis=1)
+    sides = []
+    for side in (left, right):
+        rows = np.repeat(np.arange(len(side)), [len(s) for s in side])
+        sides.append((np.concatenate(side), rows))
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    both = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(common), 4096):
+        part = common[lo : lo + 4096]
+        ones = []
+        for (values, rows), side in zip(sides, (left, right), strict=True):
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            grid = np.zeros((len(side), len(part)), np.float32)
+            grid[rows[hit], at[hit]] = 1
+            ones.append(grid)
+        both += ones[0] @ ones[1].T
+    return both / np.maximum(below_l + below_r - both, 1)
+
+
+def pairs_in_blocks(rows: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """``a``, ``b``: pairs of different ``_root`` under one ``_key`` that the sketches don't rule out.
+
+    ``rows``: ``_key``, ``_set``, ``_root``, ``_bands``, ``_n``, ``_sketch``. Every class
+    of a key is in one block of about ``block`` classes, the key's most common root in
+    blocks of its own, which needn't meet each other; every other pair of blocks meets
+    in one group, keyed by (key, block, block). A pair that shares several keys is
+    listed under the first of them.
     """
+    by_root = rows.groupBy("_key", "_root").agg(F.count("*").alias("_c"))
+    plan = by_root.groupBy("_key").agg(F.max_by("_root", F.struct("_c", "_root")).alias("_main"), F.max("_c").alias("_most"), F.sum("_c").alias("_all"))
+    small, large = F.ceil((F.col("_all") - F.col("_most")) / block), F.ceil(F.col("_most") / block)
+    here = F.pmod(F.xxhash64(F.lit(1), "_set"), F.when(F.col("_root") == F.col("_main"), large).otherwise(small))
+    main = F.col("_root") == F.col("_main")
+    meets = F.when(main, F.sequence(F.lit(0).cast("bigint"), small - 1)).otherwise(
+        F.sequence(F.lit(0).cast("bigint"), small + large - 1)
+    )
+    sent = (
+        rows.join(plan, "_key")
+        .withColumn("_own", F.when(main, here + small).otherwise(here))
+        .withColumn("_other", F.explode(meets))
+        .select("_key", "_own", "_set", "_root", "_bands", "_n", "_sketch",
+                F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"))
+    )
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = group["_lo"].iloc[0], group["_hi"].iloc[0]
+        left, right = group[group["_own"] == lo], group[group["_own"] == hi]
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sets = [side["_set"].to_numpy(np.int64) for side in (left, right)]
+        roots = [side["_root"].to_numpy(np.int64) for side in (left, right)]
+        sizes = [side["_n"].to_numpy(np.int64) for side in (left, right)]
+        open_pairs = roots[0][:, None] != roots[1][None, :]
+        if lo == hi:
+            open_pairs &= sets[0][:, None] < sets[1][None, :]
+        open_pairs &= np.minimum(sizes[0][:, None], sizes[1]) >= similarity * np.maximum(sizes[0][:, None], sizes[1])
+        bands = [np.stack(side["_bands"].to_list()) for side in (left, right)]
+        at = int(np.flatnonzero(bands[0][0] == group["_key"].iloc[0])[0])
+        for k in range(at):
+            open_pairs &= bands[0][:, k][:, None] != bands[1][:, k]
+        open_pairs &= likeness_of_blocks(left["_sketch"].to_list(), right["_sketch"].to_list()) >= similarity
+        i, j = np.nonzero(open_pairs)
+        return pd.DataFrame({"a": np.minimum(sets[0][i], sets[1][j]), "b": np.maximum(sets[0][i], sets[1][j])})
+
+    return sent.groupBy("_key", "_lo", "_hi").applyInPandas(meet, "a bigint, b bigint")
+
+
+def near_classes(
+    df: DataFrame, id_col: str, text_col: str, width: int, similarity: float, crowd: int
+) -> tuple[DataFrame, DataFrame]:
+    """The rows' ``signatures``, written, and per class ``_set`` the ``_root`` of its group."""
     signed = materialize(signatures(df, id_col, text_col, width))
     classes = materialize(
         signed.groupBy("_set").agg(
-            F.min("_id").alias("_least"),
+            F.min(F.struct("_id", "_tie")).alias("_one"),
             F.first("_fp").alias("_fp"),
             F.first("_bands").alias("_bands"),
-            F.first("_sketch").alias("_sketch"),
         )
     )
     by_print = classes.groupBy("_fp").agg(F.min("_set").alias("_rep"))
@@ -296,37 +388,80 @@ def near_duplicates(
     )
     keyed = classes.select("_set", F.explode("_bands").alias("_key"))
     sizes = keyed.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_set").alias("_hub")).filter("_n > 1")
-    met = materialize(keyed.join(sizes, "_key"))
-    few = met.filter(F.col("_n") <= crowd).groupBy("_key").agg(F.collect_list("_set").alias("_all"))
-    pairs = few.select(F.explode("_all").alias("a"), "_all").select(
-        "a", F.explode(F.filter("_all", lambda b: b > F.col("a"))).alias("b")
-    )
-    many = met.filter(F.col("_n") > crowd).withColumn("_part", F.pmod(F.xxhash64("_set"), F.lit(8)))
-    hubs = many.groupBy("_key", "_part").agg(F.min("_set").alias("_near"))
-    stars = many.join(hubs, ["_key", "_part"]).select(
-        F.explode(F.array(F.struct(F.col("_hub").alias("a"), F.col("_set").alias("b")), F.struct(F.col("_near").alias("a"), F.col("_set").alias("b")))).alias("e")
-    ).select("e.a", "e.b")
-    candidates = (
-        pairs.union(stars).union(same_print).union(prints).filter("a <> b")
+    met = materialize(keyed.join(sizes, "_key").withColumnRenamed("_n", "_met"))
+    stars = met.select(F.col("_hub").alias("a"), F.col("_set").alias("b"))
+    first = materialize(
+        stars.union(same_print).union(prints).filter("a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    sketches = classes.select("_set", "_sketch")
-    links = materialize(
-        candidates.join(sketches.withColumnsRenamed({"_set": "a", "_sketch": "sa"}), "a")
-        .join(sketches.withColumnsRenamed({"_set": "b", "_sketch": "sb"}), "b")
-        .filter(alike(F.col("sa"), F.col("sb")) >= similarity)
-        .select("a", "b")
+    wanted = first.select(F.col("a").alias("_set")).union(first.select("b")).distinct()
+    wholes = materialize(
+        whole_sets(df, classes.select("_set", "_one.*").join(wanted, "_set", "left_semi"), id_col, text_col, width)
     )
+    sketches = wholes.select("_set", "_n", "_sketch")
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sketches.select(F.col("_set").alias("a"), F.col("_n").alias("na"), F.col("_sketch").alias("sa")), "a")
+        both = both.join(sketches.select(F.col("_set").alias("b"), F.col("_n").alias("nb"), F.col("_sketch").alias("sb")), "b")
+        sized = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
+        return both.filter(sized).filter(alike(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
+
+    links = materialize(sketched(first))
+    # What the hubs connect needs no further pair; all others that share a key are compared.
     roots = components(links)
-    rooted = classes.select("_set", "_least").join(roots, F.col("_set") == F.col("node"), "left").select(
-        "_set", "_least", F.coalesce("root", "_set").alias("_root")
+    rooted = materialize(
+        met.join(roots, F.col("_set") == F.col("node"), "left").select(
+            "_key", "_met", "_set", F.coalesce("root", "_set").alias("_root")
+        )
     )
-    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = materialize(rooted.join(least, "_root").select(F.col("_set").alias("_class"), "component_id"))
-    return signed.select("_id", "_set").join(named, F.col("_set") == F.col("_class")).select(
-        F.col("_id").alias(id_col), "component_id"
+    parted = rooted.groupBy("_key").agg(F.min("_root").alias("_u"), F.max("_root").alias("_v")).filter("_u <> _v")
+    still = materialize(rooted.join(parted.select("_key"), "_key"))
+    few = still.filter((F.col("_met") <= crowd) & (F.col("_met") > 2)).groupBy("_key").agg(
+        F.collect_list(F.struct("_set", "_root")).alias("_all")
+    )
+    pairs = (
+        few.select(F.explode("_all").alias("x"), "_all")
+        .select(
+            F.col("x._set").alias("a"),
+            F.explode(F.filter("_all", lambda y: (y["_set"] > F.col("x._set")) & (y["_root"] != F.col("x._root")))).alias("y"),
+        )
+        .select("a", F.col("y._set").alias("b"))
+        .distinct()
+        .join(first, ["a", "b"], "left_anti")
     )
+    many = still.filter(F.col("_met") > crowd).join(classes.select("_set", "_bands"), "_set").join(sketches, "_set")
+    blocks = pairs_in_blocks(materialize(many.drop("_met")), similarity)
+    more = materialize(sketched(pairs).union(blocks))
+    ends = components(links.union(more))
+    named = classes.select("_set").join(ends, F.col("_set") == F.col("node"), "left")
+    return signed, materialize(named.select("_set", F.coalesce("root", "_set").alias("_root")))
+
+
+def near_duplicates(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    similarity: float = 0.8,
+    crowd: int = CROWD,
+) -> DataFrame:
+    """Per row: id, component_id (smallest id of its group of near duplicates).
+
+    Links are pairs of texts whose shingle sets are alike by ``similarity`` or more.
+    Candidates come from fingerprints within two bits (Golay keys) and, as 64 bits
+    can't see a likeness of 0.8 at two bits, from bands of least hashes. Texts with
+    one set of shingles are one class, so copies are never paired. Each class is
+    compared with the smallest under each of its band keys; then all pairs that share
+    a key and are not connected yet, under keys with more than ``crowd`` classes in
+    blocks. Links are decided by sketch. Null and empty texts are one class. Ids are
+    whole numbers; every row has the answer of its own text, also among repeated and
+    null ids; an empty table gives an empty result.
+    """
+    signed, named = near_classes(df, id_col, text_col, width, similarity, crowd)
+    rows = materialize(signed.select("_id", "_set").join(named, "_set"))
+    least = rows.groupBy("_root").agg(F.min("_id").alias("component_id"))
+    return rows.join(least, "_root").select(F.col("_id").alias(id_col), "component_id")
 
 
 def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
