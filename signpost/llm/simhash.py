@@ -40,8 +40,9 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 GENERATOR = 0b110001110101
 HASH_SEED = 42
 CROWD = 32
-# Classes of one block.
+# Classes of one block, and the standard errors by which a sketch must miss to rule a pair out.
 BLOCK = 256
+ERRORS = 5
 
 
 def words_of(text: str) -> list[bytes]:
@@ -258,22 +259,23 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 def whole_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``_set``, ``_n``, ``_sketch`` of the ``wanted`` (``_set``, ``_id``, ``_tie``)."""
+    """``_set``, ``_n``, ``_sketch``, ``_whole`` (all shingle hashes) of the ``wanted`` (``_set``, ``_id``, ``_tie``)."""
 
-    @pandas_udf("_n int, _sketch array<int>")
+    @pandas_udf("_n int, _sketch array<int>, _whole array<bigint>")
     def open_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
+            # whole sets are larger than the texts: few at a time
             for lo in range(0, len(texts), 256):
                 rows = []
                 for t in texts.iloc[lo : lo + 256]:
                     distinct = np.unique(shingle_hashes(t or "", width))
-                    rows.append((len(distinct), least_of(distinct)))
-                yield pd.DataFrame(rows, columns=["_n", "_sketch"])
+                    rows.append((len(distinct), least_of(distinct), distinct.view(np.int64)))
+                yield pd.DataFrame(rows, columns=["_n", "_sketch", "_whole"])
 
     texts = df.select(F.col(id_col).alias("_did"), text_tie(text_col).alias("_dtie"), F.col(text_col).alias("_text"))
     found = texts.join(wanted, (F.col("_dtie") == F.col("_tie")) & F.col("_did").eqNullSafe(F.col("_id")))
     one = found.dropDuplicates(["_set"]).select("_set", open_up("_text").alias("s"))
-    return one.select("_set", "s._n", "s._sketch")
+    return one.select("_set", "s._n", "s._sketch", "s._whole")
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -288,6 +290,11 @@ def alike(a: Column, b: Column) -> Column:
     )
 
 
+def floor_of(similarity: float) -> float:
+    """The likeness by sketch that is ERRORS standard errors below ``similarity``."""
+    return similarity - ERRORS * (similarity * (1 - similarity) / SKETCH) ** 0.5
+
+
 def likeness_of_blocks(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Likeness by sketch of every pair ``[left, right]``.
 
@@ -359,7 +366,7 @@ def pairs_in_blocks(rows: DataFrame, similarity: float, block: int = BLOCK) -> D
         at = int(np.flatnonzero(bands[0][0] == group["_key"].iloc[0])[0])
         for k in range(at):
             open_pairs &= bands[0][:, k][:, None] != bands[1][:, k]
-        open_pairs &= likeness_of_blocks(left["_sketch"].to_list(), right["_sketch"].to_list()) >= similarity
+        open_pairs &= likeness_of_blocks(left["_sketch"].to_list(), right["_sketch"].to_list()) >= floor_of(similarity)
         i, j = np.nonzero(open_pairs)
         return pd.DataFrame({"a": np.minimum(sets[0][i], sets[1][j]), "b": np.maximum(sets[0][i], sets[1][j])})
 
@@ -405,9 +412,17 @@ def near_classes(
         both = pairs.join(sketches.select(F.col("_set").alias("a"), F.col("_n").alias("na"), F.col("_sketch").alias("sa")), "a")
         both = both.join(sketches.select(F.col("_set").alias("b"), F.col("_n").alias("nb"), F.col("_sketch").alias("sb")), "b")
         sized = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
-        return both.filter(sized).filter(alike(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
+        return both.filter(sized).filter(alike(F.col("sa"), F.col("sb")) >= floor_of(similarity)).select("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(wholes.select(F.col("_set").alias("a"), F.col("_whole").alias("wa")), "a")
+        both = both.join(wholes.select(F.col("_set").alias("b"), F.col("_whole").alias("wb")), "b")
+        met_in = let(
+            F.size(F.array_intersect("wa", "wb")), lambda n: F.try_divide(n, F.size("wa") + F.size("wb") - n)
+        )
+        return materialize(both.filter(met_in >= similarity).select("a", "b"))
 
-    links = materialize(sketched(first))
+    links = verified(sketched(first))
     # What the hubs connect needs no further pair; all others that share a key are compared.
     roots = components(links)
     rooted = materialize(
@@ -432,7 +447,7 @@ def near_classes(
     )
     many = still.filter(F.col("_met") > crowd).join(classes.select("_set", "_bands"), "_set").join(sketches, "_set")
     blocks = pairs_in_blocks(materialize(many.drop("_met")), similarity)
-    more = materialize(sketched(pairs).union(blocks))
+    more = verified(materialize(sketched(pairs).union(blocks)))
     ends = components(links.union(more))
     named = classes.select("_set").join(ends, F.col("_set") == F.col("node"), "left")
     return signed, materialize(named.select("_set", F.coalesce("root", "_set").alias("_root")))
@@ -454,7 +469,8 @@ def near_duplicates(
     one set of shingles are one class, so copies are never paired. Each class is
     compared with the smallest under each of its band keys; then all pairs that share
     a key and are not connected yet, under keys with more than ``crowd`` classes in
-    blocks. Links are decided by sketch. Null and empty texts are one class. Ids are
+    blocks. Sketches rule out what is ERRORS standard errors below; every other
+    pair is decided on the whole sets. Null and empty texts are one class. Ids are
     whole numbers; every row has the answer of its own text, also among repeated and
     null ids; an empty table gives an empty result.
     """

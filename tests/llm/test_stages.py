@@ -81,3 +81,20 @@ def test_pairs_in_blocks_are_all_pairs(spark):
     kinds = "_key bigint, _set bigint, _root bigint, _bands array<bigint>, _n int, _sketch array<int>"
     got = simhash.pairs_in_blocks(spark.createDataFrame(made, kinds), 0.0, block=8).collect()
     assert sorted(map(tuple, got)) == [(i, j) for i in range(70) for j in range(i + 1, 70) if i % 3 != j % 3]
+
+
+def test_links_are_decided_on_whole_sets(spark):
+    # each pair truly just above or just below 0.8, where sketches of 128 often err
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        words = prose(rng, 1000)
+        other = changed(rng, words, rng.sample(range(5, 995, 5), 20 if i % 2 else 25))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    want = brute_groups(rows)
+    assert want == [i - i % 2 if i // 2 % 2 else i for i in range(120)]
+    assert spark_groups(spark, rows) == want
+    rng = random.Random(5)
+    words = prose(rng, 400)
+    rows = [(i, " ".join(changed(rng, words, rng.sample(range(5, 395, 5), 5)))) for i in range(70)]
+    assert spark_groups(spark, rows, crowd=4) == brute_groups(rows)
