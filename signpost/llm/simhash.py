@@ -480,19 +480,30 @@ def near_duplicates(
     return rows.join(least, "_root").select(F.col("_id").alias(id_col), "component_id")
 
 
-def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def one_per_group(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    similarity: float = 0.8,
+    crowd: int = CROWD,
+) -> DataFrame:
     """``df`` with one row of each group of near duplicates: the one with the smallest id.
 
-    All columns stay. Rows that share an id keep one row if it is their group's; a
-    group of rows without ids keeps one of them.
+    All columns stay. A row is found again by id and text, so rows that share an id,
+    or have none, are told apart; a row without an id is kept if its group has no
+    other. Of rows equal in id and text one stays.
     """
-    groups = near_duplicates(df, id_col, text_col, **how)
-    keep = materialize(
-        groups.filter(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_kid")).distinct()
-    )
-    packed = df.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"))
-    kept = packed.join(keep, F.col("_id").eqNullSafe(F.col("_kid")), "left_semi")
-    ids = df.groupBy(F.col(id_col)).agg(F.count("*").alias("n")).filter("n > 1")
-    if ids.limit(1).count():
-        kept = kept.dropDuplicates(["_id"])
-    return kept.select("_doc.*")
+    signed, named = near_classes(df, id_col, text_col, width, similarity, crowd)
+    rows = signed.select("_id", "_tie", "_set").join(named, "_set")
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("_kid"), F.col("_tie").alias("_ktie"))
+    best = rows.groupBy("_root").agg(F.min(order).alias("k")).select("k._kid", "k._ktie")
+    counts = signed.groupBy("_id", "_tie").agg(F.count("*").alias("_n"))
+    same = F.col("_kid").eqNullSafe(F.col("_id")) & (F.col("_ktie") == F.col("_tie"))
+    keep = materialize(best.join(counts, same).select("_kid", "_ktie", "_n"))
+    packed = df.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), text_tie(text_col).alias("_tie"))
+    if not keep.filter("_n > 1").limit(1).count():
+        return packed.join(keep, same, "left_semi").select("_doc.*")
+    alone = packed.join(keep.filter("_n = 1"), same, "left_semi")
+    copied = packed.join(keep.filter("_n > 1"), same, "left_semi").dropDuplicates(["_id", "_tie"])
+    return alone.union(copied).select("_doc.*")

@@ -98,3 +98,19 @@ def test_links_are_decided_on_whole_sets(spark):
     words = prose(rng, 400)
     rows = [(i, " ".join(changed(rng, words, rng.sample(range(5, 395, 5), 5)))) for i in range(70)]
     assert spark_groups(spark, rows, crowd=4) == brute_groups(rows)
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    rng = random.Random(7)
+    base = [" ".join(prose(rng, 60)) for _ in range(8)]
+    near = base[0] + " tail"
+    rows = [
+        (5, base[1]), (5, base[2]),  # one id, two groups
+        (None, base[3]), (None, base[4]), (None, base[4]),  # groups without ids
+        (1, base[0]), (2, near), (2, base[5]), (9, base[5]),  # 2 is a copy here and the smallest there
+        (None, base[6]), (7, base[6]), (8, base[7]), (8, base[7]),
+        (None, None), (3, ""),
+    ]
+    got = simhash.one_per_group(frame(spark, rows)).collect()
+    want = [(5, base[1]), (5, base[2]), (None, base[3]), (None, base[4]), (1, base[0]), (2, base[5]), (7, base[6]), (8, base[7]), (3, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
