@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signpost.llm.exprs import words
+from signpost.llm.exprs import NOT_SPACE, words
 from signpost.llm.shipping import ship_code
 from signpost.operators.ranking import global_index
 from signpost.session import materialize
@@ -250,6 +250,16 @@ def mix_words(
     )
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its ``n``-th word, spaces as they are."""
+
+    def chars(parts: Column) -> Column:
+        return F.aggregate(F.slice(parts, 1, n.cast("int")), F.lit(0), lambda a, x: a + F.length(x))
+
+    gaps = F.split(text, NOT_SPACE + "+", -1)
+    return F.substring(text, F.lit(1), chars(words(text)) + chars(gaps))
+
+
 def mixed_documents(
     df: DataFrame,
     weights: Sequence[float] = (3, 1, 2),
@@ -257,48 +267,51 @@ def mixed_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    block: int = BLOCK,
-    shards: int = SHARDS,
     seed: int = 0,
 ) -> DataFrame:
-    """Whole documents in the mix: each row as often as the block it begins in is drawn.
-
-    All columns of ``df`` stay. A document without words begins in no block and comes
-    once. Rows equal in id and text share their takes as evenly as whole rows allow.
+    """Documents in the mix: the words of every source meet its target to the word.
+
+    A source that is to give q times its words and r more gives all its documents q
+    times, and in their pseudorandom order the documents that hold its first r words
+    once more; the one in which they end is cut after the last of them. So a source at
+    or above its size loses no document. All columns of ``df`` stay; only the text is
+    cut. A document without words comes once. Rows equal in id and text can't be told
+    apart: what they give is dealt out among them.
     """
     rows = sized(df, id_col, text_col, source_col)
     sources = materialize(source_targets(rows, weights, share))
-    located = placed(rows, sources, block, BUCKETS, seed)
-    times = drawn_slots(sources, block, shards, seed).groupBy("_k", "_block").agg(F.count("*").alias("_times"))
-    starts = (
-        located.withColumn("_block", F.call_function("div", F.col("_off"), F.lit(block)))
-        .join(times, ["_k", "_block"], "left")
-        .select(
-            "_id",
-            "_tie",
-            F.when(F.col("size") == 0, F.lit(1)).otherwise(F.coalesce("_times", F.lit(0))).alias("_times"),
-        )
-    )
-    # rows equal in id and text can't be told apart: their takes are shared out among them
-    copies = materialize(
-        starts.groupBy("_id", "_tie").agg(F.sum("_times").alias("_total"), F.count("*").alias("_rows"))
-    )
+    located = placed(rows, sources, seed=seed).join(sources.select("_k", "source_size", "target"), "_k")
+    turns = F.floor(F.col("target") / F.col("source_size"))
+    rest = F.round(F.col("target") - turns * F.col("source_size")).cast("bigint")
+    piece = F.least(F.greatest(rest - F.col("_off"), F.lit(0)), F.col("size"))
+
     # one key without nulls for the window and the join: texts cross one exchange
     def key(id_of: str, tie: Column) -> Column:
         return F.xxhash64(F.lit("row"), F.col(id_of).cast("string"), tie)
 
+    # the lengths in words in which a row comes, one per time it comes
+    cuts = F.when(F.col("size") == 0, F.array(F.col("size"))).otherwise(
+        F.concat(
+            F.array_repeat(F.col("size"), turns.cast("int")),
+            F.when(piece > 0, F.array(piece)).otherwise(F.array().cast("array<bigint>")),
+        )
+    )
+    takes = materialize(
+        located.select(key("_id", F.col("_tie")).alias("_dkey"), F.col("_tie").alias("_dtie"), "size", cuts.alias("_cuts"))
+        .groupBy("_dkey", "_dtie", "size")
+        .agg(F.collect_list("_cuts").alias("_takes"))
+    )
     tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     packed = df.select(F.struct("*").alias("_doc"), tie.alias("_dtie"), key(id_col, tie).alias("_dkey"))
     nth = F.row_number().over(Window.partitionBy("_dkey", "_dtie").orderBy(F.lit(1)))
-    base = F.call_function("div", F.col("_total"), F.col("_rows"))
-    counted = copies.select(
-        key("_id", F.col("_tie")).alias("_dkey"), F.col("_tie").alias("_dtie"), "_total", "_rows"
+    joined = packed.withColumn("_nth", nth).join(takes, ["_dkey", "_dtie"])
+    text = F.col(f"_doc.`{text_col}`")
+    cut = F.when(F.col("_cut") < F.col("size"), first_words(text, F.col("_cut"))).otherwise(text)
+    return (
+        joined.select("_doc", "size", F.explode(F.get("_takes", F.col("_nth") - 1)).alias("_cut"))
+        .select(F.col("_doc").withField(f"`{text_col}`", cut).alias("_doc"))
+        .select("_doc.*")
     )
-    joined = packed.withColumn("_nth", nth).join(counted, ["_dkey", "_dtie"])
-    n = base + F.when(F.col("_nth") <= F.col("_total") - base * F.col("_rows"), 1).otherwise(0)
-    return joined.withColumn("_n", n).filter("_n > 0").select(
-        "_doc", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))
-    ).select("_doc.*")
 
 
 def packed_blocks(

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from signpost.llm import simhash
+from signpost.llm import mixing, simhash
 
 SCHEMA = "doc_id bigint, text string, source string"
 
@@ -114,3 +114,22 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     got = simhash.one_per_group(frame(spark, rows)).collect()
     want = [(5, base[1]), (5, base[2]), (None, base[3]), (None, base[4]), (1, base[0]), (2, base[5]), (7, base[6]), (8, base[7]), (3, "")]
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_mixed_documents_meet_targets_with_long_documents(spark):
+    rng = random.Random(8)
+    sizes = {"a": [9000, 7000, 5000, 40], "b": [300] * 30, "c": [20_000], None: [0, 50, 60]}
+    rows = [(i, "  ".join(prose(rng, n)) + "\n", s) for i, (s, n) in enumerate((s, n) for s, x in sizes.items() for n in x)]
+    rows += [(1, rows[0][1], "a"), (None, rows[0][1], "a"), (None, rows[0][1], "a")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    target = {r["_source"]: r["target"] for r in mixing.source_targets(mixing.sized(df)).collect()}
+    given = {}
+    texts = {(i, t) for i, t, _ in rows}
+    cut = {}
+    for r in mixing.mixed_documents(df).collect():
+        given[r["source"]] = given.get(r["source"], 0) + len(r["text"].split())
+        if (r["doc_id"], r["text"]) not in texts:
+            cut[r["source"]] = cut.get(r["source"], 0) + 1
+            assert any(i == r["doc_id"] and t.startswith(r["text"]) for i, t in texts)
+    assert all(abs(given[s] - target[s]) <= 1 for s in target)
+    assert all(n == 1 for n in cut.values())
