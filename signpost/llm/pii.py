@@ -308,17 +308,27 @@ MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """``text`` with every span of (s, e, mask) replaced; overlapping spans: the first stays."""
+    """``text`` with all that spans of (s, e, mask) cover replaced.
+
+    Of spans with one start the longest counts; one that begins inside those before it
+    and ends later has its mask stand for the rest.
+    """
+    ordered = F.sort_array(
+        F.transform(
+            spans,
+            lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("r"), x["e"].alias("e"), x["mask"].alias("mask")),
+        )
+    )
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
-        return F.when(x["s"] < acc["at"], acc).otherwise(
+        gap = F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
+        return F.when(x["e"] <= acc["at"], acc).otherwise(
             F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(gap, x["mask"])).alias("out"))
         )
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     rest = F.aggregate(
-        spans,
+        ordered,
         zero,
         step,
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),

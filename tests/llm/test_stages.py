@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from signpost.llm import mixing, simhash
+from signpost.llm import mixing, pii, simhash
 
 SCHEMA = "doc_id bigint, text string, source string"
 
@@ -133,3 +133,14 @@ def test_mixed_documents_meet_targets_with_long_documents(spark):
             assert any(i == r["doc_id"] and t.startswith(r["text"]) for i, t in texts)
     assert all(abs(given[s] - target[s]) <= 1 for s in target)
     assert all(n == 1 for n in cut.values())
+
+
+def test_overlapping_kinds_are_masked_whole(spark):
+    texts = {
+        "10.0.0.0 4111 1111 1111 1111": "[IP][CARD]",
+        "pay 4111111111111111@pay.com now": "pay [EMAIL] now",
+        "10.0.0.1@example.com": "[EMAIL]",
+        "plain 10.0.0.1, a@b.cd": "plain [IP], [EMAIL]",
+    }
+    rows = pii.sanitised(frame(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == list(texts.values())
