@@ -9,9 +9,9 @@ that hold an entity c, a term t, or both,
 
 the ratio PMI / IC is the part of the entity's information the term reveals: 1 for a
 term met only with the entity, 0 for one met everywhere alike. A term above
-``remove_at`` is removed, above ``generalise_at`` generalised to its kind, in the
-company of an entity and nowhere else. A term keeps an entity's company where it
-stands within ``NEAR`` code points of it. Equal texts count once, and a pair needs
+``remove_at`` is removed, above ``generalise_at`` generalised to its kind, everywhere
+in the documents that hold the entity and nowhere else. The company of an entity are
+all terms of its documents outside base spans. Equal texts count once, and a pair needs
 ``min_together`` different texts, so exact copies prove nothing.
 
 All of it is DataFrame operations: patterns and positions as array functions inside
@@ -42,9 +42,8 @@ PATTERNS = {
 # No match without this in the text.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -]{12}", "phone": r"\+[0-9]"}
 LETTERS = r"\p{L}+"
+# Shorter terms are left alone unless ``min_letters`` says otherwise; op4_pii and the pipeline take all.
 MIN_LETTERS = 4
-# Code points on either side of a value that count as its company.
-NEAR = 64
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
@@ -147,20 +146,16 @@ def find_base(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def _company(text: Column, span: Column) -> Column:
-    """A span's value and the whole runs of letters within ``NEAR`` code points of it."""
-    left = F.substring(text, F.greatest(span["s"] - NEAR + 1, F.lit(1)), F.least(span["s"], F.lit(NEAR)))
-    right = F.substring(text, span["e"] + 1, F.lit(NEAR))
-    # a word that the edge of the company cuts is no word
-    left = F.when(span["s"] > NEAR, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(span["e"] + NEAR < F.length(text), F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    near = F.concat_ws(" ", left, right)
-    return F.struct(
-        F.concat_ws(
-            ":", F.get(_names(), span["k"]), F.lower(F.substring(text, span["s"] + 1, span["e"] - span["s"]))
-        ).alias("entity"),
-        F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(LETTERS), F.lit(0))).alias("terms"),
-    )
+def _entity(text: Column, span: Column) -> Column:
+    """A span's kind and value."""
+    value = F.lower(F.substring(text, span["s"] + 1, span["e"] - span["s"]))
+    return F.concat_ws(":", F.get(_names(), span["k"]), value)
+
+
+def _terms(text: Column, spans: Column) -> Column:
+    """The different runs of letters outside the spans, lower-cased."""
+    blank = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(" ").alias("mask")))
+    return F.array_distinct(F.regexp_extract_all(F.lower(masked(text, blank)), F.lit(LETTERS), F.lit(0)))
 
 
 def _ties(df: DataFrame, text_col: str) -> DataFrame:
@@ -169,7 +164,9 @@ def _ties(df: DataFrame, text_col: str) -> DataFrame:
     return df.groupBy(tie.alias("_tie")).agg(F.count("*").alias("_rows"))
 
 
-def term_counts(df: DataFrame, ties: DataFrame, text_col: str = "text") -> DataFrame:
+def term_counts(
+    df: DataFrame, ties: DataFrame, text_col: str = "text", min_letters: int = MIN_LETTERS
+) -> DataFrame:
     """``term``, ``n_t``: the number of different texts that have the term.
 
     All rows are counted, folded before the shuffle, and what copies add to the count
@@ -179,7 +176,7 @@ def term_counts(df: DataFrame, ties: DataFrame, text_col: str = "text") -> DataF
 
     def spread(rows: DataFrame, *keep: str) -> DataFrame:
         terms = F.array_distinct(F.split(F.lower("_t"), r"\P{L}+"))
-        return rows.select(*keep, F.explode(terms).alias("term")).filter(F.length("term") >= MIN_LETTERS)
+        return rows.select(*keep, F.explode(terms).alias("term")).filter(F.length("term") >= min_letters)
 
     every = spread(texts).groupBy("term").agg(F.count("*").alias("n"))
     copied = ties.filter("_rows > 1")
@@ -195,6 +192,7 @@ def disclosures(
     min_together: int = 2,
     generalise_at: float = 0.6,
     remove_at: float = 0.9,
+    min_letters: int = MIN_LETTERS,
 ) -> DataFrame:
     """Terms that give an entity away: ``_tie``, ``term``, ``ratio``, ``action``.
 
@@ -204,24 +202,28 @@ def disclosures(
     """
     # the few texts that hold an entity; equal texts give equal rows, which count once
     private = find_base(df, id_col, text_col).filter(F.size("_spans") > 0)
-    company = materialize(
-        private.select("_tie", F.explode(F.transform("_spans", lambda x: _company(F.col("_text"), x))).alias("c"))
-        .select("_tie", F.col("c.entity").alias("entity"), F.explode_outer("c.terms").alias("term"))
-        .distinct()
+    held = materialize(
+        private.select(
+            "_tie",
+            F.array_distinct(F.transform("_spans", lambda x: _entity(F.col("_text"), x))).alias("_entities"),
+            _terms(F.col("_text"), F.col("_spans")).alias("_terms"),
+        ).dropDuplicates(["_tie"])
     )
-    entities = company.select("_tie", "entity").distinct()
+    entities = held.select("_tie", F.explode("_entities").alias("entity"))
     # an entity met in one text only has no company to judge by
     entity_n = entities.groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= min_together)
+    known = materialize(entities.join(entity_n, "entity"))
+    company = known.join(held.select("_tie", "_terms"), "_tie")
     pairs = materialize(
-        company.filter(F.length("term") >= MIN_LETTERS)
-        .groupBy("entity", "term")
+        company.select("entity", "n_c", F.explode("_terms").alias("term"))
+        .filter(F.length("term") >= min_letters)
+        .groupBy("entity", "n_c", "term")
         .agg(F.count("*").alias("n_ct"))
         .filter(F.col("n_ct") >= min_together)
-        .join(entity_n, "entity")
     )
     ties = materialize(_ties(df, text_col))
     n = F.lit(float(max(2, ties.count())))
-    term_n = term_counts(df, ties, text_col).join(pairs.select("term").distinct(), "term", "left_semi")
+    term_n = term_counts(df, ties, text_col, min_letters).join(pairs.select("term").distinct(), "term", "left_semi")
     pmi = F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t")))
     ratio = pmi / F.log(n / F.col("n_c"))
     telling = (
@@ -231,15 +233,19 @@ def disclosures(
         .filter(F.col("ratio") >= generalise_at)
         .select("entity", "term", "ratio")
     )
+    listed = materialize(telling.groupBy("entity").agg(F.collect_list(F.struct("term", "ratio")).alias("_told")))
+    told = known.select("_tie", "entity").join(listed, "entity").join(held.select("_tie", "_terms"), "_tie")
+    present = F.filter("_told", lambda x: F.array_contains(F.col("_terms"), x["term"]))
     return (
-        company.join(telling, ["entity", "term"])
+        told.select("_tie", F.explode(present).alias("t"))
+        .select("_tie", "t.term", "t.ratio")
         .groupBy("_tie", "term")
         .agg(F.max("ratio").alias("ratio"))
         .withColumn("action", F.when(F.col("ratio") >= remove_at, "remove").otherwise("generalise"))
     )
 
 
-def term_spans(private: DataFrame, telling: DataFrame) -> DataFrame:
+def term_spans(private: DataFrame, telling: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
     """``_tie``, ``_terms``: spans of the terms to change, in order, clear of base spans.
 
     Runs of letters are laid out one per row and added up by a window per text.
@@ -259,15 +265,14 @@ def term_spans(private: DataFrame, telling: DataFrame) -> DataFrame:
     width = F.length("p") + F.coalesce(F.length("m"), F.lit(0))
     placed = (
         parts.withColumn("e", F.sum(width).over(upto).cast("int"))
-        .filter(F.length("m") >= MIN_LETTERS)
+        .filter(F.length("m") >= min_letters)
         .withColumn("s", F.col("e") - F.length("m"))
         .withColumn("term", F.lower("m"))
     )
     clear = ~F.exists("_spans", lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s")))
-    near = F.exists("_spans", lambda b: (b["s"] <= F.col("e") + NEAR) & (b["e"] + NEAR >= F.col("s")))
     return (
         placed.join(telling, ["_tie", "term"])
-        .filter(clear & near)
+        .filter(clear)
         .groupBy("_tie")
         .agg(
             F.sort_array(
@@ -284,6 +289,7 @@ def find_private(
     min_together: int = 2,
     generalise_at: float = 0.6,
     remove_at: float = 0.9,
+    min_letters: int = MIN_LETTERS,
 ) -> DataFrame:
     """Per row of ``df``: id, base (spans), terms (spans with their action).
 
@@ -293,9 +299,9 @@ def find_private(
     columns are not looked at.
     """
     found = find_base(df, id_col, text_col)
-    telling = materialize(disclosures(df, id_col, text_col, min_together, generalise_at, remove_at))
+    telling = materialize(disclosures(df, id_col, text_col, min_together, generalise_at, remove_at, min_letters))
     private = found.filter(F.size("_spans") > 0).select("_tie", "_text", "_spans").dropDuplicates(["_tie"])
-    terms = materialize(term_spans(private, telling))
+    terms = materialize(term_spans(private, telling, min_letters))
     none = F.array().cast("array<struct<s:int,k:int,e:int,action:string>>")
     return found.select("_id", "_tie", "_spans").join(terms, "_tie", "left").select(
         F.col("_id").alias(id_col),
@@ -337,17 +343,17 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def sanitised(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds: float
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_letters: int = MIN_LETTERS, **thresholds: float
 ) -> DataFrame:
     """``df`` with personal data masked in its text; all columns and all rows stay.
 
     Base spans become their kind's mask, terms to generalise ``[TERM]``, terms to
     remove nothing. A text without personal data, also a null one, is left as it is.
     """
-    telling = materialize(disclosures(df, id_col, text_col, **thresholds))
+    telling = materialize(disclosures(df, id_col, text_col, min_letters=min_letters, **thresholds))
     found = find_base(df, id_col, text_col)
     private = found.filter(F.size("_spans") > 0).select("_tie", "_text", "_spans").dropDuplicates(["_tie"])
-    terms = materialize(term_spans(private, telling))
+    terms = materialize(term_spans(private, telling, min_letters))
     text = F.coalesce(F.col(text_col), F.lit(""))
     masks = F.array(*[F.lit(MASKS[k]) for k in KINDS])
     packed = df.select(F.struct("*").alias("_doc"), text.alias("_text")).withColumn("_tie", F.xxhash64("_text"))

@@ -73,7 +73,7 @@ def op10_suffixes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
-    found = pii.find_private(_documents(spark, sf))
+    found = pii.find_private(_documents(spark, sf), min_letters=1)
     names = F.array(*[F.lit(k) for k in (*pii.KINDS, pii.TERM)])
     terms = F.transform(
         "terms", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))

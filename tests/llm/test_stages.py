@@ -144,3 +144,14 @@ def test_overlapping_kinds_are_masked_whole(spark):
     }
     rows = pii.sanitised(frame(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
     assert [r["text"] for r in rows] == list(texts.values())
+
+
+def test_telling_terms_far_off_and_short(spark):
+    filler = " ".join(f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+    texts = [f"Dear Bob 李雷 of Zorblax, {filler} {i} {filler} mail ann@corp.example.com or Bob again" for i in range(3)]
+    texts += [f"{filler} number {i} mail or again of dear" for i in range(40)] + ["Bob is elsewhere in another text"]
+    rows = pii.sanitised(frame(spark, list(enumerate(texts))), min_letters=1).orderBy("doc_id").collect()
+    for r in rows[:3]:
+        assert not {"bob", "李雷", "zorblax"} & set(r["text"].lower().replace(",", " ").split())
+        assert filler in r["text"] and "[EMAIL]" in r["text"]
+    assert [r["text"] for r in rows[3:]] == texts[3:]
