@@ -8,12 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from signpost.llm import bpe, language, mixing, pii, quality_rules, sharding, simhash, sketches, suffix_dedup, toxicity
-from signpost.llm.exprs import hex64
+from signpost.llm import (
+    alignment,
+    bpe,
+    language,
+    mixing,
+    periodic,
+    pii,
+    quality_rules,
+    sharding,
+    simhash,
+    sketches,
+    suffix_dedup,
+    toxicity,
+    transducer,
+)
+from signpost.llm.exprs import hex64, let, positions, words
 
 SHARD_COUNT = 8
 TOXIC_FROM = 0.3
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,6 +138,58 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_words(_documents(spark, sf))
 
 
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    models = transducer.read_model(BYTE_BPE), transducer.read_model(PIECE_BPE)
+    groups = alignment.aligned(_documents(spark, sf), *models)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return alignment.with_counts(
+        groups.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times")
+    )
+
+
+def op12_transducer(spark: SparkSession, sf: str) -> DataFrame:
+    model = transducer.read_model(BYTE_BPE)
+    coded = transducer.encode(_documents(spark, sf), model, with_decoded=True)
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def looped(documents: DataFrame) -> DataFrame:
+    """``doc_id`` and text; in a tenth of the texts (by hash of the id) a tail repeats its first words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def turned(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(positions(n), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+
+    text = let(words(F.col("text")), lambda w: F.when(F.size(w) > 0, turned(w)).otherwise(""))
+    return documents.select("doc_id", F.when(h % 10 == 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.periodic_runs(looped(_documents(spark, sf)))
+    order = F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("_best")
+    return found.withColumn("_best", F.array_max(order)).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-best["s"]).alias("start"),
+        best["l"].alias("length"),
+        (-best["p"]).alias("period"),
+        F.floor(best["l"] * 1000 / -best["p"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_language": op2_language,
@@ -133,6 +201,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_suffixes": op10_suffixes,
+    "op11_alignment": op11_alignment,
+    "op12_transducer": op12_transducer,
+    "op13_runs": op13_runs,
 }
 
 SQL: dict[str, str] = {"op8_quality": quality_rules.JUDGE_SQL}
