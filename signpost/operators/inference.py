@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signpost.checks import positive
 from signpost.functions import scoring
 from signpost.functions.errors import ERROR_RULES
 from signpost.operators.quality import FAILED, SUCCESS
+from signpost.operators.ranking import global_index
 from signpost.session import materialize
 
 # The two reply formats. Form A is any number of objects
@@ -23,32 +27,58 @@ REPLY_LIST = r'(?s)(\{.*"classifications".*\})'
 
 _ENTRY = "struct<article_id:bigint,category:string>"
 
-PROMPT_HEAD = """# Classify news articles
 
-Assign one category to every article below.
+class Prompt(NamedTuple):
+    """What a prompt says. ``{classes}`` and ``{count}`` may stand in ``head`` and ``tail``,
+    ``{id}``, ``{number}`` (from 1) and ``{text}`` in ``item``, which is repeated for every article.
+    Whatever a template says, replies are read in the two formats above."""
 
-## Categories
-%s
-
-## Rules
-1. Read the whole article.
-2. Decide what it is mainly about.
-3. Pick the one category that fits this main subject best.
-4. Ignore subjects that are only mentioned.
-
-## Articles
-"""
-PROMPT_TAIL = """
-## Answer
-Reply with JSON objects only, one per article, in the order given:
-{"article_id": 12, "category": "name"}
+    head: str = "The labels are: {classes}."
+    item: str = "\n\n[text {id}]\n{text}\n[end of text {id}]"
+    tail: str = (
+        "\n\nGive each of the {count} texts the label that suits it as a whole. Print nothing but "
+        'one line per text, with its id and the label in lower case: {"article_id": 12, "category": "label"}'
+    )
 
-Write category names in lowercase. There are %d articles to classify."""
 
 # complete(prompt) -> (reply, prompt tokens, completion tokens)
 Complete = Callable[[str], tuple[str, int, int]]
 
 
+def _filled(template: str, **values: Column) -> Column:
+    """A template with columns in place of the names in braces that it may hold."""
+    parts = re.split("(" + "|".join(re.escape("{%s}" % name) for name in values) + ")", template)
+    return F.concat(*[values[p[1:-1]] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def _rendered(grouped: DataFrame, classes: Sequence[str], template: Prompt) -> DataFrame:
+    """Prompts of batches whose ``_members`` (idx, article_id, text) lie in order in their row."""
+    size = F.size("_members").cast("bigint")
+    whole = {"classes": F.lit(", ".join(scoring.valid_classes(classes))), "count": size.cast("string")}
+    items = F.transform(
+        "_members",
+        lambda m, i: _filled(
+            template.item,
+            id=m["article_id"].cast("string"),
+            number=(i + 1).cast("string"),
+            text=m["text"],
+        ),
+    )
+    return grouped.select(
+        "batch_id",
+        size.alias("n_articles"),
+        F.transform("_members", lambda m: m["article_id"]).alias("article_ids"),
+        F.concat(
+            _filled(template.head, **whole), F.array_join(items, ""), _filled(template.tail, **whole)
+        ).alias("prompt"),
+    )
+
+
+def _member(id_col: str, text_col: str) -> Column:
+    body = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    return F.struct("idx", F.col(id_col).alias("article_id"), body)
+
+
 def prompt_batches(
     articles: DataFrame,
     batches: DataFrame,
@@ -56,13 +86,14 @@ def prompt_batches(
     id_col: str = "doc_id",
     text_col: str = "text",
     partitions: int | None = None,
+    template: Prompt = Prompt(),
 ) -> DataFrame:
-    """One prompt per batch: (batch_id, n_articles, article_ids, prompt).
+    """One prompt per batch of the caller's own: (batch_id, n_articles, article_ids, prompt).
 
     ``batches`` holds (id, idx, batch_id); a batch is as large as its batch
-    size, so collecting it is bounded.
+    size, so collecting it is bounded. Texts move for the join and for the batches; for
+    batches of consecutive ids ``ordered_prompts`` moves them once.
     """
-    names = ", ".join(scoring.valid_classes(classes))
     joined = batches.select(id_col, "idx", "batch_id").join(
         articles.select(id_col, text_col), id_col
     )
@@ -70,38 +101,67 @@ def prompt_batches(
         # the grouping below finds its key partitioned already and adds no shuffle
         positive("partitions", partitions)
         joined = joined.repartition(partitions, "batch_id")
-    body = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    member = F.struct("idx", F.col(id_col).alias("article_id"), body)
-    grouped = joined.groupBy("batch_id").agg(F.sort_array(F.collect_list(member)).alias("_members"))
-    section = F.array_join(
-        F.transform(
-            "_members",
-            lambda m, i: F.concat(
-                F.lit("\n**Article "),
-                (i + 1).cast("string"),
-                F.lit(" (ID: "),
-                m["article_id"].cast("string"),
-                F.lit("):**\n"),
-                m["text"],
-                F.lit("\n"),
-            ),
-        ),
-        "",
+    grouped = joined.groupBy("batch_id").agg(
+        F.sort_array(F.collect_list(_member(id_col, text_col))).alias("_members")
     )
-    head = PROMPT_HEAD % names
-    before, after = PROMPT_TAIL.split("%d")
-    return grouped.select(
-        "batch_id",
-        F.size("_members").cast("bigint").alias("n_articles"),
-        F.transform("_members", lambda m: m["article_id"]).alias("article_ids"),
-        F.concat(
-            F.lit(head),
-            section,
-            F.lit(before),
-            F.size("_members").cast("string"),
-            F.lit(after),
-        ).alias("prompt"),
+    return _rendered(grouped, classes, template)
+
+
+def _part_of(key: Column, cuts: Column, most: int) -> Column:
+    """How many of the sorted ``cuts``, at most ``most``, lie at or below a key: a binary search in the row."""
+    whole = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        upper = F.struct((mid + 1).alias("lo"), at["hi"].alias("hi"))
+        lower = F.struct(at["lo"].alias("lo"), mid.alias("hi"))
+        return F.when(at["lo"] >= at["hi"], at).when(F.get(cuts, mid) <= key, upper).otherwise(lower)
+
+    steps = F.sequence(F.lit(1), F.lit(math.ceil(math.log2(most + 1)) + 1))
+    return F.aggregate(steps, whole, halve, lambda at: at["lo"])
+
+
+def ordered_prompts(
+    articles: DataFrame,
+    batch_size: int,
+    classes: Sequence[str],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    partitions: int | None = None,
+    template: Prompt = Prompt(),
+) -> DataFrame:
+    """One prompt per ``batch_size`` articles in id order: (batch_id, n_articles, article_ids, prompt).
+
+    Ids must be unique and of a type that has an order; null texts count as empty. A pass over the
+    ids alone finds the ids at which each of ``partitions`` parts of whole batches begins.
+    Every article then finds its part in its own row, the texts move once, to their
+    part, and are numbered there: nothing is joined by id.
+    """
+    positive("batch_size", batch_size)
+    index = global_index(articles.select(id_col), id_col)
+    batches = math.ceil(index.count() / batch_size)
+    if partitions is None:
+        partitions = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    positive("partitions", partitions)
+    rows = batch_size * max(1, math.ceil(batches / partitions))
+    cuts = index.filter(F.col("idx") % rows == 0).agg(F.sort_array(F.collect_list(id_col)).alias("c"))
+    part = _part_of(F.col(id_col), F.col("_cuts"), partitions)
+    placed = (
+        articles.select(id_col, text_col)
+        .withColumn("_cuts", cuts.scalar())
+        .withColumn("_part", F.greatest(F.lit(0), part - 1).cast("bigint"))
+        .drop("_cuts")
+        .repartition(partitions, "_part")
+    )
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(id_col))
+    numbered = placed.withColumn("idx", F.col("_part") * rows + inside - 1).withColumn(
+        "batch_id", F.call_function("div", "idx", F.lit(batch_size))
+    )
+    # grouped by the part as well, by which the rows are partitioned already
+    grouped = numbered.groupBy("_part", "batch_id").agg(
+        F.sort_array(F.collect_list(_member(id_col, text_col))).alias("_members")
     )
+    return _rendered(grouped, classes, template)
 
 
 def model_replies(
@@ -110,15 +170,23 @@ def model_replies(
     max_retries: int = 3,
     max_concurrent: int | None = None,
 ) -> DataFrame:
-    """Call a model once per prompt and write the replies.
-
-    (batch_id, n_articles, article_ids, status, error, reply, prompt_tokens,
-    completion_tokens, total_tokens, total_latency in seconds). ``factory`` runs
-    once per task and returns the call. A retryable error is tried again up to ``max_retries`` times; a
-    batch whose call fails for good is kept with status ``failed``. Calls are
-    dear, so the replies are written before anything reads them: a plan that is
-    evaluated twice never calls twice. ``max_concurrent`` bounds the tasks that
-    call at the same time.
+    """``called``, written: a plan that is evaluated twice never calls twice."""
+    return materialize(called(prompts, factory, max_retries, max_concurrent))
+
+
+def called(
+    prompts: DataFrame,
+    factory: Callable[[], Complete],
+    max_retries: int = 3,
+    max_concurrent: int | None = None,
+) -> DataFrame:
+    """Call a model once per prompt; the other columns of ``prompts`` stay, ``prompt`` goes.
+
+    Adds (status, error, reply, prompt_tokens, completion_tokens, total_latency in
+    seconds, total_tokens). ``factory`` runs once per task and returns the call. A
+    retryable error is tried again up to ``max_retries`` times; a batch whose call fails
+    for good is kept with status ``failed``. ``max_concurrent`` bounds the tasks that
+    call at the same time. Calls are dear: write the result before anything reads it.
     """
     if max_retries < 0:
         raise ValueError(f"max_retries must not be negative, got {max_retries}")
@@ -161,17 +229,15 @@ def model_replies(
                     "total_latency",
                 ],
             )
-            kept = frame[["batch_id", "n_articles", "article_ids"]].reset_index(drop=True)
+            kept = frame.drop(columns="prompt").reset_index(drop=True)
             made["total_tokens"] = made["prompt_tokens"] + made["completion_tokens"]
             yield pd.concat([kept, made], axis=1)
 
-    return materialize(
-        prompts.mapInPandas(
-            call,
-            "batch_id bigint, n_articles bigint, article_ids array<bigint>, status string, "
-            "error string, reply string, prompt_tokens bigint, completion_tokens bigint, "
-            "total_tokens bigint, total_latency double",
-        )
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema if f.name != "prompt")
+    return prompts.mapInPandas(
+        call,
+        f"{kept}, status string, error string, reply string, prompt_tokens bigint, "
+        "completion_tokens bigint, total_latency double, total_tokens bigint",
     )
 
 

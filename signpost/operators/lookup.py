@@ -23,8 +23,10 @@ def rows_by_id(
     try:
         path = F.col("_metadata.file_path")
         located = source.select(id_col, path.alias("_file"))
-    except AnalysisException:  # not a file scan
-        return source.join(ids, id_col)
+    except AnalysisException as error:
+        if not (error.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+            raise
+        return source.join(ids, id_col)  # not a file scan
     found = located.join(ids.select(id_col), id_col, "left_semi").select("_file").distinct()
     files = [r["_file"] for r in found.limit(max_files + 1).collect()]
     if not 0 < len(files) <= max_files:

@@ -95,9 +95,10 @@ def classification_rows(classified: DataFrame, text_col: str = "text") -> DataFr
 
 
 def metric_category(metric: Column) -> Column:
-    chain = None
+    """The category of a metric; what stands behind a point does not count."""
+    chain, name = None, F.substring_index(metric, ".", 1)
     for category, names in METRIC_CATEGORIES.items():
-        hit = metric.isin(names)
+        hit = name.isin(names)
         chain = F.when(hit, category) if chain is None else chain.when(hit, category)
     return chain.otherwise(OTHER_CATEGORY)
 
@@ -110,6 +111,46 @@ def metric_rows(metrics: DataFrame) -> DataFrame:
     )
 
 
+def report_rows(report: DataFrame, means: DataFrame) -> DataFrame:
+    """A class report as (category, metric, value): ``classification_report.<class>.<measure>``.
+
+    ``report`` has a row per class, ``means`` the one row of averages over them.
+    """
+    measures = ("precision", "recall", "f1", "support")
+    names = dict(zip(measures, ("precision", "recall", "f1-score", "support")))
+    prefix = F.concat(F.lit("classification_report."), F.col("class"), F.lit("."))
+    per_class = report.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.concat(prefix, F.lit(names[m])).alias("metric"),
+                        F.col(m).cast("double").alias("value"),
+                    )
+                    for m in measures
+                ]
+            )
+        )
+    )
+    averages = means.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(f"classification_report.{kind} avg.{names[m]}").alias("metric"),
+                        F.col(f"{m}_{kind}").alias("value"),
+                    )
+                    for kind in ("macro", "weighted")
+                    for m in measures[:3]
+                ]
+            )
+        )
+    )
+    return per_class.unionByName(averages).select(
+        metric_category(F.col("metric")).alias("category"), "metric", "value"
+    )
+
+
 def run_listing(runs: DataFrame) -> DataFrame:
     """All runs newest first, with the number of runs of their type and its latest.
 

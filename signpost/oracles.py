@@ -7,7 +7,7 @@ definition the Spark plans are checked against, on a small scale.
 from __future__ import annotations
 
 from signpost.operators.costs import DEFAULT_PRICE, MODELS
-from signpost.operators.inference import PROMPT_HEAD, PROMPT_TAIL, REPLY_LIST, REPLY_OBJECT
+from signpost.operators.inference import REPLY_LIST, REPLY_OBJECT
 from signpost.operators.runs import METRIC_CATEGORIES, OTHER_CATEGORY
 from signpost.queries import (
     _COMPARED,
@@ -256,13 +256,14 @@ FROM best b LEFT JOIN (VALUES {_OVERRIDES}) o(route, threshold) USING (route)"""
 
 # -- batches of model calls ------------------------------------------------------
 
-_BEFORE, _AFTER = PROMPT_TAIL.split("%d")
 _PROMPTS = f"""{_BATCHES},
 prompts AS (SELECT batch_id, count(*) n_articles, min_by(doc_id, idx) first_id,
-  {_text(PROMPT_HEAD % ", ".join(CLASSES))} || string_agg(
-    chr(10) || '**Article ' || CAST(idx % {BATCH} + 1 AS VARCHAR) || ' (ID: '
-    || CAST(doc_id AS VARCHAR) || '):**' || chr(10) || text || chr(10), '' ORDER BY idx)
-  || {_text(_BEFORE)} || CAST(count(*) AS VARCHAR) || {_text(_AFTER)} prompt
+  'The labels are: {", ".join(CLASSES)}.' || string_agg(
+    chr(10) || chr(10) || '[text ' || doc_id || ']' || chr(10) || coalesce(text, '') || chr(10)
+    || '[end of text ' || doc_id || ']', '' ORDER BY idx)
+  || chr(10) || chr(10) || 'Give each of the ' || count(*) || ' texts the label that suits it as a '
+  || 'whole. Print nothing but one line per text, with its id and the label in lower case: '
+  || '{{"article_id": 12, "category": "label"}}' prompt
   FROM batches JOIN documents USING (doc_id) GROUP BY batch_id)"""
 SQL["prompt_batches"] = f"WITH {_PROMPTS} SELECT batch_id, n_articles, prompt FROM prompts"
 

@@ -9,14 +9,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signpost.checks import positive
-from signpost.operators.articles import fixed_batches
 from signpost.operators.inference import (
     Complete,
+    Prompt,
+    called,
     classify_batches,
     model_replies,
-    prompt_batches,
+    ordered_prompts,
 )
 from signpost.operators.quality import SUCCESS
+from signpost.session import materialize
+from signpost.sources import files
+
+
+def planned_prompts(
+    articles: DataFrame,
+    classes: Sequence[str],
+    batch_size: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    calls_per_task: int = 500,
+    template: Prompt = Prompt(),
+) -> DataFrame:
+    """Prompts of consecutive articles, in partitions of about ``calls_per_task`` calls.
+
+    What is lost with an executor are the calls of its running tasks, so tasks are kept
+    short; a few prompts are spread over all cores.
+    """
+    positive("calls_per_task", calls_per_task)
+    positive("batch_size", batch_size)
+    calls = math.ceil(articles.count() / batch_size)
+    cores = articles.sparkSession.sparkContext.defaultParallelism
+    partitions = max(1, math.ceil(calls / calls_per_task), min(calls, cores))
+    return ordered_prompts(articles, batch_size, classes, id_col, text_col, partitions, template)
 
 
 def reply_batches(
@@ -29,22 +54,51 @@ def reply_batches(
     max_retries: int = 3,
     max_concurrent: int | None = None,
     calls_per_task: int = 500,
+    template: Prompt = Prompt(),
 ) -> DataFrame:
     """Batches of articles with the model's reply, written once.
 
-    A task makes about ``calls_per_task`` calls: what is lost with an executor
-    are the calls of its running tasks, so tasks are kept short. Tasks run as
-    many at a time as the cluster has cores, or ``max_concurrent`` longer ones.
+    Tasks run as many at a time as the cluster has cores, or ``max_concurrent`` longer ones.
     """
-    positive("calls_per_task", calls_per_task)
-    batches = fixed_batches(articles, batch_size, id_col)
-    calls = math.ceil(batches.count() / batch_size)
-    cores = articles.sparkSession.sparkContext.defaultParallelism
-    partitions = max(1, math.ceil(calls / calls_per_task), min(calls, cores))
-    prompts = prompt_batches(articles, batches, classes, id_col, text_col, partitions)
+    prompts = planned_prompts(articles, classes, batch_size, id_col, text_col, calls_per_task, template)
     return model_replies(prompts, factory, max_retries, max_concurrent)
 
 
+def resumed_replies(
+    prompts: DataFrame,
+    factory: Callable[[], Complete],
+    ledger: str,
+    max_retries: int = 3,
+    max_concurrent: int | None = None,
+    retry_failed: bool = False,
+) -> DataFrame:
+    """Replies to all prompts, of which only those that the ledger lacks are called for.
+
+    The ledger is a folder of finished replies, keyed by the digest of their prompt. Every
+    task puts its replies there when it ends, also if the job is broken off later, so a
+    job that is started again over the same articles repeats no finished task's calls.
+    With ``retry_failed`` replies that failed for good are asked for again. Prompts are
+    written once, so that they are not put together again for every reader.
+    """
+    spark = prompts.sparkSession
+    keyed = materialize(prompts.withColumn("prompt_key", F.sha2("prompt", 256)))
+    left = keyed
+    if files.names(spark, ledger):
+        done = spark.read.parquet(ledger).filter(F.lit(not retry_failed) | (F.col("status") == SUCCESS))
+        left = keyed.join(done.select("prompt_key").distinct(), "prompt_key", "left_anti")
+    # tasks commit by themselves: version 2 moves a task's file to its place when the task ends
+    called(left, factory, max_retries, max_concurrent).write.mode("append").option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2"
+    ).parquet(ledger)
+    # a task that ran twice, or a failed reply asked for again, has two rows: a success wins
+    found = spark.read.parquet(ledger)
+    answer = [c for c in found.columns if c not in keyed.columns]
+    one = found.groupBy("prompt_key").agg(
+        F.max_by(F.struct(*answer), F.col("status") == SUCCESS).alias("_a")
+    )
+    return materialize(keyed.drop("prompt").join(one, "prompt_key").select("*", "_a.*").drop("_a"))
+
+
 def classify_with_model(replies: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Predictions with status and tokens of their batch; a projection of the replies."""
     return classify_batches(replies, classes)

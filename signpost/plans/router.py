@@ -25,7 +25,7 @@ from signpost.operators.routes import (
     route_references,
 )
 from signpost.operators.routing import route_articles
-from signpost.operators.runs import metric_rows
+from signpost.operators.runs import metric_rows, report_rows
 from signpost.operators.thresholds import best_thresholds, threshold_sweep
 from signpost.session import materialize
 
@@ -112,18 +112,25 @@ def classify(
 
 
 def run_metrics(
-    batches: DataFrame, classified: DataFrame, label_col: str = "true_label"
+    batches: DataFrame,
+    classified: DataFrame,
+    label_col: str = "true_label",
+    per_class: bool = False,
 ) -> DataFrame:
     """All metrics of a run in long form: (category, metric, value).
 
-    ``classified`` is read twice; pass a written table.
+    With ``per_class`` the report on each class comes along. ``classified`` is read
+    several times; pass a written table.
     """
     ok = classified
     if "status" in classified.columns:
         ok = classified.filter(F.col("status") == SUCCESS)
     scores = accuracy(ok, label_col).drop("total_articles", "avg_confidence")
-    means = averaged_metrics(class_report(confusion_matrix(ok, label_col)))
+    report = class_report(confusion_matrix(ok, label_col))
+    means = averaged_metrics(report)
     parts = [metric_rows(batch_metrics(batches)), metric_rows(scores), metric_rows(means)]
+    if per_class:
+        parts.append(report_rows(report, means))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

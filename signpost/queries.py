@@ -300,8 +300,7 @@ def trained_thresholds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prompt_batches(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _table(spark, sf, "documents")
-    return inf.prompt_batches(docs, ar.fixed_batches(docs, BATCH), CLASSES).drop("article_ids")
+    return inf.ordered_prompts(_table(spark, sf, "documents"), BATCH, CLASSES).drop("article_ids")
 
 
 def _reply_members(spark: SparkSession, sf: str) -> DataFrame:
@@ -397,7 +396,7 @@ def _stand_in_model(classes: list[str]) -> Callable[[], inf.Complete]:
         import re
 
         def complete(prompt):
-            ids = [int(i) for i in re.findall(r"\*\*Article \d+ \(ID: (\d+)\):\*\*", prompt)]
+            ids = [int(i) for i in re.findall(r"\n\[end of text (\d+)\]", prompt)]
             if ids[0] % 70 == 30:
                 raise RuntimeError("connection lost")
             reply = "\n".join(

@@ -39,10 +39,13 @@ def read_articles(
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a readable table is there; a folder that a failed job left empty is none."""
     try:
         spark.read.parquet(path).schema
-    except AnalysisException:
-        return False
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
     return True
 
 
