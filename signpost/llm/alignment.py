@@ -20,23 +20,25 @@ that shuffles them has no hot key.
 from __future__ import annotations
 
 import hashlib
-import json
-import os
 from collections.abc import Iterator
 from functools import partial
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signpost.llm.shipping import ship_code
 from signpost.llm.slices import lists_of, slices
-from signpost.llm.transducer import byte_letters
+from signpost.llm.transducer import Merges
 from signpost.llm.worker import held
 from signpost.session import materialize
 
+# Fixed value: what a byte-level vocabulary cuts texts by.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORK = 256  # steps of one piece
 SLICE_BYTES = 1 << 20
 MANY = 100_000  # pairs whose counts are broadcast
@@ -61,23 +63,19 @@ class Coder:
 
 
 def byte_level(model: bytes) -> Coder:
-    """A byte-level BPE file (JSON); a blank is put before every text, special tokens are plain text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
-    from tokenizers import Tokenizer
+    """A byte-level BPE file (JSON); a blank is put before every text, special tokens are plain text.
 
-    coder = Tokenizer.from_str(model.decode())
-    coder.encode_special_tokens = True
-    coder.no_truncation()
-    coder.no_padding()
-    letters = byte_letters()
-    tokens = [b""] * coder.get_vocab_size()
-    for token, i in json.loads(model)["model"]["vocab"].items():
-        tokens[i] = bytes(letters[c] for c in token)
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in coder.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-
-    return Coder(encode, tokens)
+    The file's merges are applied by a rank merger: the same result if tokens are numbered in the order
+    of their merges and every token's own bytes merge to it. Both are checked.
+    """
+    merges = Merges(model)
+    own = {i: token for i, token in merges.tokens.items() if i not in merges.special.values()}
+    if merges.made != sorted(merges.made) or any(merges.merge(token) != [i] for i, token in own.items()):
+        raise ValueError("tokens must be numbered in the order of their merges and merge to themselves")
+    ranks = {token: i for i, token in own.items()}
+    coder = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokens = [own.get(i, b"") for i in range(merges.width)]
+    return Coder(lambda texts: [coder.encode_ordinary(" " + t) for t in texts], tokens)
 
 
 def byte_piece(pieces, i: int) -> bytes:
@@ -88,8 +86,6 @@ def byte_piece(pieces, i: int) -> bytes:
 
 def sentence_pieces(model: bytes) -> Coder:
     """A sentence-piece file, which puts a blank before every text itself."""
-    import sentencepiece
-
     pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
     tokens = [byte_piece(pieces, i) for i in range(pieces.vocab_size())]
     return Coder(partial(pieces.encode, num_threads=1), tokens)
