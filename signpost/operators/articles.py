@@ -9,6 +9,7 @@ from signpost.checks import fraction, positive
 from signpost.functions import text as tx
 from signpost.functions.scoring import short_id
 from signpost.operators.ranking import (
+    first_rows,
     global_index,
     seeded_order,
     share_cuts,
@@ -16,6 +17,8 @@ from signpost.operators.ranking import (
     with_share_flag,
 )
 
+PRUNED = 1000
+
 
 def labeled_articles(
     articles: DataFrame,
@@ -33,7 +36,7 @@ def labeled_articles(
 
 
 def dedupe_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep the row with the smallest id of each exact text.
+    """Keep the row with the smallest id of each exact text; ids must be unique.
 
     Texts are grouped by SHA-256, so what is shuffled to find the keepers is a
     digest and an id per distinct text and task, however many copies a text has.
@@ -90,13 +93,19 @@ def sample_per_class(
     label_col: str = "lang",
     seed: int = 42,
 ) -> DataFrame:
-    """At most n ids per lower-cased class: (id, label, rank). Small classes stay whole."""
+    """At most n ids per lower-cased class: (id, label, rank). Small classes stay whole.
+
+    Up to PRUNED rows a class is cut down inside its tasks by Spark's window limit, which
+    knows no larger one; a larger sample is found by counting hashes, so that no
+    more than its own rows are moved.
+    """
     positive("samples_per_class", samples_per_class)
-    narrow = (
-        df.filter(F.col(label_col).isNotNull())
-        .select(id_col, F.lower(F.col(label_col)).alias(label_col))
-        .withColumn("_h", seeded_order(id_col, seed))
+    narrow = df.filter(F.col(label_col).isNotNull()).select(
+        id_col, F.lower(F.col(label_col)).alias(label_col)
     )
+    if samples_per_class > PRUNED:
+        narrow = first_rows(narrow, label_col, id_col, samples_per_class, seed)
+    narrow = narrow.withColumn("_h", seeded_order(id_col, seed))
     return top_n_per_group(
         narrow, [label_col], [F.col("_h"), F.col(id_col)], samples_per_class
     ).select(id_col, label_col, F.col("rank").cast("bigint").alias("rank"))

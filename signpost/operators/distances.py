@@ -9,8 +9,10 @@ articles without a vector and for distances that are no number, too:
 * one vector per route and few routes: array functions inside the article's row;
 * up to ``max_cells`` numbers: the table is broadcast, and each Arrow batch of
   articles is one matrix product. Neither way moves or joins the articles;
-* more: the table is cut into blocks of that size, and groups of articles meet
-  every block by (block, salt). No task holds more than a block and a group.
+* more: the nearest are looked up in an index of balls (``ball_index``), where an article
+  meets only blocks that may hold a nearer route. Where all distances are asked for, the
+  table is cut into blocks of that size, and groups of articles meet every block by
+  (block, salt). No task holds more than a block and a group.
 
 Arrays are exploded in the outer form and emptied of nulls afterwards: for the
 plain form Spark infers a filter on the array, and pushing it down repeats the
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from signpost.checks import positive
 from signpost.functions import vectors as vx
+from signpost.operators.ball_index import BLOCK_ROWS, CENTRE_CELLS, build_balls, nearest_by_balls
 
 MAX_CELLS = 8_000_000  # 64 MB of doubles
 ROW_CELLS = 100_000  # array functions beat the matrix only on few routes
@@ -308,20 +311,21 @@ def candidate_routes(
         )
     if size[2] <= max_cells:
         return _matrix_candidates(df, routes, vec, sparse, k, within_threshold, product_cells)
-    n_blocks = math.ceil(size[2] / max_cells)
     keyed = _with_row_key(df, id_col, vec, sparse)
-    merged = (
-        _block_rows(
-            keyed, routes, "_row", vec, sparse, n_blocks, k, within_threshold, group_rows, product_cells
-        )
-        .groupBy("_row")
-        # at most k per block
-        .agg(
-            F.slice(F.sort_array(F.collect_list(F.struct("distance", "route"))), 1, k).alias(
-                "candidates"
-            )
-        )
-    )
+    # no block larger than a broadcast table may be
+    block_rows = max(1, min(BLOCK_ROWS, max_cells * size[0] // size[2]))
+    balls = build_balls(routes, block_rows, min(CENTRE_CELLS, max_cells), product_cells)
+    merged = nearest_by_balls(
+        keyed.filter(F.col(vec).isNotNull()),
+        balls,
+        _vector_columns(F.col(vec), sparse),
+        k,
+        within_threshold,
+        sparse,
+        group_rows,
+        _kernels(sparse, product_cells),
+        product_cells,
+    ).rows.withColumnRenamed("_near", "candidates")
     return (
         keyed.join(merged, "_row", "left")
         .withColumn("candidates", F.coalesce("candidates", _none()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,7 +46,30 @@ def top_n_per_group(
 def share_cuts(
     df: DataFrame, group: str, id_col: str, share: float, seed: int, prefix_len: int = 4
 ) -> DataFrame:
-    """Where each group's first ``ceil(share * rows)`` rows in seeded order end.
+    """Where each group's first ``ceil(share * rows)`` rows in seeded order end: see ``hash_cuts``."""
+    fraction("share", share)
+    return hash_cuts(df, group, id_col, lambda n: F.ceil(n * F.lit(share)), seed, prefix_len)
+
+
+def first_rows(df: DataFrame, group: str, id_col: str, n: int, seed: int) -> DataFrame:
+    """The first ``n`` rows of each group in seeded order, found by counting; rows stay where they lie.
+
+    Repeated ids at the end of a group's share come along, so it may hold a few rows more.
+    """
+    positive("n", n)
+    cuts = hash_cuts(df, group, id_col, lambda size: F.least(size, F.lit(n)), seed)
+    return with_share_flag(df, cuts, group, id_col, seed, "_first").filter("_first").drop("_first")
+
+
+def hash_cuts(
+    df: DataFrame,
+    group: str,
+    id_col: str,
+    quota: Callable[[Column], Column],
+    seed: int,
+    prefix_len: int = 4,
+) -> DataFrame:
+    """Where each group's first ``quota(rows)`` rows in seeded order end.
 
     A window over the group would hold a hot group in one task. Here the rows
     are counted by (group, prefix of the hash), a running sum over those counts
@@ -54,7 +77,6 @@ def share_cuts(
     is met, and only the rows of that one prefix are ranked. The result, written,
     is one row per group: see ``with_share_flag``.
     """
-    fraction("share", share)
     positive("prefix_len", prefix_len)
     hashed = df.select(F.col(group).alias("_g"), F.col(id_col).alias("_id")).withColumn(
         "_h", seeded_order("_id", seed)
@@ -64,7 +86,7 @@ def share_cuts(
     running = Window.partitionBy("_g").orderBy("_p")
     filled = (
         counts.withColumn("_upto", F.sum("_n").over(running))
-        .withColumn("_quota", F.ceil(F.sum("_n").over(Window.partitionBy("_g")) * F.lit(share)))
+        .withColumn("_quota", quota(F.sum("_n").over(Window.partitionBy("_g"))))
         .filter(
             (F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota"))
         )

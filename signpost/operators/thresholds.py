@@ -72,6 +72,62 @@ def threshold_sweep(
     )
 
 
+def exact_counts(distances: DataFrame, label_col: str = "label", partitions: int | None = None) -> DataFrame:
+    """Confusion counts of every route at each distinct distance: (route, threshold, tp, fp, fn, f1).
+
+    ``distances`` has (label, route, distance). At a threshold a route takes every article at or
+    below it, so only distinct distances matter. They are counted with partial aggregation,
+    range partitioned by (route, distance) and summed up inside their partition; the
+    totals of the partitions before, a row per route and partition, are added to them. No
+    window holds a whole route, however many distances it has. Distances that are
+    null or no number count as support that no threshold reaches.
+    """
+    own = F.lower(F.col(label_col)) == F.lower(F.col("route"))
+    number = F.when(F.col("distance") < F.lit(float("inf")), F.col("distance"))
+    counts = distances.groupBy("route", number.alias("threshold")).agg(
+        F.count_if(own).alias("_own"), F.count(F.lit(1)).alias("_all")
+    )
+    keys = ["route", "threshold"] if partitions is None else [partitions, "route", "threshold"]
+    # written: the partition of a row is part of the sums, and the distances behind it are dear
+    placed = materialize(counts.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    reached = F.col("threshold").isNotNull()
+    totals = placed.groupBy("route", "_part").agg(
+        F.sum(F.when(reached, F.col("_own")).otherwise(0)).alias("_own_in"),
+        F.sum(F.when(reached, F.col("_all")).otherwise(0)).alias("_all_in"),
+        F.sum("_own").alias("_support_in"),
+    )
+    # a row per route and partition that holds some of it
+    before = Window.partitionBy("route").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("route")
+    shifts = materialize(
+        totals.select(
+            "route",
+            "_part",
+            F.coalesce(F.sum("_own_in").over(before), F.lit(0)).alias("_own_before"),
+            F.coalesce(F.sum("_all_in").over(before), F.lit(0)).alias("_all_before"),
+            F.sum("_support_in").over(whole).alias("_support"),
+        )
+    )
+    upto = Window.partitionBy("_part", "route").orderBy("threshold")
+    tp, taken = F.col("tp"), F.col("_taken")
+    return (
+        placed.filter(reached)
+        .withColumn("_own_here", F.sum("_own").over(upto))
+        .withColumn("_all_here", F.sum("_all").over(upto))
+        .join(shifts, ["route", "_part"])
+        .withColumn("tp", F.col("_own_here") + F.col("_own_before"))
+        .withColumn("_taken", F.col("_all_here") + F.col("_all_before"))
+        .select(
+            "route",
+            "threshold",
+            "tp",
+            (taken - tp).alias("fp"),
+            (F.col("_support") - tp).alias("fn"),
+            ratio(2 * tp, taken + F.col("_support")).alias("f1"),
+        )
+    )
+
+
 def best_thresholds(sweep: DataFrame, digits: int = 12) -> DataFrame:
     """Per route the threshold with the best F1; the smallest one on ties."""
     best = F.min(

@@ -12,6 +12,7 @@ from signpost.operators.runs import METRIC_CATEGORIES, OTHER_CATEGORY
 from signpost.queries import (
     _COMPARED,
     _RATES,
+    _TRACKED_EVENTS,
     BATCH,
     CLASSES,
     DENSE_SAMPLES,
@@ -102,9 +103,9 @@ dist AS (SELECT a.doc_id, s.route, round(1 - coalesce(max(p.dot), 0), 9) distanc
   LEFT JOIN pairs p ON p.doc_id = a.doc_id AND p.route = s.route GROUP BY a.doc_id, s.route)"""
 
 
-def _routed(agg: str = "avg") -> str:
+def _routed(agg: str = "avg", threshold: str = str(THRESHOLD)) -> str:
     return f"""{_avg_distances() if agg == "avg" else _min_distances()},
-best AS (SELECT doc_id, route, distance FROM dist WHERE distance <= {THRESHOLD}
+best AS (SELECT doc_id, route, distance FROM dist WHERE distance <= {threshold}
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, route) = 1),
 routed AS (SELECT d.doc_id, d.lang, d.text, coalesce(b.route, '{FIRST}') prediction, b.distance,
   CASE WHEN b.route IS NULL THEN 0.1 ELSE greatest(0, 1 - b.distance) END confidence,
@@ -254,6 +255,48 @@ WITH {_SWEEP}, best AS (SELECT route, threshold FROM fscored
 SELECT route, coalesce(o.threshold, b.threshold) AS threshold
 FROM best b LEFT JOIN (VALUES {_OVERRIDES}) o(route, threshold) USING (route)"""
 
+# every distance that a validation document has, tried as a threshold
+SQL["exact_thresholds"] = f"""
+WITH {_SPLIT},
+train AS (SELECT * FROM split WHERE split = 'train'),
+valid AS (SELECT * FROM split WHERE split = 'validation'),
+{_avg_distances("train", "valid")},
+tried AS (SELECT DISTINCT route, distance AS threshold FROM dist WHERE distance <= 1),
+scored AS (SELECT t.route, t.threshold,
+  count(*) FILTER (WHERE lang = d.route AND distance <= threshold) tp,
+  count(*) FILTER (WHERE distance <= threshold) taken, count(*) FILTER (WHERE lang = d.route) own
+  FROM tried t JOIN dist d USING (route) JOIN valid USING (doc_id) GROUP BY ALL),
+f AS (SELECT route, threshold, CASE WHEN taken + own = 0 THEN 0 ELSE 2 * tp / (taken + own) END f1 FROM scored)
+SELECT route, threshold, round(f1, 9) AS f1 FROM f
+QUALIFY row_number() OVER (PARTITION BY route ORDER BY round(f1, 12) DESC, threshold) = 1"""
+
+_LIMITED = f"coalesce(o.threshold, CAST({THRESHOLD} AS DOUBLE))"
+SQL["stored_routes"] = f"""
+WITH {_sample()}, kept AS (SELECT route, count(*) n FROM refs GROUP BY route)
+SELECT 'first' AS snapshot, route, CAST({THRESHOLD} AS DOUBLE) AS threshold, n AS references_count FROM kept
+UNION ALL SELECT 'current', route, {_LIMITED}, n FROM kept
+  LEFT JOIN (VALUES {_OVERRIDES}) o(route, threshold) USING (route)"""
+SQL["router_info"] = f"""
+WITH {_sample()} SELECT route, count(*) AS references_count, CAST({THRESHOLD} AS DOUBLE) AS threshold,
+  route AS category, CAST(count(*) AS VARCHAR) AS samples_count FROM refs GROUP BY route"""
+
+SQL["nearest_references"] = f"""
+WITH {_DENSE}, d AS (SELECT q.vec_id, lpad(CAST(r.vec_id AS VARCHAR), 12, '0') route,
+  round(1 - sum(q.v * r.v), 9) distance FROM unit q JOIN unit r USING (dim) GROUP BY q.vec_id, r.vec_id)
+SELECT vec_id, rank, route, distance FROM (SELECT *,
+  row_number() OVER (PARTITION BY vec_id ORDER BY distance, route) AS rank FROM d) WHERE rank <= 3"""
+
+_LETTERS = ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in "aen ")
+SQL["cached_embeddings"] = f"""
+WITH counted AS (SELECT doc_id, [1, {_LETTERS}] c FROM documents),
+flat AS (SELECT doc_id, unnest(range(5)) dim, CAST(unnest(c) AS DOUBLE) x FROM counted)
+SELECT doc_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 9) AS v FROM flat"""
+
+SQL["article_files"] = "SELECT doc_id AS article_id, text, lang AS label FROM documents"
+SQL["written_split"] = f"""
+WITH {_SPLIT} SELECT doc_id AS article_id, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS text,
+  lang AS label, split FROM split"""
+
 # -- batches of model calls ------------------------------------------------------
 
 _PROMPTS = f"""{_BATCHES},
@@ -365,6 +408,17 @@ SELECT phase, CASE WHEN paid THEN 'openai' ELSE 'huggingface' END AS provider,
   round(CASE WHEN paid THEN c ELSE 0 END, 12) AS cost,
   round(CASE WHEN paid THEN c / n ELSE 0 END, 12) AS avg_cost_per_call FROM summed"""
 
+SQL["model_catalogue"] = f"""
+WITH models(model, provider, dims, price_per_1k) AS (VALUES
+  ('text-embedding-3-small', 'openai', 1536, 0.00002::DOUBLE),
+  ('text-embedding-3-large', 'openai', 3072, 0.00013),
+  ('text-embedding-ada-002', 'openai', 1536, 0.0001),
+  ('sentence-transformers/all-MiniLM-L6-v2', 'huggingface', 384, 0),
+  ('sentence-transformers/all-mpnet-base-v2', 'huggingface', 768, 0)),
+used AS (SELECT CAST(sum({_tokens("text")}) AS BIGINT) t FROM documents)
+SELECT model, provider, dims, price_per_1k, t AS total_tokens,
+  round(t / 1000.0 * price_per_1k, 9) AS total_cost FROM models, used"""
+
 # -- metrics ---------------------------------------------------------------------
 
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -400,6 +454,13 @@ SELECT CASE {_CATEGORY} ELSE '{OTHER_CATEGORY}' END AS category, metric,
   round(value, 6) AS value
 FROM (UNPIVOT doubles ON COLUMNS(*) INTO NAME metric VALUE value)"""
 
+SQL["all_batches"] = f"""
+WITH {_EVENT_BATCHES}
+SELECT user_id || '-' || event_type AS batch_id, n AS batch_size,
+  CASE WHEN ok THEN round(latency, 6) END AS total_latency,
+  CASE WHEN ok THEN 'success' ELSE 'failed' END AS status,
+  CASE WHEN NOT ok THEN 'failed calls: ' || n END AS error FROM batches"""
+
 SQL["per_batch_rates"] = f"""
 WITH turns AS (SELECT conv_id batch_id, role, {_tokens("text")} t,
   CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END expected FROM conversations),
@@ -513,33 +574,101 @@ FROM runs r JOIN newest n USING (result_type) ORDER BY r.modified_at DESC, r.run
 SQL["latest_run"] = f"WITH {_RUNS} SELECT result_type, run_id, modified_at FROM newest"
 
 
-def _run_metrics(agg: str, price: float, vectors: int) -> str:
+def _run_metrics(agg: str, price: float) -> str:
     return f"""(WITH {_routed(agg)}, {_report()},
 means AS (SELECT avg(precision) p, avg(recall) r, avg(f1) f,
   sum(f1 * support) / sum(support) fw FROM report),
 one AS (SELECT count(*) n, count(*) FILTER (WHERE lang = prediction) / count(*) acc,
   sum({_tokens("text")} / 1000.0 * {price}::DOUBLE) cost FROM routed)
 SELECT acc AS accuracy, f AS f1_macro, fw AS f1_weighted, p AS precision_macro,
-  r AS recall_macro, n * {vectors} / 1e6::DOUBLE AS total_latency,
-  {vectors} / 1e6::DOUBLE AS avg_latency_per_article, cost AS total_cost,
+  r AS recall_macro, cost AS total_cost,
   cost / n AS cost_per_article, CAST(1 AS DOUBLE) AS success_rate FROM one, means)"""
 
 
-SQL["run_comparison"] = f"""
-WITH b AS {_run_metrics("min", 0.00013, SAMPLES * len(CLASSES))},
-s AS {_run_metrics("avg", 0.00002, len(CLASSES))},
-bl AS (UNPIVOT b ON {", ".join(_COMPARED)} INTO NAME metric VALUE baseline),
-sl AS (UNPIVOT s ON {", ".join(_COMPARED)} INTO NAME metric VALUE semantic),
+def _compared(metrics: list[str], digits: int) -> str:
+    """From one-row tables b and s: values side by side with what the second gains."""
+    names = ", ".join(metrics)
+    return f"""bl AS (UNPIVOT b ON {names} INTO NAME metric VALUE baseline),
+sl AS (UNPIVOT s ON {names} INTO NAME metric VALUE semantic),
 r AS (SELECT *, CASE WHEN baseline = 0 THEN 'inf'::DOUBLE ELSE semantic / baseline END ratio
-  FROM bl JOIN sl USING (metric))
-SELECT metric, round(baseline, 9) AS baseline, round(semantic, 9) AS semantic,
-  round(ratio, 9) AS improvement_ratio, round((ratio - 1) * 100, 9) AS improvement_pct,
+  FROM bl JOIN sl USING (metric)),
+compared AS (SELECT metric, round(baseline, {digits}) AS baseline, round(semantic, {digits}) AS semantic,
+  round(ratio, {digits}) AS improvement_ratio, round((ratio - 1) * 100, {digits}) AS improvement_pct,
   CASE WHEN contains(metric, 'latency') THEN round(CASE WHEN semantic = 0 THEN 'inf'::DOUBLE
-    ELSE baseline / semantic END, 9) END AS speedup,
+    ELSE baseline / semantic END, {digits}) END AS speedup,
   CASE WHEN contains(metric, 'cost') AND NOT contains(metric, 'latency')
-    THEN round(CASE WHEN ratio < 1 THEN (1 - ratio) * 100 ELSE 0 END, 9) END AS savings_pct
-FROM r"""
+    THEN round(CASE WHEN ratio < 1 THEN (1 - ratio) * 100 ELSE 0 END, {digits}) END AS savings_pct
+FROM r)"""
+
 
+SQL["run_comparison"] = f"""
+WITH b AS {_run_metrics("min", 0.00013)}, s AS {_run_metrics("avg", 0.00002)},
+{_compared(_COMPARED, 9)} SELECT * EXCLUDE (speedup) FROM compared"""
+
+
+def _event_side(odd: int) -> str:
+    whole = _EVENT_BATCHES.replace("FROM events GROUP", f"FROM events WHERE user_id % 2 = {odd} GROUP")
+    return f"(WITH {whole} SELECT CAST(COLUMNS(*) AS DOUBLE) FROM metrics)"
+
+
+SQL["stored_comparison"] = f"""
+WITH b AS {_event_side(0)}, s AS {_event_side(1)}, {_compared(_TRACKED_EVENTS, 6)}
+SELECT * FROM compared"""
+SQL["run_summary_rows"] = f"""
+WITH one AS {_event_side(1)}
+SELECT 'semantic' AS result_type, 'run' AS run_id, false AS has_classifications,
+  CASE {_CATEGORY} ELSE '{OTHER_CATEGORY}' END AS category, metric, round(value, 6) AS value
+FROM (UNPIVOT one ON COLUMNS(*) INTO NAME metric VALUE value)"""
+
+_REPORT_ROWS = """
+report_rows AS (SELECT 'classification_metrics' AS part, name, value FROM (
+  SELECT 'classification_report.' || class || '.' || m.metric AS name, m.value FROM report,
+    LATERAL (VALUES ('precision', CAST(precision AS DOUBLE)), ('recall', CAST(recall AS DOUBLE)),
+      ('f1-score', CAST(f1 AS DOUBLE)), ('support', CAST(support AS DOUBLE))) m(metric, value)
+  UNION ALL SELECT 'classification_report.' || m.metric, m.value FROM means,
+    LATERAL (VALUES ('macro avg.precision', CAST(precision_macro AS DOUBLE)), ('macro avg.recall', recall_macro),
+      ('macro avg.f1-score', f1_macro), ('weighted avg.precision', precision_weighted),
+      ('weighted avg.recall', recall_weighted), ('weighted avg.f1-score', f1_weighted)) m(metric, value)))"""
+_STORED_METRICS = f"""
+doubles AS (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM one),
+stored AS (SELECT CASE {_CATEGORY} ELSE '{OTHER_CATEGORY}' END AS part, metric AS name, value
+  FROM (UNPIVOT doubles ON COLUMNS(*) INTO NAME metric VALUE value))"""
+_THRESHOLDS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in OVERRIDES.items())
+_OWN_THRESHOLD = f"CASE route {_THRESHOLDS} ELSE {THRESHOLD} END"
+SQL["saved_router_run"] = f"""
+WITH {_routed("avg", _OWN_THRESHOLD)}, {_report()}, means AS (SELECT {_MEANS} FROM report),
+used AS (SELECT count(*) n, sum({_tokens("text")}) t, count(*) FILTER (WHERE lang = prediction) ok,
+  sum({_tokens("text")} / 1000.0 * 0.00002::DOUBLE) cost, count(*) FILTER (WHERE is_fallback) fallen,
+  avg(confidence) conf FROM routed),
+one AS (SELECT n AS total_articles, n AS successful_articles, 0 AS failed_articles,
+  1 AS total_batches, 1 AS successful_batches, 0 AS failed_batches, 1 AS success_rate,
+  cost AS total_cost, cost / n AS cost_per_article, 0 AS total_prompt_tokens,
+  0 AS total_completion_tokens, t AS total_tokens, 0 AS avg_prompt_tokens_per_article,
+  0 AS avg_completion_tokens_per_article, t / n AS avg_tokens_per_article, ok / n AS accuracy,
+  ok AS correct_predictions, n AS total_predictions, means.* FROM used, means),
+{_STORED_METRICS}, {_REPORT_ROWS},
+facts AS (SELECT 'facts' AS part, m.name, m.value FROM used, LATERAL (VALUES
+  ('rows', CAST(n AS DOUBLE)), ('fallbacks', CAST(fallen AS DOUBLE)), ('avg_confidence', CAST(conf AS DOUBLE)),
+  ('tokens', CAST(t AS DOUBLE)), ('cost', CAST(cost AS DOUBLE))) m(name, value)),
+predicted AS (SELECT 'rows' AS part, prediction AS name, CAST(count(*) AS DOUBLE) AS value
+  FROM routed GROUP BY prediction),
+limits AS (SELECT 'thresholds' AS part, route AS name, CAST({_OWN_THRESHOLD} AS DOUBLE) AS value FROM sizes),
+held AS (SELECT 'references' AS part, route AS name, CAST(n AS DOUBLE) AS value FROM sizes)
+SELECT part, name, round(value, 9) AS value FROM (FROM stored UNION ALL FROM report_rows
+  UNION ALL FROM facts UNION ALL FROM predicted UNION ALL FROM limits UNION ALL FROM held)"""
+
+_MODEL_RUN = SQL["llm_run_metrics"].split("doubles AS (")[0]
+SQL["saved_model_run"] = f"""{_MODEL_RUN.rstrip().rstrip(",")},
+{_STORED_METRICS}, {_REPORT_ROWS},
+every AS (SELECT failed, doc_id, failed OR doc_id % 5 = 4 fallen, CASE WHEN failed THEN 'none'
+  WHEN doc_id % 5 = 4 THEN '{FIRST}' ELSE {_NAMES}[CAST(doc_id % 5 + 1 AS INTEGER)] END prediction
+  FROM batches JOIN answers USING (batch_id)),
+facts AS (SELECT 'facts' AS part, 'rows' AS name, CAST(count(*) AS DOUBLE) AS value FROM every
+  UNION ALL SELECT 'facts', 'fallbacks', count(*) FILTER (WHERE fallen) FROM every),
+predicted AS (SELECT 'rows' AS part, prediction AS name, CAST(count(*) AS DOUBLE) AS value
+  FROM every GROUP BY prediction)
+SELECT part, name, round(value, 9) AS value FROM (FROM stored UNION ALL FROM report_rows
+  UNION ALL FROM facts UNION ALL FROM predicted)"""
 
 def _has(*needles: str) -> str:
     return " OR ".join(f"contains(lower(error), '{n}')" for n in needles)

@@ -26,7 +26,7 @@ from signpost.operators.routes import (
 )
 from signpost.operators.routing import route_articles
 from signpost.operators.runs import metric_rows, report_rows
-from signpost.operators.thresholds import best_thresholds, threshold_sweep
+from signpost.operators.thresholds import best_thresholds, exact_counts, threshold_sweep
 from signpost.session import materialize
 
 
@@ -38,15 +38,24 @@ def calibrate(
     label_col: str = "lang",
     dims: int = DEFAULT_DIMS,
     embedder: str | EmbedderFactory = "hashed",
+    only: DataFrame | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """Best threshold per route on labelled articles: (route, threshold, f1).
 
-    Use articles that are scored nowhere else.
+    Use articles that are scored nowhere else. ``only`` (id) leaves out articles whose
+    id it lacks; their distances are taken where they lie and dropped then, so
+    that narrow rows are moved and no texts. The thresholds tried are the steps of a
+    hundredth, or with ``exact`` every distance up to 1 that an article has.
     """
     labelled = embed(articles.filter(F.col(label_col).isNotNull()), embedder, text_col, dims)
     rows = distance_rows(
         labelled, routes, id_col, "vec", [label_col], sparse=not callable(embedder)
     )
+    if only is not None:
+        rows = rows.join(only.select(id_col), id_col, "left_semi")
+    if exact:
+        return best_thresholds(exact_counts(rows, label_col).filter(F.col("threshold") <= 1))
     return best_thresholds(threshold_sweep(rows, label_col))
 
 
@@ -65,11 +74,14 @@ def train_router(
     seed: int = 42,
     embedder: str | EmbedderFactory = "hashed",
     texts: DataFrame | None = None,
+    calibration_ids: DataFrame | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """Route table from labelled articles: sample, prepare, embed, calibrate, override.
 
     Built once, with a seeded draw. Calibration (if articles are given) replaces
-    the initial threshold; overrides come last and win.
+    the initial threshold; overrides come last and win. ``calibration_ids`` and ``exact``:
+    see ``calibrate``.
     """
     references = route_references(
         articles, samples_per_class, id_col, text_col, label_col, seed, max_chars, texts
@@ -80,7 +92,9 @@ def train_router(
     else:
         routes = build_routes(references, threshold, agg, dims)
     if calibration is not None:
-        best = calibrate(routes, calibration, id_col, text_col, label_col, dims, embedder)
+        best = calibrate(
+            routes, calibration, id_col, text_col, label_col, dims, embedder, calibration_ids, exact
+        )
         routes = override_thresholds(routes, best.select("route", "threshold"))
     if overrides:
         routes = override_thresholds(routes, overrides_frame(articles.sparkSession, overrides))

@@ -7,6 +7,7 @@ calls with a latency, an outcome and a time, conversations are requests.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,10 +27,18 @@ from signpost.operators import routes as ro
 from signpost.operators import routing as rt
 from signpost.operators import runs as ru
 from signpost.operators import thresholds as th
+from signpost.functions.scoring import token_cost
 from signpost.operators.lookup import rows_by_id
 from signpost.plans import batch_inference as bi
 from signpost.plans import router as pr
-from signpost.session import materialize, spread
+from signpost.plans import saved_runs as sr
+from signpost.plans.comparison import compare_stored_runs
+from signpost.session import materialize, shared_folder, spread
+from signpost.sources import articles as sa
+from signpost.sources import route_store as rs
+from signpost.sources import run_store as st
+from signpost.sources import vector_cache as vc
+from signpost.sources.run_catalogue import read_catalogue
 
 CLASSES = ["en", "de", "es", "fr"]
 SAMPLES = 50
@@ -37,6 +46,7 @@ THRESHOLD = 0.6
 BATCH = 10
 OVERRIDES = {"en": 0.57, "de": 0.65, "FR": 0.5, "xx": 0.4}
 DENSE_SAMPLES = 20
+BALL_CELLS = 2_000  # so few that the index is used at every scale
 DENSE_THRESHOLDS = {"avg": 0.95, "min": 0.66}
 
 # one model per document source or language, the last one not in the catalogue
@@ -251,24 +261,25 @@ def prediction_fallback(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The train side (doc_id, lang) and the validation side with its texts.
+def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The train side (doc_id, lang), the validation side with its texts, and the ids that count.
 
-    Documents are marked in place, so only the texts of the validation side are
-    moved to leave out duplicates.
+    Documents are marked in place. Duplicates among the validation texts are left out after
+    their distances are taken, so no text is moved for it.
     """
     unique = materialize(ar.dedupe_text(_table(spark, sf, "documents")).select("doc_id", "lang"))
     cuts = ar.split_cuts(unique)
     train = ar.mark_split(unique, cuts).filter(F.col("split") == "train").drop("split")
     marked = ar.mark_split(_documents(spark, sf), cuts).filter(F.col("split") == "validation")
-    return train, marked.join(unique.select("doc_id"), "doc_id", "left_semi")
+    return train, marked, unique.select("doc_id")
 
 
 def _calibration_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Distances of the validation side to routes sampled from the train side."""
-    train, validation = _sides(spark, sf)
+    train, validation, unique = _sides(spark, sf)
     routes = pr.train_router(train, SAMPLES, THRESHOLD, texts=_table(spark, sf, "documents"))
-    return di.distance_rows(em.embed_hashed(validation), routes, keep=["lang"])
+    rows = di.distance_rows(em.embed_hashed(validation), routes, keep=["lang"])
+    return rows.join(unique, "doc_id", "left_semi")
 
 
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
@@ -284,7 +295,7 @@ def best_thresholds(spark: SparkSession, sf: str) -> DataFrame:
 
 def trained_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     """Training as a whole: split, sample, embed, calibrate, override."""
-    train, validation = _sides(spark, sf)
+    train, validation, unique = _sides(spark, sf)
     routes = pr.train_router(
         train,
         SAMPLES,
@@ -292,10 +303,78 @@ def trained_thresholds(spark: SparkSession, sf: str) -> DataFrame:
         calibration=validation,
         overrides=OVERRIDES,
         texts=_table(spark, sf, "documents"),
+        calibration_ids=unique,
     )
     return routes.select("route", "threshold")
 
 
+def exact_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    """Per route the best of all thresholds, not of a hundred steps."""
+    counts = th.exact_counts(_calibration_rows(spark, sf), "lang")
+    return _rounded(th.best_thresholds(counts.filter("threshold <= 1")), 9, "f1")
+
+
+def nearest_references(spark: SparkSession, sf: str) -> DataFrame:
+    """The three nearest of all vectors, each a route of its own, for every vector; by the index of balls."""
+    every = _dense_articles(spark, sf)
+    name = F.lpad(F.col("vec_id").cast("string"), 12, "0")
+    routes = materialize(every.select(name.alias("route"), F.lit(2.0).alias("threshold"), "vec"))
+    ranked = di.candidate_routes(
+        every, routes, "vec_id", k=3, within_threshold=False, sparse=False, max_cells=BALL_CELLS
+    )
+    return rt.top_routes(ranked)
+
+
+def router_info(spark: SparkSession, sf: str) -> DataFrame:
+    info = ro.router_info(pr.train_router(_table(spark, sf, "documents"), SAMPLES, THRESHOLD, "min"))
+    return info.select(
+        "route",
+        "references_count",
+        "threshold",
+        F.col("metadata")["category"].alias("category"),
+        F.col("metadata")["samples_count"].alias("samples_count"),
+    )
+
+
+def _store(spark: SparkSession) -> str:
+    """A new folder in the shared folder."""
+    return f"{shared_folder(spark)}/signpost/store-{uuid.uuid4().hex}"
+
+
+def stored_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """A route table written twice: who loaded the first snapshot still reads it after the second write."""
+    path = f"{_store(spark)}/routes"
+    routes = pr.train_router(_table(spark, sf, "documents"), SAMPLES, THRESHOLD, "min")
+    rs.save_routes(routes, path)
+    first = rs.load_routes(spark, path)
+    rs.save_routes(ro.override_thresholds(first, ro.overrides_frame(spark, OVERRIDES)), path)
+    now = rs.load_routes(spark, path)
+    both = first.withColumn("snapshot", F.lit("first")).unionByName(now.withColumn("snapshot", F.lit("current")))
+    return both.groupBy("snapshot", "route").agg(
+        F.max("threshold").alias("threshold"), F.sum("references_count").alias("references_count")
+    )
+
+
+def _letter_embedder():
+    """A model by rule: how often a text has a, e, n and a blank, and one."""
+
+    def embed(texts):
+        import numpy as np
+
+        return np.array([[1, *(t.count(c) for c in "aen ")] for t in texts], dtype="float64")
+
+    return embed
+
+
+def cached_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of all documents by content: every different text is embedded once, then looked up."""
+    path = f"{_store(spark)}/vectors"
+    texts = _table(spark, sf, "documents").select("doc_id", "text")
+    embedded = vc.embed_cached(texts, lambda: _letter_embedder(), path, "letters")
+    rows = embedded.select("doc_id", F.posexplode("vec").alias("dim", "v"))
+    return _rounded(rows.withColumn("dim", F.col("dim").cast("bigint")), 9, "v")
+
+
 # -- batches of model calls ------------------------------------------------------
 
 
@@ -600,7 +679,7 @@ def _errors(spark: SparkSession, sf: str) -> DataFrame:
 def classification_report_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Routed documents in batches; a batch failed if the event of its number is an error."""
     docs = _table(spark, sf, "documents")
-    # 101 characters are enough to tell whether the preview is cut at 100
+    # what is moved of a text is as much as the preview looks at
     routed = _routed(spark, sf, "avg").select(
         F.col("doc_id").alias("article_id"),
         "prediction",
@@ -653,36 +732,181 @@ _COMPARED = [
     "f1_weighted",
     "precision_macro",
     "recall_macro",
+    "total_cost",
+    "cost_per_article",
+    "success_rate",
+]
+_TRACKED_EVENTS = [
+    "total_articles",
+    "success_rate",
     "total_latency",
+    "avg_batch_latency",
     "avg_latency_per_article",
     "total_cost",
     "cost_per_article",
-    "success_rate",
+    "total_tokens",
 ]
 
 
 def run_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """The router on all references with a dear model against the one on centroids.
 
-    Latency is modelled as one microsecond per vector compared.
+    The references are sampled once, and the documents are embedded once, for both. Latency
+    is left out, since a measured one is another in every run; see ``stored_comparison``.
     """
+    references = materialize(_references(spark, sf))
+    narrow = _documents(spark, sf).withColumn("tokens", tx.token_estimate(F.col("text")))
+    embedded = materialize(em.embed_hashed(narrow).select("doc_id", "lang", "tokens", "vec"))
 
-    def metrics(agg: str, model: str, vectors: int) -> DataFrame:
-        routed = _routed(spark, sf, agg).withColumn("model", F.lit(model))
-        classified = materialize(
-            co.with_token_cost(routed).select("lang", "prediction", "confidence", "tokens", "cost")
-        )
-        batch = pr.router_batch(classified, 0.0, classified).withColumn(
-            "total_latency", F.col("batch_size") * F.lit(vectors) / F.lit(1e6)
-        )
-        return pr.run_metrics(batch, classified, "lang")
+    def metrics(agg: str, model: str) -> DataFrame:
+        routed = rt.route_articles(embedded, ro.build_routes(references, THRESHOLD, agg), CLASSES)
+        priced = routed.withColumn("cost", token_cost(F.col("tokens"), co.price_of(F.lit(model))))
+        classified = materialize(priced.select("lang", "prediction", "confidence", "tokens", "cost"))
+        return pr.run_metrics(pr.router_batch(classified, 0.0, classified), classified, "lang")
 
     compared = ru.compare_runs(
-        metrics("min", "text-embedding-3-large", SAMPLES * len(CLASSES)),
-        metrics("avg", "text-embedding-3-small", len(CLASSES)),
-        _COMPARED,
+        metrics("min", "text-embedding-3-large"), metrics("avg", "text-embedding-3-small"), _COMPARED
+    )
+    return _rounded(
+        compared.drop("speedup"), 9, *[c for c in compared.columns if c not in ("metric", "speedup")]
     )
-    return _rounded(compared, 9, *[c for c in compared.columns if c != "metric"])
+
+
+def _stored_event_runs(spark: SparkSession, sf: str) -> dict[str, str]:
+    """Two committed runs: calls of users with even and with odd numbers, with their own latency and cost."""
+    base = _store(spark)
+    batches = _event_batches(spark, sf).withColumn(
+        "_odd", F.substring_index("batch_id", "-", 1).cast("bigint") % 2
+    )
+    bases = {}
+    for odd, result_type in enumerate(("baseline", "semantic")):
+        bases[result_type] = f"{base}/{result_type}"
+        metrics = ru.metric_rows(qu.batch_metrics(batches.filter(F.col("_odd") == odd)))
+        folder = st.save_metrics(metrics, bases[result_type], "run")
+        st.save_run_info(spark, bases[result_type], "run", written={"metrics": folder})
+    return bases
+
+
+def stored_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Two stored runs compared, the comparison saved and read back."""
+    bases = _stored_event_runs(spark, sf)
+    out = _store(spark)
+    compare_stored_runs(
+        spark, bases["baseline"], bases["semantic"], tracked=_TRACKED_EVENTS, save_to=out
+    )
+    back = spark.read.json(f"{out}/comparison")
+    numbers = ["baseline", "semantic", "improvement_ratio", "improvement_pct", "speedup", "savings_pct"]
+    return back.select("metric", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in numbers])
+
+
+def run_summary_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of one of two stored runs, from the catalogue, which opens that run alone."""
+    runs = read_catalogue(spark, _stored_event_runs(spark, sf))
+    asked = runs.filter("result_type = 'semantic' AND run_id = 'run'")
+    return _rounded(
+        asked.select("result_type", "run_id", "has_classifications", "category", "metric", "value"), 6, "value"
+    )
+
+
+def _run_rows(spark: SparkSession, base: str, run: str) -> DataFrame:
+    """What a stored run says, as (part, name, value), without what was measured in time."""
+    metrics = st.read_metrics(spark, base, run).filter("category <> 'latency_metrics'")
+    info = st.read_run_info(spark, base, run)
+    facts = info.select(F.explode("facts").alias("name", "value")).filter("name <> 'seconds'")
+    rows = st.read_classifications(spark, base, run)
+    status = F.when(F.col("prediction").isNull(), "none").otherwise(F.col("prediction"))
+    counts = rows.groupBy(status.alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return _rounded(
+        metrics.select(F.col("category").alias("part"), F.col("metric").alias("name"), "value")
+        .unionByName(facts.select(F.lit("facts").alias("part"), "name", "value"))
+        .unionByName(counts.select(F.lit("rows").alias("part"), "name", "value")),
+        9,
+        "value",
+    )
+
+
+def saved_router_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Routes trained and stored, loaded again with overrides, every document routed, the run read back."""
+    base = _store(spark)
+    rs.save_routes(pr.train_router(_table(spark, sf, "documents"), SAMPLES, THRESHOLD), f"{base}/routes")
+    run = sr.run_router(
+        _documents(spark, sf),
+        f"{base}/routes",
+        CLASSES,
+        base,
+        overrides=OVERRIDES,
+        model="text-embedding-3-small",
+    )
+    info = st.read_run_info(spark, base, run)
+    route = "map<string,struct<references_count:double,distance_threshold:double>>"
+    routes = info.select(
+        F.explode(F.from_json(F.get_json_object("classifier_config", "$.routes"), route)).alias("name", "r")
+    )
+    return (
+        _run_rows(spark, base, run)
+        .unionByName(routes.select(F.lit("thresholds").alias("part"), "name", F.col("r.distance_threshold").alias("value")))
+        .unionByName(routes.select(F.lit("references").alias("part"), "name", F.col("r.references_count").alias("value")))
+    )
+
+
+def saved_model_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The stand-in model asked about every batch, the run read back."""
+    base = _store(spark)
+    run = sr.run_model(
+        _table(spark, sf, "documents"),
+        CLASSES,
+        _stand_in_model(CLASSES),
+        base,
+        batch_size=BATCH,
+        prompt_price=0.001,
+        completion_price=0.005,
+        max_retries=1,
+    )
+    return _run_rows(spark, base, run)
+
+
+def all_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls that succeeded, with what they cost, and calls that failed, with their number."""
+    batches = _event_batches(spark, sf)
+    ok = batches.filter(F.col("status") == qu.SUCCESS).select("batch_id", "batch_size", "total_latency")
+    failed = batches.filter(F.col("status") == qu.FAILED).select(
+        "batch_id", "batch_size", F.concat(F.lit("failed calls: "), F.col("batch_size")).alias("error")
+    )
+    return _rounded(qu.all_batches(ok, failed), 6, "total_latency")
+
+
+def _article_files(spark: SparkSession, sf: str) -> str:
+    """The documents as article files."""
+    path = f"{_store(spark)}/articles"
+    _table(spark, sf, "documents").select(
+        F.col("doc_id").alias("ArticleId"), F.col("text").alias("Text"), F.col("lang").alias("Category")
+    ).write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+def article_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts and labels read from files, as they stand there."""
+    return sa.read_articles(spark, _article_files(spark, sf), strip=False)
+
+
+def written_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The split that is written once, both sides read back; a second call keeps it."""
+    path = f"{_store(spark)}/split"
+    articles = sa.read_articles(spark, _article_files(spark, sf), strip=False)
+    sa.ensure_split(articles, path)
+    sa.ensure_split(articles.limit(0), path)
+    sides = [
+        sa.read_split(spark, path, side).withColumn("split", F.lit(side)) for side in ("train", "validation")
+    ]
+    return sides[0].unionByName(sides[1])
+
+
+def model_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """What embedding all documents costs with each model of the catalogue."""
+    tokens = _documents(spark, sf).agg(F.sum(tx.token_estimate(F.col("text"))).alias("t"))
+    models = co.model_catalogue(spark).withColumn("total_tokens", tokens.scalar())
+    priced = models.withColumn("total_cost", token_cost(F.col("total_tokens"), F.col("price_per_1k")))
+    return _rounded(priced, 9, "total_cost")
 
 
 def error_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
@@ -732,5 +956,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         latest_run,
         run_comparison,
         error_taxonomy,
+        exact_thresholds,
+        nearest_references,
+        router_info,
+        stored_routes,
+        cached_embeddings,
+        stored_comparison,
+        run_summary_rows,
+        saved_router_run,
+        saved_model_run,
+        all_batches,
+        article_files,
+        written_split,
+        model_catalogue,
     )
 }

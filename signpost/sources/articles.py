@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from signpost.functions.text import strip as stripped
 from signpost.operators.articles import dedupe_text, stratified_split
 from signpost.session import materialize
+from signpost.sources import files
 
 # The columns of an article file.
 ARTICLE_SCHEMA = "ArticleId bigint, Text string, Category string"
@@ -40,10 +41,12 @@ def read_articles(
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether a readable table is there; a folder that a failed job left empty is none."""
+    if not files.exists(spark, path):
+        return False
     try:
         spark.read.parquet(path).schema
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return False
         raise
     return True

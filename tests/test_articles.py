@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signpost.operators import articles as ar
 from signpost.operators import ranking as rk
+from tests.conftest import plan_of
 
 
 def order(i, seed=42):
@@ -129,3 +130,22 @@ def test_arguments_are_checked(spark):
         ar.sample_per_class(df, 0)
     with pytest.raises(ValueError):
         ar.stratified_split(df, validation_share=1.5)
+
+
+@pytest.mark.parametrize("n", [1001, 5000])
+def test_a_large_sample_moves_no_more_than_itself(spark, n):
+    """Beyond what Spark's window limit prunes, rows of a class are chosen before they are moved."""
+    rows = spark.range(60_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 9, "big").otherwise("small").alias("lang")
+    )
+    got = ar.sample_per_class(rows, n)
+    order = {i: hashlib.md5(f"42:{i}".encode()).hexdigest() for i in range(60_000)}
+    for lang, keep in (("big", lambda i: i % 10 < 9), ("small", lambda i: i % 10 == 9)):
+        want = sorted((i for i in order if keep(i)), key=lambda i: (order[i], i))[:n]
+        mine = {r["rank"]: r["doc_id"] for r in got.filter(F.col("lang") == lang).collect()}
+        assert mine == dict(enumerate(want, 1))
+    # the plan that moves rows to rank them filters by the cut first, below every exchange
+    plan = plan_of(got)
+    below = plan[plan.rindex("Exchange") :]
+    assert "_cut_h" in below and "Filter" in below
+    assert rows.count() == 60_000
