@@ -42,7 +42,7 @@ from signpost.llm.worker import held
 PART_CHARS = 1 << 16  # characters fed at a time
 LONG = 256  # characters from which a piece is merged before it ends
 MERGE_BYTES = 4096  # bytes merged at a time, besides the lookahead
-CACHE_PIECES = 100_000
+CACHE_PIECES = 200_000  # of each of two generations
 SLICE_BYTES = 4 << 20
 NONE = 1 << 60
 
@@ -127,15 +127,16 @@ class Merges:
         if len(ids) > 40:
             return self._merge_by_heap(ids)
         rules, width = self.rules, self.width
+        made = self.made
         ranks = [rules.get(a * width + b, NONE) for a, b in zip(ids, ids[1:])]
         while ranks and (low := min(ranks)) < NONE:
             i = ranks.index(low)
-            ids[i : i + 2] = [self.made[low]]
-            del ranks[i]
+            ids[i] = new = made[low]
+            del ids[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rules.get(ids[i] * width + ids[i + 1], NONE)
+                ranks[i] = rules.get(new * width + ids[i + 1], NONE)
             if i:
-                ranks[i - 1] = rules.get(ids[i - 1] * width + ids[i], NONE)
+                ranks[i - 1] = rules.get(ids[i - 1] * width + new, NONE)
         return ids
 
     def _merge_by_heap(self, ids: list[int]) -> list[int]:
@@ -191,7 +192,8 @@ class Encoder:
 
     def __init__(self, merges: Merges, specials: bool = True) -> None:
         self.merges = merges
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, list[int]] = {}  # pieces met since the last turn of generations
+        self.older: dict[str, list[int]] = {}  # those met in the one before
         names = sorted(merges.special, key=len, reverse=True) if specials else []
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.heads = {name[:k] for name in names for k in range(1, len(name))}
@@ -247,6 +249,7 @@ class Encoder:
             known = cache.get(piece)
             if known is None:
                 known = self._learn(piece)
+                cache = self.cache
             out += known
         if len(self.tail) > LONG:
             self._open(out)
@@ -255,8 +258,11 @@ class Encoder:
         if len(piece) > LONG:
             return [*self.merger.feed(piece.encode()), *self.merger.close()]
         if len(self.cache) >= CACHE_PIECES:
-            self.cache.clear()
-        self.cache[piece] = ids = self.merges.merge(piece.encode())
+            self.cache, self.older = {}, self.cache
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.merges.merge(piece.encode())
+        self.cache[piece] = ids
         return ids
 
     def _open(self, out: list[int]) -> None:
