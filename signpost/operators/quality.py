@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signpost.functions.scoring import matches, ratio
 
+# A batch's status, and below the names of the metrics that runs are stored and compared by.
 SUCCESS = "success"
 FAILED = "failed"
 

@@ -1,11 +1,10 @@
-"""Error taxonomy and retry schedule over a table of error messages."""
+"""Error taxonomy over a table of error messages."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signpost.checks import positive
 from signpost.functions.errors import error_class, is_retryable
 
 
@@ -14,34 +13,3 @@ def error_taxonomy(df: DataFrame, message_col: str = "error") -> DataFrame:
     return df.withColumn("error_class", error_class(F.col(message_col))).withColumn(
         "retryable", is_retryable(F.col(message_col))
     )
-
-
-def retry_schedule(
-    df: DataFrame,
-    max_retries: int = 3,
-    initial_delay: float = 1.0,
-    message_col: str = "error",
-) -> DataFrame:
-    """One row per attempt of a call that keeps failing: (attempt, delay_s).
-
-    The first attempt is number 0. After attempt ``a`` a retryable call waits
-    ``initial_delay * 2 ** a`` seconds; the last attempt has no delay, and an
-    error that is not retryable ends after the first attempt. No jitter.
-    """
-    if max_retries < 0:
-        raise ValueError(f"max_retries must not be negative, got {max_retries}")
-    positive("initial_delay", initial_delay)
-    last = F.when(is_retryable(F.col(message_col)), F.lit(max_retries)).otherwise(F.lit(0))
-    return (
-        df.withColumn("_last", last)
-        .withColumn("attempt", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-        .withColumn(
-            "delay_s",
-            F.when(
-                F.col("attempt") < F.col("_last"),
-                F.lit(float(initial_delay)) * F.pow(F.lit(2.0), F.col("attempt")),
-            ),
-        )
-        .withColumn("attempt", F.col("attempt").cast("bigint"))
-        .drop("_last")
-    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable, Sequence
 
@@ -21,7 +22,7 @@ from signpost.plans.batch_inference import (
     resumed_replies,
 )
 from signpost.plans.router import classify, run_metrics
-from signpost.session import materialize
+from signpost.session import materialize, scratch
 from signpost.sources import run_store
 from signpost.sources.route_store import current_version, load_routes
 
@@ -41,6 +42,18 @@ def _label(label_col: str | None) -> Column:
     return (F.lit(None) if label_col is None else F.col(label_col)).cast("string")
 
 
+def _owning(plan):
+    """A run reads its own tables to the end and leaves none behind."""
+
+    @functools.wraps(plan)
+    def owned(articles: DataFrame, *args, **how) -> str:
+        with scratch(articles.sparkSession):
+            return plan(articles, *args, **how)
+
+    return owned
+
+
+@_owning
 def run_router(
     articles: DataFrame,
     routes_path: str,
@@ -129,6 +142,7 @@ def run_router(
     return run
 
 
+@_owning
 def run_model(
     articles: DataFrame,
     classes: Sequence[str],

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from signpost.sources import files
+
+_OWNER: ContextVar[str | None] = ContextVar("scratch folder", default=None)
+
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and bench runs; clusters bring their own."""
@@ -43,14 +50,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder that owns the tables written inside the ``with`` and is removed at its end.
+
+    Results that are read later must be written elsewhere before; those of an inner
+    ``with`` go with the inner one. Without an owner tables stay until someone
+    removes ``signpost`` in the shared folder.
+    """
+    folder = f"{shared_folder(spark)}/signpost/scratch-{uuid.uuid4().hex}"
+    outer = _OWNER.set(folder)
+    try:
+        yield folder
+    finally:
+        _OWNER.reset(outer)
+        files.remove(spark, folder)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives Catalyst the true size
     on disk, so a join against the result is broadcast only when it is below
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffled otherwise.
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffled otherwise. The table belongs to the
+    ``scratch`` around it, if there is one.
     """
-    path = f"{shared_folder(df.sparkSession)}/signpost/{uuid.uuid4().hex}"
+    owner = _OWNER.get() or f"{shared_folder(df.sparkSession)}/signpost"
+    path = f"{owner}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,6 +1,4 @@
-import pytest
-
-from signpost.operators.retries import error_taxonomy, retry_schedule
+from signpost.operators.retries import error_taxonomy
 
 MESSAGES = {
     "Rate limit hit": ("RateLimitError", True),
@@ -24,14 +22,3 @@ def test_taxonomy(spark):
     df = spark.createDataFrame([(m,) for m in MESSAGES], "error string")
     got = {r["error"]: (r["error_class"], r["retryable"]) for r in error_taxonomy(df).collect()}
     assert got == MESSAGES
-
-
-def test_schedule(spark):
-    df = spark.createDataFrame([(1, "429"), (2, "401")], "id int, error string")
-    rows = retry_schedule(df, 3, 0.5).orderBy("id", "attempt").collect()
-    assert [(r["id"], r["attempt"], r["delay_s"]) for r in rows] == [
-        (1, 0, 0.5), (1, 1, 1.0), (1, 2, 2.0), (1, 3, None), (2, 0, None),
-    ]
-    assert retry_schedule(df, 0).count() == 2
-    with pytest.raises(ValueError):
-        retry_schedule(df, -1)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from signpost.plans import saved_runs as sr
 from signpost.plans.comparison import compare_stored_runs
 from signpost.plans.router import train_router
+from signpost.session import shared_folder
+from signpost.sources import files
 from signpost.sources import route_store as rs
 from signpost.sources import run_store as st
 from signpost.sources.run_catalogue import read_catalogue
@@ -112,6 +114,16 @@ def test_articles_are_embedded_once_in_a_run(spark, articles, tmp_path):
     assert len(os.listdir(folder)) == trained + 40
 
 
+def test_a_run_leaves_no_scratch_tables(spark, articles, stored_routes, tmp_path):
+    folder = f"{shared_folder(spark)}/signpost"
+    before = files.names(spark, folder)
+    calls = str(tmp_path / "calls")
+    os.mkdir(calls)
+    sr.run_router(articles, stored_routes, CLASSES, str(tmp_path / "r"), overrides={"a": 0.5}, dims=32)
+    sr.run_model(articles, CLASSES, model(calls), str(tmp_path / "m"), max_retries=0)
+    assert files.names(spark, folder) == before
+
+
 def test_without_routes_there_is_no_run(spark, articles, tmp_path):
     with pytest.raises(ValueError, match="no trained routes"):
         sr.run_router(articles, str(tmp_path / "none"), CLASSES, str(tmp_path / "runs"))

@@ -1,7 +1,8 @@
 import pytest
 
 from signpost import checks
-from signpost.session import materialize, shared_folder, spread
+from signpost.session import materialize, scratch, shared_folder, spread
+from signpost.sources import files
 
 
 class _Stub:
@@ -40,6 +41,25 @@ def test_materialize_reads_back_what_was_written(spark):
     assert materialize(df).schema.simpleString() == df.schema.simpleString()
 
 
+def test_written_tables_have_an_owner(spark):
+    folder = f"{shared_folder(spark)}/signpost"
+    before = set(files.names(spark, folder))
+    with scratch(spark) as mine:
+        kept = [materialize(spark.range(3)), materialize(spark.range(4))]
+        with scratch(spark) as inner:
+            materialize(spark.range(5))
+            assert len(files.names(spark, inner)) == 1
+        assert not files.exists(spark, inner)
+        assert sorted(t.count() for t in kept) == [3, 4] and len(files.names(spark, mine)) == 2
+    assert set(files.names(spark, folder)) == before
+    with pytest.raises(RuntimeError), scratch(spark) as mine:
+        materialize(spark.range(3))
+        raise RuntimeError
+    assert not files.exists(spark, mine) and set(files.names(spark, folder)) == before
+    assert materialize(spark.range(2)).count() == 2
+    assert len(set(files.names(spark, folder)) - before) == 1
+
+
 def test_spread_moves_small_tables_only(spark):
     few = spark.range(0, 100, 1, 2)
     cores = spark.sparkContext.defaultParallelism

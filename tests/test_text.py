@@ -22,11 +22,6 @@ def prepared(text):
     return " ".join(cut.split())
 
 
-def one_line(text):
-    cut = text[:100] + "..." if len(text) > 100 else text
-    return cut.replace("\n", " ").replace("\r", " ")
-
-
 def test_text_functions_follow_python(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id int, t string")
     rows = df.select(
@@ -43,7 +38,22 @@ def test_text_functions_follow_python(spark):
         assert r["words"] == len(t.split())
         assert r["tokens"] == int(len(t.split()) * 1.3)
         assert r["reference"] == prepared(t)
-        assert r["preview"] == one_line(t)
+
+
+PREVIEWS = {
+    "": "",
+    "short": "short",
+    "a\r\nb  c\x0bd": "a  b  c\x0bd",
+    "0123456789" * 10: "0123456789" * 10,
+    "0123456789" * 10 + "\n": "0123456789" * 10 + "...",
+    "12345678\r\n" * 11: "12345678  " * 10 + "...",
+    "\U0001f600" * 101: "\U0001f600" * 100 + "...",
+}
+
+
+def test_previews(spark):
+    df = spark.createDataFrame([(t,) for t in PREVIEWS], "t string")
+    assert {r["t"]: r["p"] for r in df.select("t", tx.preview(F.col("t")).alias("p")).collect()} == PREVIEWS
 
 
 def test_white_space_set_is_pythons():
