@@ -43,6 +43,7 @@ CROWD = 32
 # Classes of one block, and the standard errors by which a sketch must miss to rule a pair out.
 BLOCK = 256
 ERRORS = 5
+BLOCK_SHINGLES = 1 << 20  # of all classes of a block together
 
 
 def words_of(text: str) -> list[bytes]:
@@ -325,36 +326,55 @@ def likeness_of_blocks(left: list[np.ndarray], right: list[np.ndarray]) -> np.nd
     return both / np.maximum(below_l + below_r - both, 1)
 
 
-def pairs_in_blocks(rows: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """``a``, ``b``: pairs of different ``_root`` under one ``_key`` that the sketches don't rule out.
+def in_blocks(rows: DataFrame, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``rows`` (``_key``, ``_set``, ``_root``, ``_n``, ..) for every meeting of two blocks of a key.
 
-    ``rows``: ``_key``, ``_set``, ``_root``, ``_bands``, ``_n``, ``_sketch``. Every class
-    of a key is in one block of about ``block`` classes, the key's most common root in
-    blocks of its own, which needn't meet each other; every other pair of blocks meets
-    in one group, keyed by (key, block, block). A pair that shares several keys is
-    listed under the first of them.
+    Every class of a key is in one block (``_own``) of about ``block`` classes and
+    ``shingles`` shingles, the key's most common root in blocks of its own, which needn't meet each
+    other; every other pair of blocks meets in one group (``_key``, ``_lo``, ``_hi``).
     """
-    by_root = rows.groupBy("_key", "_root").agg(F.count("*").alias("_c"))
-    plan = by_root.groupBy("_key").agg(F.max_by("_root", F.struct("_c", "_root")).alias("_main"), F.max("_c").alias("_most"), F.sum("_c").alias("_all"))
-    small, large = F.ceil((F.col("_all") - F.col("_most")) / block), F.ceil(F.col("_most") / block)
-    here = F.pmod(F.xxhash64(F.lit(1), "_set"), F.when(F.col("_root") == F.col("_main"), large).otherwise(small))
+    by_root = rows.groupBy("_key", "_root").agg(F.count("*").alias("_c"), F.sum("_n").alias("_s"))
+    most = F.max_by(F.struct("_root", "_c", "_s"), F.struct("_c", "_root"))
+    plan = by_root.groupBy("_key").agg(most.alias("_m"), F.sum("_c").alias("_all"), F.sum("_s").alias("_size"))
+
+    def blocks(count: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(count / block), F.ceil(size / shingles))
+
+    large = blocks(F.col("_m._c"), F.col("_m._s"))
+    small = blocks(F.col("_all") - F.col("_m._c"), F.col("_size") - F.col("_m._s"))
+    plan = plan.select("_key", F.col("_m._root").alias("_main"), large.alias("_large"), small.alias("_small"))
     main = F.col("_root") == F.col("_main")
-    meets = F.when(main, F.sequence(F.lit(0).cast("bigint"), small - 1)).otherwise(
-        F.sequence(F.lit(0).cast("bigint"), small + large - 1)
+    here = F.pmod(F.xxhash64(F.lit(1), "_set"), F.when(main, F.col("_large")).otherwise(F.col("_small")))
+    zero = F.lit(0).cast("bigint")
+    meets = F.when(main, F.sequence(zero, F.col("_small") - 1)).otherwise(
+        F.sequence(zero, F.col("_small") + F.col("_large") - 1)
     )
-    sent = (
+    return (
         rows.join(plan, "_key")
-        .withColumn("_own", F.when(main, here + small).otherwise(here))
+        .withColumn("_own", F.when(main, here + F.col("_small")).otherwise(here))
         .withColumn("_other", F.explode(meets))
-        .select("_key", "_own", "_set", "_root", "_bands", "_n", "_sketch",
-                F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"))
-    )
+        .withColumn("_lo", F.least("_own", "_other"))
+        .withColumn("_hi", F.greatest("_own", "_other"))
+        .drop("_main", "_large", "_small", "_other")
+    )
+
+
+def still_open(meetings: DataFrame, similarity: float) -> DataFrame:
+    """``_key``, ``_lo``, ``_hi``, ``_own``, ``_set``, ``_root`` of the classes that, by the sketches, may be
+    linked with one of another root in their meeting.
+
+    ``meetings``: ``in_blocks`` with ``_bands`` and ``_sketch``. A pair that shares several
+    keys counts under the first of them. What comes out is some of what went in, however
+    many pairs are alike.
+    """
+    kind = "_key bigint, _lo bigint, _hi bigint, _own bigint, _set bigint, _root bigint"
+    names = [c.split()[0] for c in kind.split(", ")]
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         lo, hi = group["_lo"].iloc[0], group["_hi"].iloc[0]
         left, right = group[group["_own"] == lo], group[group["_own"] == hi]
         if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            return group[names].iloc[:0]
         sets = [side["_set"].to_numpy(np.int64) for side in (left, right)]
         roots = [side["_root"].to_numpy(np.int64) for side in (left, right)]
         sizes = [side["_n"].to_numpy(np.int64) for side in (left, right)]
@@ -367,9 +387,69 @@ def pairs_in_blocks(rows: DataFrame, similarity: float, block: int = BLOCK) -> D
         for k in range(at):
             open_pairs &= bands[0][:, k][:, None] != bands[1][:, k]
         open_pairs &= likeness_of_blocks(left["_sketch"].to_list(), right["_sketch"].to_list()) >= floor_of(similarity)
-        i, j = np.nonzero(open_pairs)
-        return pd.DataFrame({"a": np.minimum(sets[0][i], sets[1][j]), "b": np.maximum(sets[0][i], sets[1][j])})
+        i, j = open_pairs.any(axis=1), open_pairs.any(axis=0)
+        if lo == hi:
+            return left.loc[i | j, names]
+        return pd.concat([left.loc[i, names], right.loc[j, names]])
+
+    return meetings.groupBy("_key", "_lo", "_hi").applyInPandas(meet, kind)
+
+
+def likeness_of_sets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Jaccard likeness of every pair ``[left, right]`` of sets, none of them empty, exactly."""
+    sides = [(np.concatenate(side), np.repeat(np.arange(len(side)), [len(s) for s in side])) for side in (left, right)]
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    if left is right:
+        values, counts = np.unique(sides[0][0], return_counts=True)
+        common = values[counts > 1]  # what one set alone has is common to no pair
+    both = np.zeros((len(left), len(right)))
+    for lo in range(0, len(common), 4096):
+        part, ones = common[lo : lo + 4096], []
+        for (values, rows), side in zip(sides, (left, right), strict=True):
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            grid = np.zeros((len(side), len(part)), np.float32)
+            grid[rows[hit], at[hit]] = 1
+            ones.append(grid)
+        both += ones[0] @ ones[1].T
+    sizes = [np.array([len(s) for s in side]) for side in (left, right)]
+    return both / (sizes[0][:, None] + sizes[1][None, :] - both)
+
+
+def links_in_blocks(open_rows: DataFrame, wholes: DataFrame, similarity: float) -> DataFrame:
+    """``a``, ``b``: links of classes decided on their whole sets, of every meeting those that connect.
 
+    A meeting puts out a forest over its roots: at most one link less than it has classes,
+    however many of its pairs are alike.
+    """
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = group["_lo"].iloc[0], group["_hi"].iloc[0]
+        left, right = group[group["_own"] == lo], group[group["_own"] == hi]
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sets = [left["_whole"].to_list()]
+        sets.append(sets[0] if lo == hi else right["_whole"].to_list())
+        i, j = np.nonzero(likeness_of_sets(*sets) >= similarity)
+        names = [side["_set"].to_numpy(np.int64).tolist() for side in (left, right)]
+        roots = [side["_root"].to_numpy(np.int64).tolist() for side in (left, right)]
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        out = []
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = top(roots[0][x]), top(roots[1][y])
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                out.append((names[0][x], names[1][y]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    sent = open_rows.join(wholes.select("_set", "_whole"), "_set")
     return sent.groupBy("_key", "_lo", "_hi").applyInPandas(meet, "a bigint, b bigint")
 
 
@@ -446,9 +526,9 @@ def near_classes(
         .join(first, ["a", "b"], "left_anti")
     )
     many = still.filter(F.col("_met") > crowd).join(classes.select("_set", "_bands"), "_set").join(sketches, "_set")
-    blocks = pairs_in_blocks(materialize(many.drop("_met")), similarity)
-    more = verified(materialize(sketched(pairs).union(blocks)))
-    ends = components(links.union(more))
+    open_rows = materialize(still_open(in_blocks(materialize(many.drop("_met"))), similarity))
+    blocks = links_in_blocks(open_rows, wholes, similarity)
+    ends = components(links.union(verified(sketched(pairs))).union(materialize(blocks)))
     named = classes.select("_set").join(ends, F.col("_set") == F.col("node"), "left")
     return signed, materialize(named.select("_set", F.coalesce("root", "_set").alias("_root")))
 
@@ -469,8 +549,8 @@ def near_duplicates(
     one set of shingles are one class, so copies are never paired. Each class is
     compared with the smallest under each of its band keys; then all pairs that share
     a key and are not connected yet, under keys with more than ``crowd`` classes in
-    blocks. Sketches rule out what is ERRORS standard errors below; every other
-    pair is decided on the whole sets. Null and empty texts are one class. Ids are
+    blocks that put out no more links than they have classes. Sketches rule out what is
+    ERRORS standard errors below; every other pair is decided on the whole sets. Null and empty texts are one class. Ids are
     whole numbers; every row has the answer of its own text, also among repeated and
     null ids; an empty table gives an empty result.
     """

@@ -68,19 +68,45 @@ def test_variants_of_one_text_are_one_group(spark, variants):
     assert spark_groups(spark, rows) == want
 
 
-def test_pairs_in_blocks_are_all_pairs(spark):
-    # no hub joins these: two families under one crowded key, and blocks smaller than it
+@pytest.mark.parametrize("block,shingles", [(8, 1 << 20), (256, 900), (256, 1 << 20)])
+def test_blocks_connect_what_all_pairs_connect(spark, block, shingles):
+    # no hub joins these: three roots under one crowded key, and blocks smaller than it
     rng = random.Random(5)
-    words = prose(rng, 400)
-    texts = [" ".join(changed(rng, words, rng.sample(range(5, 395, 5), 5))) for _ in range(70)]
+    words = prose(rng, 200)
+    texts = [" ".join(changed(rng, words, rng.sample(range(5, 195, 5), rng.randrange(1, 9)))) for _ in range(70)]
+    texts += [" ".join(prose(rng, rng.randrange(3, 60))) for _ in range(5)]
     parts = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
     made = [
-        (77, i, i % 3, [77] + [1000 * k + i for k in range(1, simhash.BANDS)], len(p), simhash.least_of(p).tolist())
+        (77, i, i if i % 3 else 0, [77] + [1000 * k + i for k in range(1, simhash.BANDS)], len(p), simhash.least_of(p).tolist())
         for i, p in enumerate(parts)
     ]
     kinds = "_key bigint, _set bigint, _root bigint, _bands array<bigint>, _n int, _sketch array<int>"
-    got = simhash.pairs_in_blocks(spark.createDataFrame(made, kinds), 0.0, block=8).collect()
-    assert sorted(map(tuple, got)) == [(i, j) for i in range(70) for j in range(i + 1, 70) if i % 3 != j % 3]
+    wholes = spark.createDataFrame([(i, p.view(np.int64).tolist()) for i, p in enumerate(parts)], "_set bigint, _whole array<bigint>")
+    meetings = simhash.in_blocks(spark.createDataFrame(made, kinds), block, shingles)
+    assert meetings.filter("_own <> _lo AND _own <> _hi").count() == 0
+    for similarity in (0.6, 0.8):
+        still = simhash.still_open(meetings, similarity)
+        links = simhash.links_in_blocks(still, wholes, similarity).collect()
+        like = simhash.likeness_of_sets(parts, parts)
+        alone = simhash.likeness_of_sets(parts, list(parts))
+        for i in range(75):
+            for j in range(75):
+                met = len(np.intersect1d(parts[i], parts[j]))
+                assert alone[i, j] == met / (len(parts[i]) + len(parts[j]) - met)
+                assert i == j or like[i, j] == alone[i, j]
+        assert all(alone[r["a"], r["b"]] >= similarity for r in links)
+
+        def groups(pairs):
+            up = [r[2] for r in made]
+            for a, b in pairs:
+                up = [up[a] if x == up[b] else x for x in up]
+            return [up.index(x) for x in up]
+
+        want = groups([(i, j) for i in range(75) for j in range(75) if alone[i, j] >= similarity])
+        assert groups([(r["a"], r["b"]) for r in links]) == want
+        # a forest per meeting, of its roots
+        n = meetings.groupBy("_lo", "_hi").count().count()
+        assert len(links) <= n * (min(2 * block, 75) - 1)
 
 
 def test_links_are_decided_on_whole_sets(spark):
