@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from signpost.llm.shipping import ship_code
+from signpost.llm.slices import slices
+from signpost.llm.worker import give_back
 from signpost.session import materialize
 
 WIDTH = 100
@@ -46,7 +48,8 @@ GRAM = 32
 SPAN = WIDTH - GRAM  # bytes before an anchor that strings over it can begin
 PARTS_PER_TASK = 8  # parts of the hash range for every shuffle partition
 SLICE = 1 << 20
-ROWS = 1000  # texts of a batch held as Python objects at once
+BATCH_BYTES = 4 << 20  # of texts whose anchors a task holds at once
+ZIPPED_BYTES = 1 << 20  # of compressed texts whose suffixes a task holds at once
 CROWD = 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _OTHER_BASE = 0xD6E8FEB86659FD93 | 1
@@ -209,16 +212,17 @@ _RUN = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("id", pa.int64())
 _FOUND = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("body", pa.binary())])
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches by the bytes of a column, a longer value alone."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
+        yield from slices(batch, column, size)
+        give_back()
 
 
 def gram_runs(batches: Iterator[pa.RecordBatch], bits: int = 8) -> Iterator[pa.RecordBatch]:
     """Per batch of texts and part of the hash range: the sorted grams met once (kind 0,
     with a mark for those met twice); per text: its grams met twice (kind 1)."""
-    for batch in sliced(batches, 4 * ROWS):
+    for batch in sliced(batches, 2, BATCH_BYTES):
         ids, ties, texts = (batch.column(i) for i in range(3))
         ids, ties = ids.to_numpy(), ties.to_numpy()
         which, place, grams = anchors_of(texts)
@@ -248,19 +252,24 @@ def gram_runs(batches: Iterator[pa.RecordBatch], bits: int = 8) -> Iterator[pa.R
 
 
 def repeated_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of grams that repeat, per text, from all runs of the partition's parts."""
-    runs: dict[int, list[list[np.ndarray]]] = {}
+    """Places of grams that repeat, per text, from all runs of the partition's parts.
+
+    Runs stay packed until the turn of their part.
+    """
+    runs: dict[int, list[bytes]] = {}
     for batch in batches:
         known = []
         for row in batch.to_pylist():
             if row["kind"]:
                 known.append((row["id"], row["tie"], row["body"]))
             else:
-                runs.setdefault(row["part"], []).append(unpack(row["body"]))
+                runs.setdefault(row["part"], []).append(row["body"])
         if known:
             yield record(_FOUND, known)
     for part in list(runs):
-        grams, place, ids, ties = (np.concatenate(c) for c in zip(*runs.pop(part), strict=True))
+        opened = [unpack(body) for body in runs.pop(part)]
+        grams, place, ids, ties = (np.concatenate(c) for c in zip(*opened, strict=True))
+        del opened
         order = np.argsort(grams, kind="stable")
         grams = grams[order]
         same = grams[1:] == grams[:-1]
@@ -274,6 +283,7 @@ def repeated_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         ]
         if rows:
             yield record(_FOUND, rows)
+        give_back()
 
 
 # ---- pass 2: sorted, front-coded runs of suffixes ----------------------------------
@@ -345,7 +355,7 @@ def suffix_runs(batches: Iterator[pa.RecordBatch], bits: int = 8) -> Iterator[pa
     """Texts with their repeated grams to runs per part (kind 0) and ranges that the
     batch itself shows to be repeats (kind 1)."""
     unzip = zstandard.ZstdDecompressor()
-    for batch in sliced(batches, 2 * ROWS):
+    for batch in sliced(batches, 2, ZIPPED_BYTES):
         entries = []
         for row in batch.to_pylist():
             text = unzip.decompress(row["z"])
@@ -549,6 +559,7 @@ def repeats(batches: Iterator[pa.RecordBatch], crowd: int = CROWD) -> Iterator[p
             found += shared_strings(waiting)
         if found:
             yield record(_OUT, found)
+        give_back()
 
 
 # ---- the operator -------------------------------------------------------------------
@@ -644,7 +655,7 @@ def without_repeats(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        for batch in sliced(batches, ROWS):
+        for batch in sliced(batches, 1, ZIPPED_BYTES):
             out = []
             for i, z, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 text = unzip.decompress(z)
