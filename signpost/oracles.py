@@ -6,9 +6,6 @@ definition the Spark plans are checked against, on a small scale.
 
 from __future__ import annotations
 
-from signpost.operators.costs import DEFAULT_PRICE, MODELS
-from signpost.operators.inference import REPLY_LIST, REPLY_OBJECT
-from signpost.operators.runs import METRIC_CATEGORIES, OTHER_CATEGORY
 from signpost.queries import (
     _COMPARED,
     _RATES,
@@ -26,6 +23,23 @@ from signpost.queries import (
 )
 
 DIMS = 256
+# Fixed values, stated here again and not taken from the operators: prices per 1000 tokens (others
+# cost the default), the two forms of a reply, and the metrics that are not performance.
+PRICES = {
+    "text-embedding-3-small": 0.00002,
+    "text-embedding-3-large": 0.00013,
+    "text-embedding-ada-002": 0.0001,
+    "sentence-transformers/all-MiniLM-L6-v2": 0.0,
+    "sentence-transformers/all-mpnet-base-v2": 0.0,
+}
+DEFAULT_PRICE = 0.00002
+REPLY_OBJECT = r'\{"article_id":\s*\d+,\s*"category":\s*"[^"]+"\}'
+REPLY_LIST = r'(?s)(\{.*"classifications".*\})'
+_CATEGORY_RULE = """CASE WHEN metric LIKE '%\\_macro' ESCAPE '\\' OR metric LIKE '%\\_weighted' ESCAPE '\\'
+    OR metric LIKE 'classification\\_report%' ESCAPE '\\' THEN 'classification_metrics'
+  WHEN contains(metric, 'latency') THEN 'latency_metrics'
+  WHEN contains(metric, 'cost') OR contains(metric, 'tokens') THEN 'cost_metrics'
+  ELSE 'performance_metrics' END"""
 # white space as a class of DuckDB's expression engine
 WS = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -376,7 +390,7 @@ FROM batches b JOIN answers a USING (batch_id)"""
 
 # -- cost ------------------------------------------------------------------------
 
-_PRICES = ", ".join(f"('{m}', CAST({p} AS DOUBLE))" for m, _, _, p in MODELS)
+_PRICES = ", ".join(f"('{m}', CAST({p} AS DOUBLE))" for m, p in PRICES.items())
 _SOURCE_MODELS = "[" + ", ".join(f"'{m}'" for m in SOURCE_MODELS) + "]"
 SQL["embedding_cost"] = f"""
 WITH prices(model, price) AS (VALUES {_PRICES}),
@@ -443,14 +457,10 @@ _ROUNDED = ", ".join(
 )
 SQL["batch_metrics"] = f"WITH {_EVENT_BATCHES} SELECT * REPLACE ({_ROUNDED}) FROM metrics"
 
-_CATEGORY = " ".join(
-    f"WHEN metric IN ({', '.join(_text(n) for n in names)}) THEN '{category}'"
-    for category, names in METRIC_CATEGORIES.items()
-)
 SQL["metric_categories"] = f"""
 WITH {_EVENT_BATCHES},
 doubles AS (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM metrics)
-SELECT CASE {_CATEGORY} ELSE '{OTHER_CATEGORY}' END AS category, metric,
+SELECT {_CATEGORY_RULE} AS category, metric,
   round(value, 6) AS value
 FROM (UNPIVOT doubles ON COLUMNS(*) INTO NAME metric VALUE value)"""
 
@@ -501,7 +511,7 @@ SELECT round(COLUMNS(*), 9) FROM means"""
 
 _LONG_METRICS = f"""
 doubles AS (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM one)
-SELECT CASE {_CATEGORY} ELSE '{OTHER_CATEGORY}' END AS category, metric,
+SELECT {_CATEGORY_RULE} AS category, metric,
   round(value, 9) AS value
 FROM (UNPIVOT doubles ON COLUMNS(*) INTO NAME metric VALUE value)"""
 
@@ -617,7 +627,7 @@ SELECT * FROM compared"""
 SQL["run_summary_rows"] = f"""
 WITH one AS {_event_side(1)}
 SELECT 'semantic' AS result_type, 'run' AS run_id, false AS has_classifications,
-  CASE {_CATEGORY} ELSE '{OTHER_CATEGORY}' END AS category, metric, round(value, 6) AS value
+  {_CATEGORY_RULE} AS category, metric, round(value, 6) AS value
 FROM (UNPIVOT one ON COLUMNS(*) INTO NAME metric VALUE value)"""
 
 _REPORT_ROWS = """
@@ -631,7 +641,7 @@ report_rows AS (SELECT 'classification_metrics' AS part, name, value FROM (
       ('weighted avg.recall', recall_weighted), ('weighted avg.f1-score', f1_weighted)) m(metric, value)))"""
 _STORED_METRICS = f"""
 doubles AS (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM one),
-stored AS (SELECT CASE {_CATEGORY} ELSE '{OTHER_CATEGORY}' END AS part, metric AS name, value
+stored AS (SELECT {_CATEGORY_RULE} AS part, metric AS name, value
   FROM (UNPIVOT doubles ON COLUMNS(*) INTO NAME metric VALUE value))"""
 _THRESHOLDS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in OVERRIDES.items())
 _OWN_THRESHOLD = f"CASE route {_THRESHOLDS} ELSE {THRESHOLD} END"
