@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from signpost.llm.exprs import hex64, let, positions, words
 from signpost.operators.ranking import top_n_per_group
+from signpost.session import materialize
 
 K = 128
 SHINGLE = 5
-# Keys sampled per range of ids.
+# Keys sampled per range, bytes of text a range is to hold, and how many ranges there are at most.
 SAMPLED = 32
+RANGE_BYTES = 4 << 20
+MAX_RANGES = 1 << 16
 
 
 def shingle_hashes(text: Column, width: int = SHINGLE) -> Column:
@@ -104,28 +107,33 @@ def fingerprint(a: Column) -> Column:
     return F.array_join(F.transform(a, hex64), "")
 
 
-def _bucket(bounds: list[int], value: Column) -> Column:
-    """How many of the ``2 ** s - 1`` sorted bounds are at most ``value``, by halving."""
-    table = F.lit(bounds)
-    step, steps = (len(bounds) + 1) // 2, []
-    while step:
-        steps.append(step)
-        step //= 2
-    return F.aggregate(
-        F.lit(steps),
-        F.lit(0),
-        lambda at, s: F.when(F.get(table, at + s - 1) <= value, at + s).otherwise(at),
-    )
+def _bucket(bounds: Column, most: int, value: Column) -> Column:
+    """How many of the sorted bounds, at most ``most``, are at most ``value``, by halving."""
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        upper = F.struct((mid + 1).alias("lo"), at["hi"].alias("hi"))
+        lower = F.struct(at["lo"].alias("lo"), mid.alias("hi"))
+        return F.when(at["lo"] >= at["hi"], at).when(F.get(bounds, mid) <= value, upper).otherwise(lower)
+
+    whole = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most.bit_length() + 1)), whole, halve, lambda at: at["lo"])
+
+
+def range_count(size: int) -> int:
+    """Ranges for ``size`` bytes of text: one per RANGE_BYTES, at least 64 and at most MAX_RANGES."""
+    return min(MAX_RANGES, max(64, 1 << (size // RANGE_BYTES).bit_length()))
 
 
 def with_next(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bits: int = 8
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None
 ) -> DataFrame:
-    """``_b`` (bucket), ``_end``, ``_id``, ``_tie``, ``text``, ``next_text`` in descending id order.
+    """``_b`` (range), ``_end``, ``_id``, ``_tie``, ``text``, ``next_text`` in descending id order.
 
     The row after the last is the first. Rows without an id come last; rows with one
-    id follow each other by a hash of their text. No window runs over all rows: ids
-    are cut into ``2 ** bucket_bits`` ranges of about equal size, each is ordered on
+    id follow each other by a hash of their text. No window runs over all rows: (id,
+    hash) is cut into ranges of about equal numbers of rows, as many as the bytes of the texts ask
+    for, so that an id which very many rows share is cut too. Each range is ordered on
     its own, and the first row of a range is added at the end of the range before it
     (``_end`` true, ``next_text`` null), so that every text moves once.
     """
@@ -133,33 +141,38 @@ def with_next(
         F.col(id_col).alias("_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).withColumn("_tie", F.xxhash64("text"))
-    key = F.coalesce(F.col("_id").cast("bigint"), F.lit(-(2**63)))
-    n = 1 << bucket_bits
-    # as a range exchange does: cut points from a bounded sample of keys; they steer
-    # the sizes of the ranges and no result
-    step = max(1, rows.count() // (SAMPLED * n))
-    drawn = rows.select(key.alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(step)) == 0)
-    keys = sorted(r["k"] for r in drawn.collect()) or [0]
-    bounds = [keys[len(keys) * i // n] for i in range(1, n)]
-    rows = rows.withColumn("_b", _bucket(bounds, key)).withColumn("_end", F.lit(False))
-    # the first row of every range: at most one per range
-    tops = (
-        rows.groupBy("_b")
-        .agg(F.max(F.struct(key.alias("k"), F.col("_tie").alias("t"))).alias("m"))
-        .collect()
+    key = F.struct(
+        F.coalesce(F.col("_id").cast("bigint"), F.lit(-(2**63))).alias("k"), F.col("_tie").alias("t")
     )
-    order = sorted((r["_b"] for r in tops), reverse=True)
-    # the range whose end the first row of range b is added to: the one before it in descending order
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    firsts = df.sparkSession.createDataFrame(
-        [(r["_b"], before[r["_b"]], r["m"]["k"], r["m"]["t"]) for r in tops],
-        "_fb int, _to int, _fk bigint, _ft bigint",
-    ).coalesce(1)
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("s")).first()
+    n = ranges or range_count(total["s"])
+    # as a range exchange does: cut points from a sample of different keys, about SAMPLED per
+    # range; they steer the sizes of the ranges and no result
+    step = max(1, total["n"] // (SAMPLED * n))
+    drawn = rows.select(key.alias("_key")).filter(F.pmod(F.xxhash64("_key"), F.lit(step)) == 0).distinct()
+    place = F.row_number().over(Window.orderBy("_key")) - 1
+    every = F.count("*").over(Window.partitionBy())
+    cut = F.floor(F.col("_at") * n / F.col("_all"))
+    bounds = materialize(
+        drawn.withColumn("_at", place)
+        .withColumn("_all", every)
+        .filter((F.col("_at") > 0) & (cut > F.floor((F.col("_at") - 1) * n / F.col("_all"))))
+        .agg(F.sort_array(F.collect_list("_key")).alias("_bounds"))
+    )
+    rows = (
+        rows.withColumn("_bounds", bounds.scalar())
+        .withColumn("_b", _bucket(F.col("_bounds"), n, key))
+        .drop("_bounds")
+        .withColumn("_end", F.lit(False))
+    )
+    # the first row of every range is added to the end of the one before it in descending
+    # order, the one of the highest to the lowest: a row per range
+    tops = materialize(rows.groupBy("_b").agg(F.max(key).alias("_top")))
+    above = F.lead("_b").over(Window.orderBy("_b"))
+    lowest = F.min("_b").over(Window.partitionBy())
+    firsts = tops.select(F.col("_b").alias("_fb"), "_top", F.coalesce(above, lowest).alias("_to"))
     ends = (
-        rows.join(
-            F.broadcast(firsts),
-            (F.col("_b") == F.col("_fb")) & (key == F.col("_fk")) & (F.col("_tie") == F.col("_ft")),
-        )
+        rows.join(F.broadcast(firsts), (F.col("_b") == F.col("_fb")) & (key == F.col("_top")))
         .select("_id", "text", "_tie", F.col("_to").alias("_b"), F.lit(True).alias("_end"))
         .dropDuplicates(["_b"])
     )
@@ -176,7 +189,7 @@ def descending():
 
 
 def edited_likeness(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, bucket_bits: int = 8
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, ranges: int | None = None
 ) -> DataFrame:
     """Sketches of every text and of its edited form, with their likeness.
 
@@ -185,7 +198,7 @@ def edited_likeness(
     near_edited, near_next. Null texts count as empty; two texts without a word are
     alike (1.0). Columns other than id and text are not looked at.
     """
-    rows = with_next(df, id_col, text_col, bucket_bits).withColumn("n_chars", F.length("text"))
+    rows = with_next(df, id_col, text_col, ranges).withColumn("n_chars", F.length("text"))
     third = F.call_function("div", F.col("n_chars"), F.lit(3)).cast("int")
     edited = F.concat(
         F.substring("text", F.lit(1), F.col("n_chars") - third),

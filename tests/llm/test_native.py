@@ -130,7 +130,7 @@ def shingles(text, n=5):
 
 def test_next_documents_and_likeness(spark, documents):
     for df, bits in ((documents, 8), (documents, 1), (frame(spark, HOSTILE), 3), (frame(spark, ["solo one two"]), 8)):
-        rows = sketches.edited_likeness(df, bucket_bits=bits).collect()
+        rows = sketches.edited_likeness(df, ranges=1 << bits).collect()
         texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
         assert len(rows) == len(texts)
         order = sorted(texts, reverse=True)
@@ -148,6 +148,24 @@ def test_next_documents_and_likeness(spark, documents):
                     assert abs(true - near) < 1e-9
 
 
+def test_next_documents_of_a_hot_id(spark):
+    """A third of the rows share an id, others have none: they follow each other by a hash of their text."""
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i} of {i % 5} words {i * i}") for i in range(90)]
+    df = frame(spark, rows)
+    keyed = df.select("doc_id", "text", F.xxhash64("text").alias("t")).collect()
+    order = sorted(keyed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["t"]), reverse=True)
+    after = {r["text"]: order[(k + 1) % len(order)]["text"] for k, r in enumerate(order)}
+    for ranges in (1, 4, 64):
+        got = sketches.with_next(df, ranges=ranges).filter("NOT _end").collect()
+        assert {r["text"]: r["next_text"] for r in got} == after
+        # the rows of the hot id lie in several ranges
+        assert len({r["_b"] for r in got if r["_id"] == 7}) >= min(ranges, 2)
+
+
+def test_ranges_follow_the_bytes():
+    assert [sketches.range_count(n) for n in (0, 1 << 30, 10 << 30, 1 << 60)] == [64, 512, 4096, sketches.MAX_RANGES]
+
+
 def test_sketch_estimates_and_merge(spark, documents):
     k = sketches.sketch(F.col("text"))
     rows = documents.select("text", k.alias("sketch"), sketches.distinct_count(k).alias("n"), sketches.containment(k, k).alias("c")).collect()
