@@ -188,7 +188,8 @@ def drawn_slots(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS, se
                 yield pd.DataFrame({"_k": k, "shard": shard, "slot": slot, "_block": block_no})
 
     kinds = "_k bigint, _blocks bigint, shard int, _lo bigint, _hi bigint"
-    chunks = plan.mapInPandas(shares, kinds).repartition(shards, "_k", "shard")
+    # chunks of bounded size over all tasks of a shuffle, which follow the cluster's size
+    chunks = plan.mapInPandas(shares, kinds).repartition("_k", "shard", "_lo")
     return chunks.mapInPandas(slots, "_k bigint, shard int, slot bigint, _block bigint")
 
 
@@ -233,7 +234,8 @@ def mix_words(
     times = drawn_slots(sources, block, shards, seed).groupBy("_k", "_block").agg(F.count("*").alias("_times"))
     taken = (
         pieces(located, block)
-        .join(times, ["_k", "_block"])
+        # as many rows as there are blocks: merged, never held whole by a task
+        .join(times.hint("shuffle_merge"), ["_k", "_block"])
         .groupBy("_row")
         .agg(F.sum(F.col("_n") * F.col("_times")).alias("_taken"))
     )
