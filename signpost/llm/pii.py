@@ -155,7 +155,9 @@ def _entity(text: Column, span: Column) -> Column:
 def _terms(text: Column, spans: Column) -> Column:
     """The different runs of letters outside the spans, lower-cased."""
     blank = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(" ").alias("mask")))
-    return F.array_distinct(F.regexp_extract_all(F.lower(masked(text, blank)), F.lit(LETTERS), F.lit(0)))
+    runs = F.regexp_extract_all(masked(text, blank), F.lit(LETTERS), F.lit(0))
+    # each run by itself: a letter's lower case may hold marks that are no letters
+    return F.array_distinct(F.transform(runs, F.lower))
 
 
 def _ties(df: DataFrame, text_col: str) -> DataFrame:
@@ -175,7 +177,7 @@ def term_counts(
     texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
 
     def spread(rows: DataFrame, *keep: str) -> DataFrame:
-        terms = F.array_distinct(F.split(F.lower("_t"), r"\P{L}+"))
+        terms = F.array_distinct(F.transform(F.split("_t", r"\P{L}+"), F.lower))
         return rows.select(*keep, F.explode(terms).alias("term")).filter(F.length("term") >= min_letters)
 
     every = spread(texts).groupBy("term").agg(F.count("*").alias("n"))
@@ -213,11 +215,13 @@ def disclosures(
     # an entity met in one text only has no company to judge by
     entity_n = entities.groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= min_together)
     known = materialize(entities.join(entity_n, "entity"))
-    company = known.join(held.select("_tie", "_terms"), "_tie")
-    pairs = materialize(
-        company.select("entity", "n_c", F.explode("_terms").alias("term"))
+    company = (
+        known.join(held.select("_tie", "_terms"), "_tie")
+        .select("_tie", "entity", "n_c", F.explode("_terms").alias("term"))
         .filter(F.length("term") >= min_letters)
-        .groupBy("entity", "n_c", "term")
+    )
+    pairs = materialize(
+        company.groupBy("entity", "n_c", "term")
         .agg(F.count("*").alias("n_ct"))
         .filter(F.col("n_ct") >= min_together)
     )
@@ -233,12 +237,10 @@ def disclosures(
         .filter(F.col("ratio") >= generalise_at)
         .select("entity", "term", "ratio")
     )
-    listed = materialize(telling.groupBy("entity").agg(F.collect_list(F.struct("term", "ratio")).alias("_told")))
-    told = known.select("_tie", "entity").join(listed, "entity").join(held.select("_tie", "_terms"), "_tie")
-    present = F.filter("_told", lambda x: F.array_contains(F.col("_terms"), x["term"]))
+    # met by (entity, term), whatever the number of terms an entity has or of texts that hold it
     return (
-        told.select("_tie", F.explode(present).alias("t"))
-        .select("_tie", "t.term", "t.ratio")
+        company.join(materialize(telling), ["entity", "term"])
+        .select("_tie", "term", "ratio")
         .groupBy("_tie", "term")
         .agg(F.max("ratio").alias("ratio"))
         .withColumn("action", F.when(F.col("ratio") >= remove_at, "remove").otherwise("generalise"))
