@@ -28,7 +28,9 @@ def top_n_per_group(
 
     Two steps: the first ``n`` within (group, salt), then the first ``n`` of the
     at most ``salts * n`` survivors. Spark's window group limit prunes before
-    either shuffle, so a group holding most of the rows stays spread.
+    either shuffle, so a group holding most of the rows stays spread. The limit works up
+    to ``spark.sql.optimizer.windowGroupLimitThreshold`` rows (1,000); for a larger ``n`` in
+    seeded order ``first_rows`` moves less.
     """
     positive("n", n)
     positive("salts", salts)
