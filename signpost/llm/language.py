@@ -23,10 +23,11 @@ from pyspark.sql.functions import pandas_udf
 from signpost.llm.shipping import ship_code
 from signpost.llm.worker import held
 from signpost.operators.ranking import top_n_per_group
+from signpost.session import materialize
 
 BLOCK = 256
-SAMPLE_ROWS = 64
-SAMPLE_CHARS = 24_000
+SAMPLE_ROWS = 64  # texts per language
+SAMPLE_CHARS = 24_000  # characters per language, an equal part of each text
 GAP = 1  # the symbol of everything that is no letter, once between words
 UNKNOWN = "und"
 SLICE_CHARS = 1 << 20
@@ -182,7 +183,6 @@ def parser(samples: Mapping[str, str]) -> Parser:
 def fit(
     df: DataFrame,
     lang_col: str = "lang",
-    id_col: str = "doc_id",
     text_col: str = "text",
     rows: int = SAMPLE_ROWS,
     chars: int = SAMPLE_CHARS,
@@ -190,26 +190,25 @@ def fit(
 ) -> dict[str, str]:
     """Reference text per language from a bounded sample of labelled rows.
 
-    At most ``rows`` rows per language, picked by a hash of id and text among the
-    different texts, each giving an equal part of ``chars``. Rows without a language,
-    a text or a letter teach nothing. What reaches the driver is languages x ``chars``.
+    Per language at most ``rows`` different texts, picked by a hash of the text, give
+    ``chars // rows`` characters each, from their first letter on. Rows without a
+    language, a text or a letter teach nothing. Copies are one text. Hashes are folded
+    and cut before anything moves; the texts picked are then read by their hash. What
+    reaches the driver is languages x ``chars``.
     """
-    part = max(1, chars // rows * 4)
-    useful = (
-        df.select(
-            F.col(lang_col).alias("_lang"),
-            F.substring(F.col(text_col), 1, part).alias("_text"),
-            F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).alias("_h"),
-        )
-        .filter(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}"))
-    )
-    picked = top_n_per_group(useful, ["_lang"], [F.col("_h")], rows, rank_col="_at")
+    part = max(1, chars // rows)
+    useful = df.select(
+        F.col(lang_col).alias("_lang"),
+        F.xxhash64(F.lit(seed), F.col(text_col)).alias("_h"),
+        F.regexp_substr(F.col(text_col), F.lit(rf"(?s)\p{{L}}.{{0,{part - 1}}}")).alias("_text"),
+    ).filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull())
+    hashes = useful.select("_lang", "_h").distinct()
+    picked = materialize(top_n_per_group(hashes, ["_lang"], [F.col("_h")], rows, rank_col="_at"))
+    chosen = useful.join(picked, ["_lang", "_h"]).dropDuplicates(["_lang", "_h"])
     samples: dict[str, list[str]] = {}
-    for r in sorted(picked.select("_lang", "_at", "_text").collect(), key=lambda r: (r["_lang"], r["_at"])):
-        have = samples.setdefault(r["_lang"], [])
-        if r["_text"] not in have:
-            have.append(r["_text"])
-    return {k: "\n".join(v)[:chars] for k, v in samples.items()}
+    for r in sorted(chosen.select("_lang", "_at", "_text").collect(), key=lambda r: (r["_lang"], r["_at"])):
+        samples.setdefault(r["_lang"], []).append(r["_text"])
+    return {k: "\n".join(v) for k, v in samples.items()}
 
 
 def identify(
