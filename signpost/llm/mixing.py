@@ -188,8 +188,10 @@ def drawn_slots(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS, se
                 yield pd.DataFrame({"_k": k, "shard": shard, "slot": slot, "_block": block_no})
 
     kinds = "_k bigint, _blocks bigint, shard int, _lo bigint, _hi bigint"
-    # chunks of bounded size over all tasks of a shuffle, which follow the cluster's size
-    chunks = plan.mapInPandas(shares, kinds).repartition("_k", "shard", "_lo")
+    # chunks of bounded size over as many tasks as a shuffle has; the number is named, since rows
+    # this few would be put together into one task, and each makes up to CHUNK others
+    tasks = max(shards, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    chunks = plan.mapInPandas(shares, kinds).repartition(tasks, "_k", "shard", "_lo")
     return chunks.mapInPandas(slots, "_k bigint, shard int, slot bigint, _block bigint")
 
 
