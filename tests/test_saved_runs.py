@@ -224,24 +224,22 @@ def test_catalogue_opens_only_what_is_asked_for(spark, articles, stored_routes,
 
 
 def test_a_stream_keeps_the_routes_it_began_with(spark, articles, stored_routes, tmp_path):
-    """Routes are replaced between two batches of a stream; it goes on with the old ones."""
+    """Routes are replaced while a stream runs, between its batches and between its starts."""
     source, sink = str(tmp_path / "in"), str(tmp_path / "out")
-    rows = articles.filter("text IS NOT NULL").withColumnRenamed("doc_id", "article_id").repartition(1)
-    rows.filter("article_id < 20").write.parquet(source)
+    rows = articles.filter("text IS NOT NULL").withColumnRenamed("doc_id", "article_id")
+    rows.filter("article_id < 20").repartition(5).write.parquet(source)
     old = rs.load_routes(spark, stored_routes)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-
-    def go():
-        query = route_stream(stream, old, CLASSES, sink, str(tmp_path / "state"), dims=32)
-        query.awaitTermination()
-
-    go()
+    query = route_stream(stream, old, CLASSES, sink, str(tmp_path / "state"), dims=32)
     # the names of the two routes change places
     swapped = old.withColumn("route", F.when(F.col("route") == "a", "b").otherwise("a"))
     first = rs.current_version(spark, stored_routes)
     rs.save_routes(swapped, stored_routes)
-    rows.filter("article_id >= 20").write.mode("append").parquet(source)
-    go()
+    during = query.isActive
+    query.awaitTermination()
+    rows.filter("article_id >= 20").repartition(1).write.mode("append").parquet(source)
+    route_stream(stream, old, CLASSES, sink, str(tmp_path / "state"), dims=32).awaitTermination()
+    assert during and len(os.listdir(sink)) == 6
     got = spark.read.parquet(sink)
     assert got.count() == 32 and got.filter("prediction <> lang").count() == 0
     new = rs.load_routes(spark, stored_routes)
