@@ -151,7 +151,7 @@ def test_next_documents_and_likeness(spark, documents):
 def test_next_documents_of_a_hot_id(spark):
     """A third of the rows share an id, others have none: they follow each other by a hash of their text."""
     rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i} of {i % 5} words {i * i}") for i in range(90)]
-    df = frame(spark, rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
     keyed = df.select("doc_id", "text", F.xxhash64("text").alias("t")).collect()
     order = sorted(keyed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["t"]), reverse=True)
     after = {r["text"]: order[(k + 1) % len(order)]["text"] for k, r in enumerate(order)}
