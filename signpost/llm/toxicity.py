@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from signpost.llm.shipping import ship_code
-from signpost.llm.worker import held
+from signpost.llm.worker import give_back, held
 from signpost.operators.ranking import first_rows
 from signpost.session import materialize
 
@@ -46,7 +46,7 @@ FOLDS = 3
 SEGMENT, GRAM = 30, 6  # of zstandard's cover trainer
 LEVEL = 6
 FAR = (3, 4, 5)  # thresholds of distance, in bytes
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 TEXTS = 256  # scored at once
 FEATURES = 4 + len(FAR)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -306,5 +306,6 @@ def with_score(df: DataFrame, model: Model, text_col: str = "text", score_col: s
                 x = judge.features([t or "" for t in texts.iloc[lo : lo + TEXTS]])
                 parts.append(np.mean([score_of(x[k], p.weights) for k, p in enumerate(own.pairs)], axis=0))
             yield pd.Series(np.concatenate(parts))
+            give_back()
 
     return df.withColumn(score_col, score(F.col(text_col)))
