@@ -35,7 +35,7 @@ from signpost.operators.ranking import first_rows
 from signpost.session import materialize
 
 # The sample that a model is fitted on: labelled rows per label, and characters of each.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
 # Training: words of a window, windows per dictionary, bytes of the shared and of either side's dictionary.
 TRAIN_WORDS = 4
