@@ -94,13 +94,14 @@ def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
     terms = F.transform(
         "terms", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))
     )
-    counts = [
-        F.size(F.filter("base", lambda x, i=i: x["k"] == i)).cast("bigint").alias(f"n_{kind}")
-        for i, kind in enumerate(pii.KINDS)
-    ]
+
+    # a lambda of two arguments would get the place in the array as its second
+    def count(number: int):
+        return F.size(F.filter("base", lambda x: x["k"] == number)).cast("bigint")
+
     return found.select(
         "doc_id",
-        *counts,
+        *[count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)],
         F.sha2(pii.span_text(F.col("base"), names), 256).alias("base_sha256"),
         pii.span_text(F.sort_array(F.concat("base", terms)), names).alias("spans"),
     )

@@ -245,3 +245,19 @@ def test_digest_columns(spark, sf):
     row = queries.op4_pii(spark, sf).filter("n_email > 0").first()
     text = spark.read.parquet(f"{sf}/documents.parquet").filter(F.col("doc_id") == row["doc_id"]).first()["text"]
     assert row["base_sha256"] == brute.sha(brute.span_text(brute.pii_spans(text)))
+
+
+def test_counts_are_those_of_each_kind(spark, tmp_path):
+    texts = [
+        "+1 (677) 555-7033 twice +1 (677) 555-7034",
+        "10.0.0.1 then a@b.cd then c@d.ef",
+        "a@b.cd",
+        "4111 1111 1111 1111 then 10.0.0.1",
+        "nothing",
+        None,
+    ]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op4_pii(spark, str(tmp_path)).orderBy("doc_id").collect()
+    for row, text in zip(rows, texts, strict=True):
+        kinds = [s[1] for s in brute.pii_spans(text or "")]
+        assert [row[f"n_{kind}"] for kind in pii.KINDS] == [kinds.count(i) for i in range(4)]
