@@ -585,14 +585,16 @@ SQL["latest_run"] = f"WITH {_RUNS} SELECT result_type, run_id, modified_at FROM
 
 
 def _run_metrics(agg: str, price: float) -> str:
+    vectors = "count(*)" if agg == "min" else "count(DISTINCT route)"
     return f"""(WITH {_routed(agg)}, {_report()},
+latencies AS (SELECT {vectors} / 1e6::DOUBLE latency FROM refs),
 means AS (SELECT avg(precision) p, avg(recall) r, avg(f1) f,
   sum(f1 * support) / sum(support) fw FROM report),
 one AS (SELECT count(*) n, count(*) FILTER (WHERE lang = prediction) / count(*) acc,
   sum({_tokens("text")} / 1000.0 * {price}::DOUBLE) cost FROM routed)
 SELECT acc AS accuracy, f AS f1_macro, fw AS f1_weighted, p AS precision_macro,
-  r AS recall_macro, cost AS total_cost,
-  cost / n AS cost_per_article, CAST(1 AS DOUBLE) AS success_rate FROM one, means)"""
+  r AS recall_macro, n * latency AS total_latency, latency AS avg_latency_per_article, cost AS total_cost,
+  cost / n AS cost_per_article, CAST(1 AS DOUBLE) AS success_rate FROM one, means, latencies)"""
 
 
 def _compared(metrics: list[str], digits: int) -> str:
@@ -613,7 +615,7 @@ FROM r)"""
 
 SQL["run_comparison"] = f"""
 WITH b AS {_run_metrics("min", 0.00013)}, s AS {_run_metrics("avg", 0.00002)},
-{_compared(_COMPARED, 9)} SELECT * EXCLUDE (speedup) FROM compared"""
+{_compared(_COMPARED, 9)} SELECT * FROM compared"""
 
 
 def _event_side(odd: int) -> str:

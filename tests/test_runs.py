@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from signpost import queries
 from signpost.operators import runs as ru
 from signpost.operators.embed import embed_hashed
 from signpost.operators.routes import build_routes
@@ -209,3 +210,14 @@ def test_metrics_of_a_router_run(spark):
             run_metrics(router_batch(routed, 2.0), routed, "lang").collect()}
     assert free["total_cost"] == 0.0 and free["success_rate"] == 1.0
     assert embed_hashed(articles).count() == 10
+
+
+def test_the_comparison_of_routers_has_latency(spark, sf):
+    rows = {r["metric"]: r for r in queries.run_comparison(spark, sf).collect()}
+    assert len(rows) == 10
+    references = spark.read.parquet(f"{sf}/documents.parquet").groupBy(F.lower("lang").alias("l")).count()
+    n = {r["l"]: min(queries.SAMPLES, r["count"]) for r in references.collect()}
+    per_article = rows["avg_latency_per_article"]
+    assert (per_article["baseline"], per_article["semantic"]) == (sum(n.values()) / 1e6, len(n) / 1e6)
+    assert rows["total_latency"]["speedup"] == pytest.approx(sum(n.values()) / len(n))
+    assert rows["accuracy"]["speedup"] is None
