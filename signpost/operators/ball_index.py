@@ -11,6 +11,11 @@ follow. Every article visits the few blocks with the least bound first. The dist
 its k-th route among those is a limit for the answer, and a second visit goes to just the
 other blocks whose bound does not exceed it. The answer is that of comparing with all.
 
+Where bounds say little, an article would be sent to nearly every block. One with more than
+``FEW`` open blocks goes to shelves instead: each holds many consecutive blocks and meets an
+article once. The number of shelves, and of groups of articles that meet one, follows the
+cores, so what is moved grows with the input until a shelf holds ``SHELF_CELLS`` numbers.
+
 What the driver and every task hold are the centres and a row of five numbers per block:
 at most ``max_cells`` numbers and one row per ``block_rows`` references. A block with many
 vectors is parted, and the articles that visit one block are dealt over as many groups as
@@ -35,6 +40,8 @@ CENTRES = 4  # centres are this many times the root of the references
 PROBES = 2  # blocks of the first visit, at least
 SLACK = 1e-8  # more than what rounding moves a bound or a distance
 SUBS = 1 << 20  # numbers of parts of one centre
+FEW = 64  # blocks of the second visit, at most; an article with more open ones goes to shelves
+SHELF_CELLS = 8_000_000  # numbers of the references of one shelf, and of the articles that meet it in one task
 
 
 class Balls(NamedTuple):
@@ -44,6 +51,11 @@ class Balls(NamedTuple):
     centres: np.ndarray
     blocks: dict[str, np.ndarray]
 
+    def shelves(self, rows: int) -> np.ndarray:
+        """The shelf of every block, from 0: consecutive blocks with about ``rows`` references."""
+        before = np.concatenate([[0], np.cumsum(self.blocks["rows"])[:-1]])
+        return np.unique(before // max(1, rows), return_inverse=True)[1]
+
 
 class Found(NamedTuple):
     """``rows``: (_row, route, distance) with the k nearest of every article; visits and what all would be."""
@@ -132,21 +144,27 @@ def build_balls(
             F.max("_at.gap").alias("radius"),
             F.max("_at.square").alias("square"),
             F.max("threshold").alias("limit"),
+            F.count(F.lit(1)).alias("rows"),
         )
         .orderBy("_block")
         .toArrow()
     )
     names = found.column("_block").to_numpy()
-    blocks = {k: found.column(k).to_numpy() for k in ("radius", "square", "limit")}
+    blocks = {k: found.column(k).to_numpy() for k in ("radius", "square", "limit", "rows")}
     blocks |= {"name": names, "centre": names // SUBS}
     return Balls(placed.select("_block", "route", "threshold", "vec"), centres, blocks)
 
 
-def _visitor(balls: Balls, spark, sparse: bool, first: int, within: bool, cells: int):
-    """A column function: blocks of the first visit, or (given a limit) of the second."""
+def _visitor(balls: Balls, shelf: np.ndarray, spark, sparse: bool, first: int, within: bool, cells: int):
+    """A column function: blocks of the first visit, or (given a limit) of the second.
+
+    Shelves are numbered downwards from -1, below all blocks.
+    """
     matrices, _, bounds = _array_code(sparse, cells)
     shared = spark.sparkContext.broadcast((balls.centres, balls.blocks))
-    slack = SLACK
+    slack, few = SLACK, FEW
+    begins = np.unique(shelf, return_index=True)[1]
+    labels = np.concatenate([balls.blocks["name"], -1 - np.arange(len(begins))])
 
     def chosen(columns: list[pa.Array], best: pa.Array) -> pa.Array:
         centres, blocks = shared.value
@@ -170,8 +188,14 @@ def _visitor(balls: Balls, spark, sparse: bool, first: int, within: bool, cells:
             if within:
                 go &= low <= blocks["limit"][None, :]
             go &= low < np.inf
+            many = ~asked & (go.sum(axis=1) > few)
+            up = np.zeros((len(matrix), len(begins)), bool)
+            if many.any():
+                up[many] = np.logical_or.reduceat(go[many], begins, axis=1)
+                go[many] = False
+            go = np.concatenate([go, up], axis=1)
             counts.append(go.sum(axis=1))
-            names.append(blocks["name"][np.nonzero(go)[1]])
+            names.append(labels[np.nonzero(go)[1]])
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype("int32")
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(names)))
 
@@ -190,8 +214,8 @@ def _visitor(balls: Balls, spark, sparse: bool, first: int, within: bool, cells:
     return visits.asNondeterministic()
 
 
-def _compare(visits: DataFrame, balls: Balls, sparse: bool, k: int, within: bool, group_rows: int, kernels) -> DataFrame:
-    """(_row, route, distance): of every visit the k nearest routes of its block."""
+def _compare(visits: DataFrame, placed: DataFrame, sparse: bool, k: int, within: bool, group_rows: int, kernels) -> DataFrame:
+    """(_row, route, distance): of every visit the k nearest routes of its block (or shelf)."""
     references, products, rounded, nearest = kernels
     columns = [c for c in visits.columns if c.startswith("_v")]
     # a row per block that is visited; most blocks have one group
@@ -199,7 +223,7 @@ def _compare(visits: DataFrame, balls: Balls, sparse: bool, k: int, within: bool
         visits.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("_groups"))
     )
     left = visits.join(groups, "_block").withColumn("_salt", F.pmod(F.xxhash64("_row"), "_groups"))
-    right = balls.placed.join(groups, "_block").withColumn(
+    right = placed.join(groups, "_block").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1))
     )
 
@@ -251,19 +275,34 @@ def nearest_by_balls(
     """The k nearest routes of every article of ``vectors`` (``_row`` and its vector ``columns``)."""
     spark = vectors.sparkSession
     names = [f"_v{i}" for i in range(len(columns))]
-    visitor = _visitor(balls, spark, sparse, max(PROBES, k), within, cells)
+    total, width = int(balls.blocks["rows"].sum()), balls.centres.shape[1]
+    # so many shelves, and groups that meet one, that every core has a pair of both
+    sides = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
+    held = max(1, SHELF_CELLS // width)
+    shelf = balls.shelves(min(held, math.ceil(total / sides)))
+    visitor = _visitor(balls, shelf, spark, sparse, max(PROBES, k), within, cells)
     unknown = F.lit(None).cast("double")
     rows = vectors.select("_row", *[c.alias(n) for c, n in zip(columns, names)]).dropDuplicates(["_row"])
     articles = materialize(rows.withColumn("_first", visitor(*names, unknown)))
     first = articles.withColumn("_block", F.explode("_first")).drop("_first")
-    near = materialize(_best_of(_compare(first, balls, sparse, k, within, group_rows, kernels), k))
+    near = materialize(_best_of(_compare(first, balls.placed, sparse, k, within, group_rows, kernels), k))
     # fewer than k so far: whatever is left may be one of them
     reach = F.when(F.size("_near") == k, F.element_at("_near", -1)["distance"])
     limits = near.select("_row", reach.alias("_limit"))
     limited = articles.join(limits, "_row", "left").withColumn("_limit", F.coalesce("_limit", F.lit(float("inf"))))
-    left = limited.withColumn("_left", F.array_except(visitor(*names, "_limit"), "_first"))
-    second = materialize(left.withColumn("_block", F.explode("_left")).select("_row", *names, "_block"))
-    more = _compare(second, balls, sparse, k, within, group_rows, kernels)
+    # vectors are written once, not once per visit
+    left = materialize(limited.select("_row", *names, F.array_except(visitor(*names, "_limit"), "_first").alias("_left")))
+    second = left.withColumn("_block", F.explode("_left")).drop("_left")
+    count = articles.count()
+    shelved = balls.placed.join(
+        spark.createDataFrame(pa.table({"_block": balls.blocks["name"], "_shelf": -1 - shelf})), "_block"
+    ).select(F.col("_shelf").alias("_block"), "route", "threshold", "vec")
+    group = max(group_rows, min(held, math.ceil(count / sides)))
+    more = _compare(second, balls.placed.unionByName(shelved), sparse, k, within, group, kernels)
     old = near.select("_row", F.inline("_near")).select("_row", "route", "distance")
-    visits = articles.agg(F.coalesce(F.sum(F.size("_first")), F.lit(0))).first()[0] + second.count()
-    return Found(_best_of(old.unionByName(more), k), visits, articles.count() * len(balls.blocks["name"]))
+    # a visit to a shelf is one to all of its blocks
+    weights = {-1 - int(i): int(n) for i, n in enumerate(np.bincount(shelf))}
+    sent = second.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()
+    visits = articles.agg(F.coalesce(F.sum(F.size("_first")), F.lit(0))).first()[0]
+    visits += sum(r["n"] * weights.get(r["_block"], 1) for r in sent)
+    return Found(_best_of(old.unionByName(more), k), visits, count * len(balls.blocks["name"]))

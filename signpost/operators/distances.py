@@ -81,6 +81,16 @@ def _kernels(sparse: bool, product_cells: int):
         if within:
             good &= distances <= limits
         score = np.where(good, distances, np.inf)
+        if k is not None and k <= 8 < score.shape[1]:
+            # the first of the least, again and again, without sorting all
+            lines, order = np.arange(len(score)), np.empty((len(score), k), dtype="int64")
+            found = np.empty((len(score), k))
+            for turn in range(k):
+                order[:, turn] = score.argmin(axis=1)
+                found[:, turn] = score[lines, order[:, turn]]
+                score[lines, order[:, turn]] = np.inf
+            row, col = np.nonzero(np.isfinite(found))
+            return row, order[row, col], found[row, col]
         if k == 1:
             order = score.argmin(axis=1)[:, None]
         else:

@@ -94,3 +94,22 @@ def test_few_of_many_blocks_are_visited(spark):
     got = keyed.join(found.rows, "_row").select("id", F.col("_near").alias("candidates"))
     assert near(got) == whole
     assert found.all_visits == 2000 * 1265 and found.visits < 0.05 * found.all_visits
+
+
+def test_bounds_that_say_nothing_send_no_vector_to_every_block(spark):
+    """Noise of 24 numbers: nearly all blocks stay open, an article meets a few shelves instead."""
+    rng = np.random.default_rng(4)
+    vectors = unit(rng.normal(size=(3000, 24)))
+    routes = table(spark, vectors, [f"r{i:04d}" for i in range(3000)])
+    balls = bi.build_balls(routes, block_rows=10, centre_cells=480)
+    total = len(balls.blocks["name"])
+    shelf = balls.shelves(1000)
+    assert total > 250 and shelf.tolist() == sorted(shelf) and shelf[-1] <= 4
+    assert max(np.bincount(shelf, weights=balls.blocks["rows"])) < 1000 + max(balls.blocks["rows"])
+    visitor = bi._visitor(balls, shelf, spark, False, 3, False, 10_000)
+    articles = spark.createDataFrame(pa.table({"id": range(100), "vec": list(vectors[:100])}))
+    rows = articles.select(visitor("vec", F.lit(2.0)).alias("v")).collect()
+    assert all(sorted(r["v"]) == sorted(-1 - np.unique(shelf)) for r in rows)
+    how = dict(id_col="id", k=3, within_threshold=False, sparse=False)
+    whole = near(di.candidate_routes(articles, routes, **how))
+    assert near(di.candidate_routes(articles, routes, max_cells=240, **how)) == whole
