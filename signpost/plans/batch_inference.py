@@ -71,6 +71,7 @@ def resumed_replies(
     max_retries: int = 3,
     max_concurrent: int | None = None,
     retry_failed: bool = False,
+    calls_per_task: int = 500,
 ) -> DataFrame:
     """Replies to all prompts, of which only those that the ledger lacks are called for.
 
@@ -78,14 +79,20 @@ def resumed_replies(
     task puts its replies there when it ends, also if the job is broken off later, so a
     job that is started again over the same articles repeats no finished task's calls.
     With ``retry_failed`` replies that failed for good are asked for again. Prompts are
-    written once, so that they are not put together again for every reader.
+    written once, so that they are not put together again for every reader. A scan would pack
+    what was written into tasks of thousands of prompts, all held by their worker at once and
+    lost together, so the prompts that are left are dealt by their key over tasks of about
+    ``calls_per_task`` calls again.
     """
+    positive("calls_per_task", calls_per_task)
     spark = prompts.sparkSession
     keyed = materialize(prompts.withColumn("prompt_key", F.sha2("prompt", 256)))
     left = keyed
     if files.names(spark, ledger):
         done = spark.read.parquet(ledger).filter(F.lit(not retry_failed) | (F.col("status") == SUCCESS))
         left = keyed.join(done.select("prompt_key").distinct(), "prompt_key", "left_anti")
+    tasks = max(math.ceil(keyed.count() / calls_per_task), spark.sparkContext.defaultParallelism)
+    left = left.repartition(tasks, "prompt_key")
     # tasks commit by themselves: version 2 moves a task's file to its place when the task ends
     called(left, factory, max_retries, max_concurrent).write.mode("append").option(
         "mapreduce.fileoutputcommitter.algorithm.version", "2"

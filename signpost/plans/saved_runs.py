@@ -173,7 +173,9 @@ def run_model(
     start = time.perf_counter()
     prompts = planned_prompts(articles, classes, batch_size, id_col, text_col, calls_per_task, template)
     ledger = f"{base.rstrip('/')}/ledger/run_id={run}"
-    replies = resumed_replies(prompts, factory, ledger, max_retries, max_concurrent)
+    replies = resumed_replies(
+        prompts, factory, ledger, max_retries, max_concurrent, calls_per_task=calls_per_task
+    )
     seen = Observation(f"model-{run}")
     predicted = classify_with_model(replies, classes).observe(
         seen,

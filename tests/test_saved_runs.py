@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from signpost.plans import batch_inference as bi
 from signpost.plans import saved_runs as sr
 from signpost.plans.comparison import compare_stored_runs
 from signpost.plans.router import train_router
@@ -261,3 +262,21 @@ def test_a_broken_write_leaves_the_routes(spark, stored_routes, monkeypatch):
     monkeypatch.undo()
     assert rs.load_routes(spark, stored_routes).collect() == before
     assert len(rs.versions(spark, stored_routes)) == 2
+
+
+def test_a_task_holds_about_calls_per_task_prompts(spark, tmp_path):
+    articles = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    prompts = bi.planned_prompts(articles, ["a", "b"], 1, calls_per_task=10)
+
+    def factory():
+        made = []
+
+        def complete(prompt):
+            made.append(prompt)
+            return "", len(made), 0
+
+        return complete
+
+    replies = bi.resumed_replies(prompts, factory, f"{tmp_path}/ledger", calls_per_task=10)
+    assert replies.count() == 1500
+    assert replies.agg(F.max("prompt_tokens")).first()[0] <= 30
