@@ -35,8 +35,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whole, one per source cut, so that the words of each source meet its target."""
-    return mixing.mixed_documents(docs)
+    """What the drawn blocks hold of every document: whole, or its runs of drawn words."""
+    return mixing.drawn_documents(docs)
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

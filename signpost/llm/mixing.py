@@ -12,10 +12,12 @@ rows is as spread as its blocks.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -318,6 +320,111 @@ def mixed_documents(
     )
 
 
+def drawn_texts(text: Column, parts: Column) -> Column:
+    """The texts a row gives: per time, each run of neighbouring drawn words, spaces inside as they are.
+
+    ``parts`` are (_from, _n, _times) in order. A run from the first word to the last is
+    the whole text. The words are found once, in time linear in the text.
+    """
+    not_space = NOT_SPACE + "+"
+
+    def cut(text: str, parts: list[dict]) -> list[str]:
+        ends = [m.span() for m in re.finditer(not_space, text)]
+        out = []
+        for time in range(1, max(p["_times"] for p in parts) + 1):
+            runs: list[list[int]] = []
+            for p in parts:
+                if p["_times"] >= time:
+                    if runs and runs[-1][1] == p["_from"]:
+                        runs[-1][1] += p["_n"]
+                    else:
+                        runs.append([p["_from"], p["_from"] + p["_n"]])
+            for lo, hi in runs:
+                out.append(text[ends[lo][0] if lo else 0 : ends[hi - 1][1] if hi < len(ends) else len(text)])
+        return out
+
+    @F.arrow_udf("array<string>")
+    def cut_all(texts: pa.Array, parts: pa.Array) -> pa.Array:
+        made = (None if t is None else cut(t, p) for t, p in zip(map(_value, texts), map(_value, parts)))
+        return pa.array(made, pa.list_(pa.string()))
+
+    return cut_all(text, parts)
+
+
+def _value(scalar: pa.Scalar):
+    return scalar.as_py()
+
+
+def drawn_documents(
+    df: DataFrame,
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    block: int = BLOCK,
+    shards: int = SHARDS,
+    seed: int = 0,
+) -> DataFrame:
+    """Documents in the mix of ``mix_words``: what the drawn blocks hold of every document.
+
+    A document all of whose blocks are drawn comes whole, once per time; of any other
+    comes, per time, one row for each run of neighbouring words that are drawn, so
+    that every source gives the words ``taken`` says, and texts that were apart are
+    not put together. All columns of ``df`` stay; only the text is cut. A document without
+    words comes once. Of rows equal in id and text each gives what one of their places is drawn.
+    """
+    ship_code(df.sparkSession)
+    rows = sized(df, id_col, text_col, source_col)
+    sources = materialize(source_targets(rows, weights, share))
+    located = materialize(
+        placed(rows, sources, block, BUCKETS, seed).withColumn("_row", F.monotonically_increasing_id())
+    )
+    times = drawn_slots(sources, block, shards, seed).groupBy("_k", "_block").agg(F.count("*").alias("_times"))
+    drawn = (
+        pieces(located, block)
+        .join(times.hint("shuffle_merge"), ["_k", "_block"])
+        .groupBy("_row")
+        .agg(F.sort_array(F.collect_list(F.struct("_from", "_n", "_times"))).alias("_parts"))
+    )
+
+    # one key without nulls for the window and the join: texts cross one exchange
+    def key(id_of: str, tie: Column) -> Column:
+        return F.xxhash64(F.lit("row"), F.col(id_of).cast("string"), tie)
+
+    takes = materialize(
+        located.join(drawn, "_row", "left")
+        .select(key("_id", F.col("_tie")).alias("_dkey"), F.col("_tie").alias("_dtie"), F.struct("size", "_parts").alias("_take"))
+        .groupBy("_dkey", "_dtie")
+        .agg(F.collect_list("_take").alias("_takes"))
+    )
+    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    packed = df.select(F.struct("*").alias("_doc"), tie.alias("_dtie"), key(id_col, tie).alias("_dkey"))
+    nth = F.row_number().over(Window.partitionBy("_dkey", "_dtie").orderBy(F.lit(1)))
+    joined = (
+        packed.withColumn("_nth", nth)
+        .join(takes, ["_dkey", "_dtie"])
+        .withColumn("_take", F.get("_takes", F.col("_nth") - 1))
+        .select("_doc", "_take.size", "_take._parts")
+        .filter("size = 0 OR _parts IS NOT NULL")
+    )
+    text = F.col(f"_doc.`{text_col}`")
+    counts = F.transform("_parts", lambda p: p["_times"])
+    words_in = F.aggregate("_parts", F.lit(0).cast("bigint"), lambda a, p: a + p["_n"])
+    whole = (F.col("size") == 0) | ((words_in == F.col("size")) & (F.array_min(counts) == F.array_max(counts)))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.array_max(counts)).cast("int")
+    # only texts that are cut go to Python
+    given = joined.withColumn("_whole", whole).withColumn(
+        "_cut", drawn_texts(F.when(~F.col("_whole"), text), F.when(~F.col("_whole"), F.col("_parts")))
+    )
+    texts = F.when(F.col("_whole"), F.array_repeat(text, copies)).otherwise(F.col("_cut"))
+    return (
+        given.select("_doc", F.explode(texts).alias("_text"))
+        .select(F.col("_doc").withField(f"`{text_col}`", F.col("_text")).alias("_doc"))
+        .select("_doc.*")
+    )
+
+
 def packed_blocks(
     df: DataFrame, slots: DataFrame, located: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
 ) -> DataFrame:

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline as cp
 from signpost.llm import mixing, pii, simhash
 
 SCHEMA = "doc_id bigint, text string, source string"
@@ -181,3 +183,28 @@ def test_telling_terms_far_off_and_short(spark):
         assert not {"bob", "李雷", "zorblax"} & set(r["text"].lower().replace(",", " ").split())
         assert filler in r["text"] and "[EMAIL]" in r["text"]
     assert [r["text"] for r in rows[3:]] == texts[3:]
+
+
+def test_the_pipeline_mixes_by_drawn_blocks(spark):
+    rng = random.Random(3)
+    sizes = {"a": [900, 70, 500, 40] * 5, "b": [30] * 30, "c": [2000, 1], None: [0, 50, 60]}
+    rows = [(i, "  " + " \n".join(prose(rng, n)) + "\n", s) for i, (s, n) in enumerate((s, n) for s, x in sizes.items() for n in x)]
+    rows += [(900, None, "a"), (901, "", "b"), (None, "no id at all", "b")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix_words(df).collect()}
+    text = {i: t for i, t, _ in rows}
+    given, whole, cut = {}, 0, 0
+    for r in cp.mixed(spark, df, "").collect():
+        given[r["doc_id"]] = given.get(r["doc_id"], 0) + len((r["text"] or "").split())
+        assert r["text"] is None or r["text"] in text[r["doc_id"]]
+        whole += r["text"] == text[r["doc_id"]]
+        cut += r["text"] != text[r["doc_id"]]
+    assert {i: n for i, n in given.items() if n} == {i: n for i, n in taken.items() if n}
+    assert {900, 901} <= set(given) and whole and cut
+    assert mixing.drawn_documents(df.limit(0)).count() == 0
+
+
+def test_what_is_drawn_of_a_text(spark):
+    df = spark.createDataFrame([(" a  b c\td e ",)], "t string")
+    parts = F.array(*[F.struct(F.lit(a).alias("_from"), F.lit(n).alias("_n"), F.lit(k).alias("_times")) for a, n, k in [(0, 2, 1), (2, 1, 2), (4, 1, 1)]])
+    assert df.select(mixing.drawn_texts(F.col("t"), parts)).first()[0] == [" a  b c", "e ", "c"]
